@@ -48,6 +48,10 @@ class Workspace:
         out._airgrid_path = path
         return out
 
+    def again(self, df: DataFrame) -> DataFrame:
+        """A table made by :meth:`cut`, read anew: a frame that can be joined with the first."""
+        return self.spark.read.schema(df.schema).parquet(df._airgrid_path)
+
     def drop(self, df: DataFrame) -> None:
         """Delete the files of a table made by :meth:`cut` that nothing reads any more."""
         path = self.spark._jvm.org.apache.hadoop.fs.Path(df._airgrid_path)
