@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann_forest, mixing, packing, pq_dedup, token_rollup, toxicity, warc
+from . import ann_forest, mixing, packing, pq_dedup, signature_tree, token_rollup, toxicity, warc
 from .storage import Workspace
 
 
@@ -51,6 +51,10 @@ def op6_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rollup.totals()
 
 
+def op8_signature_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return signature_tree.similar_documents(_table(spark, sf_dir, "documents"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"))
 
@@ -62,6 +66,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_warc": op4_warc,
     "op5_mixing": op5_mixing,
     "op6_token_rollup": op6_token_rollup,
+    "op8_signature_tree": op8_signature_tree,
     "op10_packing": op10_packing,
 }
 

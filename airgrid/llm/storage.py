@@ -13,6 +13,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _OWN: dict[str, str] = {}
 
@@ -58,5 +59,14 @@ class Workspace:
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Rows of two or three numbers or digests: under 200 MB.
+MOST_BROADCAST_ROWS = 2_000_000
+
+
+def send(small: DataFrame) -> DataFrame:
+    """A narrow table as the side that goes to all tasks if counting proves it small, else to be joined by a shuffle."""
+    return F.broadcast(small) if small.count() <= MOST_BROADCAST_ROWS else small
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
