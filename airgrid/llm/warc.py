@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, In, InputPartition, StringContains, StringStartsWith
+from .storage import Workspace, send
 
 CRLF = "\r\n"
 SCHEMA = "record_id string, record_type string, target_uri string, date string, refers_to string, payload_digest string, payload_bytes long, payload binary"
@@ -53,8 +54,9 @@ def write_warc(pages: DataFrame, path: str, least: int = 100, date: str = "1970-
         .where("_n > 1")
         .select("_digest", F.col("_first.page_id").alias("_id"), F.col("_first.place").alias("_place"))
     )
-    # Spark sends the repeated digests to all tasks if they prove small, and else sorts both sides.
-    rows = rows.withColumn("_key", F.when(F.col("bytes") >= least, F.col("digest"))).join(first, F.col("_key") == F.col("_digest"), "left")
+    # With few repeated digests no payload moves; with many, both sides are dealt by digest.
+    first = Workspace(pages.sparkSession, "warc").cut(first, "repeated")
+    rows = rows.withColumn("_key", F.when(F.col("bytes") >= least, F.col("digest"))).join(send(first), F.col("_key") == F.col("_digest"), "left")
     again = F.col("_place").isNotNull() & (F.col("_place") != F.col("place"))
     urn = lambda page, place: F.concat(F.lit("<urn:page:"), F.coalesce(F.col(page).cast("string"), F.lit("")), F.lit(":"), F.col(place).cast("string"), F.lit(">"))
     http = F.concat(F.lit(f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}Content-Length: "), F.col("bytes").cast("string"), F.lit(CRLF * 2))
