@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann_forest, mixing, packing, pq_dedup, signature_tree, token_rollup, toxicity, warc
+from . import ann_forest, line_dedup, mixing, packing, pq_dedup, signature_tree, token_rollup, toxicity, warc
 from .storage import Workspace
 
 
@@ -55,6 +55,11 @@ def op8_signature_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return signature_tree.similar_documents(_table(spark, sf_dir, "documents"))
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.dedup_lines(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"))
 
@@ -67,6 +72,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_mixing": op5_mixing,
     "op6_token_rollup": op6_token_rollup,
     "op8_signature_tree": op8_signature_tree,
+    "op9_line_dedup": op9_line_dedup,
     "op10_packing": op10_packing,
 }
 
