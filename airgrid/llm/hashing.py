@@ -17,9 +17,8 @@ _SEP = np.zeros(256, dtype=bool)
 _SEP[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_BASE, -1, 1 << 64)
-_POWERS = [np.ones(1, dtype=U64), np.ones(1, dtype=U64)]
+_BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
+_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 _TAKE = np.array([0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], dtype=U64)
 
 
@@ -33,14 +32,24 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+def powers(n: int, which: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """base**i and base**-i modulo 2**64 for i < n."""
-    if len(_POWERS[0]) < n:
-        for k, base in enumerate((_BASE, _INVERSE)):
+    if which not in _POWERS or len(_POWERS[which][0]) < n:
+        made = []
+        for base in (_BASES[which], pow(_BASES[which], -1, 1 << 64)):
             steps = np.full(max(n, 1 << 21), base, dtype=U64)
             steps[0] = 1
-            _POWERS[k] = np.cumprod(steps, dtype=U64)
-    return _POWERS[0], _POWERS[1]
+            made.append(np.cumprod(steps, dtype=U64))
+        _POWERS[which] = (made[0], made[1])
+    return _POWERS[which]
+
+
+def prefix_sums(raw: np.ndarray, which: int = 0) -> np.ndarray:
+    """Sums of a rolling hash: those of a span are the difference at its ends times a power."""
+    up, _ = powers(len(raw) + 1, which)
+    total = np.zeros(len(raw) + 1, dtype=U64)
+    np.cumsum((raw.astype(U64) + U64(1)) * up[: len(raw)], out=total[1:])
+    return total
 
 
 def buffers(column) -> tuple[np.ndarray, np.ndarray]:
@@ -89,11 +98,8 @@ def words(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each span of bytes."""
-    up, down = powers(len(raw) + 1)
-    total = np.empty(len(raw) + 1, dtype=U64)
-    total[0] = 0
-    np.cumsum((raw.astype(U64) + U64(1)) * up[: len(raw)], out=total[1:])
-    return mix((total[ends] - total[starts]) * down[starts])
+    total = prefix_sums(raw)
+    return mix((total[ends] - total[starts]) * powers(len(raw) + 1)[1][starts])
 
 
 def shingles(raw: np.ndarray, offsets: np.ndarray, size: int = 5) -> tuple[np.ndarray, np.ndarray]:

@@ -47,10 +47,8 @@ def gram_hashes(raw: np.ndarray, size: int) -> np.ndarray:
     n = len(raw) - size + 1
     if n <= 0:
         return np.zeros(0, dtype=U64)
-    up, down = hashing.powers(len(raw) + 1)
-    total = np.zeros(len(raw) + 1, dtype=U64)
-    np.cumsum((raw.astype(U64) + U64(1)) * up[: len(raw)], out=total[1:])
-    return hashing.mix((total[size:] - total[:n]) * down[:n])
+    total = hashing.prefix_sums(raw)
+    return hashing.mix((total[size:] - total[:n]) * hashing.powers(len(raw) + 1)[1][:n])
 
 
 def gram_sets(texts: pa.ChunkedArray, size: int) -> list[np.ndarray]:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann_forest, line_dedup, mixing, packing, pq_dedup, signature_tree, token_rollup, toxicity, warc
+from . import ann_forest, line_dedup, mixing, packing, pfp_dedup, pq_dedup, signature_tree, token_rollup, toxicity, warc
 from .storage import Workspace
 
 
@@ -51,6 +51,11 @@ def op6_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rollup.totals()
 
 
+def op7_pfp_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pfp_dedup.remove_repeats(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).cast("long").alias("n_removed"), F.size("starts").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op8_signature_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return signature_tree.similar_documents(_table(spark, sf_dir, "documents"))
 
@@ -71,6 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_warc": op4_warc,
     "op5_mixing": op5_mixing,
     "op6_token_rollup": op6_token_rollup,
+    "op7_pfp_dedup": op7_pfp_dedup,
     "op8_signature_tree": op8_signature_tree,
     "op9_line_dedup": op9_line_dedup,
     "op10_packing": op10_packing,
