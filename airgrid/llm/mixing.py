@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .storage import Workspace
+from .storage import Workspace, send
 
 WORD = r"[^\x20\x09-\x0D]+"
 FEW_SOURCES = 20_000
@@ -150,6 +150,7 @@ def apply_mix(docs: DataFrame, mixed: DataFrame) -> DataFrame:
     found = F.regexp_extract_all("text", F.lit(WORD), F.lit(0))
     part = lambda at, n: F.when(F.col(n) > 0, F.when(F.col(n) == F.col("size"), F.array("text")).otherwise(F.array(F.array_join(F.slice(found, (F.col(at) + 1).cast("int"), F.col(n).cast("int")), " ")))).otherwise(F.array().cast("array<string>"))
     text = F.array_join(F.concat(F.array_repeat("text", F.col("turns").cast("int")), part("first_at", "first_words"), part("second_at", "second_words")), "\n\n")
+    take = send(Workspace(docs.sparkSession, "mixing").cut(take, "taken"))
     out = docs.join(take, F.col("doc_id").eqNullSafe(F.col("_id"))).withColumn("text", text)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))

@@ -153,6 +153,20 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 3000, most_features:
     return fit([t if isinstance(t, str) else None for t in rows["text"]], rows["_toxic"].tolist(), most_features)
 
 
+def keep_clean(docs: DataFrame, model: OrdinalModel) -> DataFrame:
+    """The rows of ``docs``, all columns, whose text the model doesn't call toxic."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fitted = shared.value
+        for batch in batches:
+            p = fitted.at_least(fitted.margins(t.as_py() for t in batch.column(at)))
+            yield batch.filter(pa.array(p[:, 0] < 0.5))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def score(docs: DataFrame, model: OrdinalModel) -> DataFrame:
     """``doc_id, severity, p_toxic, grade, toxic`` for each row of ``docs`` (doc_id, text)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # at most most_features weights
