@@ -1,14 +1,65 @@
-"""A training-corpus pipeline: each stage is one operator, over all that the stage before kept."""
+"""A training-corpus pipeline: each stage is one operator over all that the stage before kept.
+
+Every stage takes (spark, docs, sf_dir) and returns a table, which is written as
+Parquet and read again as the next stage's docs.  All but the last return the columns
+of documents.  ORACLE_SQL is None: min-hash candidates, a fitted classifier and
+subword ids have no SQL form; tests hold each stage against a brute-force version.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from airgrid.llm import line_dedup, mixing, packing, signature_tree, toxicity
+from airgrid.llm.storage import Workspace, send
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 3: documents that the ordinal model calls toxic go; all others stay as they are."""
+    model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return toxicity.keep_clean(docs, model)
+
+
+def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 9: of similar lines the first stays; the others are taken out of their texts."""
+    out = line_dedup.dedup_lines(docs)
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return out.select(*docs.columns)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 8: of each group of near copies the document with the smallest doc_id stays."""
+    found = signature_tree.similar_documents(docs).where("doc_id != component_id").select(F.col("doc_id").alias("_gone")).distinct()
+    gone = send(Workspace(spark, "pipeline").cut(found, "gone"))
+    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 5: each document with the words that the mix takes of it, repeats written out."""
+    return mixing.apply_mix(docs, mixing.mix(docs))
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 10: every piece of every document with its place in a sequence."""
+    return packing.pack(docs)
 
-from airgrid.llm import mixing, packing, toxicity
 
-STAGES = []
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("line_dedup", drop_repeated_lines),
+    ("ngram_join", drop_near_copies),
+    ("mixing", mix_sources),
+    ("packing", pack_sequences),
+]
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """All stages over the whole table of documents."""
+    ws = Workspace(spark, "pipeline")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = ws.cut(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
