@@ -124,9 +124,9 @@ def dedup_lines(docs: DataFrame, least: int = 24, size: int = 8, percent: int =
     first = classed.groupBy("class").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").select(F.col("class").alias("_class"), "first")
     again = ws.again(classed).join(first, F.col("class") == F.col("_class")).where(place != F.col("first"))
     removed = ws.cut(again.groupBy(F.col("doc_id").alias("_id")).agg(F.sort_array(F.collect_set("line")).alias("removed")), "removed")
-
-    out = docs.join(send(removed), docs["doc_id"].cast("long").eqNullSafe(F.col("_id")), "left")
-    all_lines = F.split("text", "\n", -1)
-    kept = F.when(F.col("removed").isNull(), F.col("text")).otherwise(F.array_join(F.filter(all_lines, lambda x, i: ~F.array_contains("removed", i)), "\n"))
+    removed = removed.select(F.col("_id").alias("_airgrid_id"), F.col("removed").alias("_airgrid_gone"))
+    out = docs.join(send(removed), docs["doc_id"].cast("long").eqNullSafe(F.col("_airgrid_id")), "left")
+    all_lines, gone = F.split("text", "\n", -1), F.col("_airgrid_gone")
+    kept = F.when(gone.isNull(), F.col("text")).otherwise(F.array_join(F.filter(all_lines, lambda x, i: ~F.array_contains(gone, i)), "\n"))
     rest = [F.col(c) for c in docs.columns if c not in ("text", "n_lines", "n_removed")]
-    return out.select(*rest, kept.alias("text"), F.coalesce(F.size(all_lines), F.lit(0)).cast("long").alias("n_lines"), F.when(F.col("text").isNull(), 0).otherwise(F.coalesce(F.size("removed"), F.lit(0))).cast("long").alias("n_removed"))
+    return out.select(*rest, kept.alias("text"), F.coalesce(F.size(all_lines), F.lit(0)).cast("long").alias("n_lines"), F.when(F.col("text").isNull(), 0).otherwise(F.coalesce(F.size(gone), F.lit(0))).cast("long").alias("n_removed"))

@@ -146,12 +146,16 @@ def apply_mix(docs: DataFrame, mixed: DataFrame) -> DataFrame:
     empty line; whole copies keep their spacing, the words of a part are joined by
     single spaces.  A document of which nothing is taken goes.  doc_id must be unique.
     """
-    take = mixed.where("taken > 0").select(F.col("doc_id").alias("_id"), "size", "turns", "first_at", "first_words", "second_at", "second_words")
+    own = ["size", "turns", "first_at", "first_words", "second_at", "second_words"]
+    take = mixed.where("taken > 0").select(F.col("doc_id").alias("_airgrid_id"), *[F.col(c).alias(f"_airgrid_{c}") for c in own])
     found = F.regexp_extract_all("text", F.lit(WORD), F.lit(0))
-    part = lambda at, n: F.when(F.col(n) > 0, F.when(F.col(n) == F.col("size"), F.array("text")).otherwise(F.array(F.array_join(F.slice(found, (F.col(at) + 1).cast("int"), F.col(n).cast("int")), " ")))).otherwise(F.array().cast("array<string>"))
-    text = F.array_join(F.concat(F.array_repeat("text", F.col("turns").cast("int")), part("first_at", "first_words"), part("second_at", "second_words")), "\n\n")
+    of = lambda c: F.col(f"_airgrid_{c}")
+    none = F.array().cast("array<string>")
+    words = lambda at, n: F.array(F.array_join(F.slice(found, (of(at) + 1).cast("int"), of(n).cast("int")), " "))
+    part = lambda at, n: F.when(of(n) == 0, none).when(of(n) == of("size"), F.array("text")).otherwise(words(at, n))
+    text = F.array_join(F.concat(F.array_repeat("text", of("turns").cast("int")), part("first_at", "first_words"), part("second_at", "second_words")), "\n\n")
     take = send(Workspace(docs.sparkSession, "mixing").cut(take, "taken"))
-    out = docs.join(take, F.col("doc_id").eqNullSafe(F.col("_id"))).withColumn("text", text)
+    out = docs.join(take, F.col("doc_id").eqNullSafe(F.col("_airgrid_id"))).withColumn("text", text)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)
