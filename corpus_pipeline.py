@@ -31,9 +31,9 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 8: of each group of near copies the document with the smallest doc_id stays."""
-    found = signature_tree.similar_documents(docs).where("doc_id != component_id").select(F.col("doc_id").alias("_gone")).distinct()
+    found = signature_tree.similar_documents(docs).where("doc_id != component_id").select(F.col("doc_id").alias("_airgrid_gone")).distinct()
     gone = send(Workspace(spark, "pipeline").cut(found, "gone"))
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    return docs.join(gone, F.col("doc_id") == F.col("_airgrid_gone"), "left_anti")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
