@@ -103,22 +103,31 @@ def linked(nodes: np.ndarray, sets: list[np.ndarray], block: np.ndarray, percent
 
     ``block`` is 0 or 1: with both in use only pairs between the two are compared.
     """
+    find, union = local_roots(len(sets))
+    a, b = [], []
+
+    def compare(i: int, j: int) -> None:
+        s, t = (sets[i], sets[j]) if len(sets[i]) <= len(sets[j]) else (sets[j], sets[i])
+        if 100 * len(s) >= percent * len(t) and len(s) and find(i) != find(j):
+            at = np.searchsorted(t, s)
+            at[at == len(t)] = 0
+            both = int((t[at] == s).sum())
+            if 100 * both >= percent * (len(s) + len(t) - both) and union(i, j):
+                a.append(nodes[i])
+                b.append(nodes[j])
+
+    if len(sets) <= FANOUT:  # one node of a tree
+        for i in range(len(sets)):
+            for j in range(i):
+                if block[i] != block[j] or not block.any():
+                    compare(i, j)
+        return np.array(a, dtype=np.int64), np.array(b, dtype=np.int64)
     parts = [np.flatnonzero(block == k) for k in (0, 1)]
     parts = [p[np.argsort([len(sets[i]) for i in p], kind="stable")] for p in parts if len(p)]
     trees = [SignatureTree([sets[i] for i in p]) for p in parts]
-    same = len(parts) == 1
-    find, union = local_roots(len(sets))
-    a, b = [], []
-    for x, y in surviving_pairs(trees[0], trees[-1], percent, same) if parts else ():
+    for x, y in surviving_pairs(trees[0], trees[-1], percent, len(parts) == 1):
         for i, j in zip(parts[0][x].tolist(), parts[-1][y].tolist(), strict=True):
-            if find(i) != find(j):
-                s, t = (sets[i], sets[j]) if len(sets[i]) <= len(sets[j]) else (sets[j], sets[i])
-                at = np.searchsorted(t, s)
-                at[at == len(t)] = 0
-                both = int((t[at] == s).sum())
-                if 100 * both >= percent * (len(s) + len(t) - both) and union(i, j):
-                    a.append(nodes[i])
-                    b.append(nodes[j])
+            compare(i, j)
     return np.array(a, dtype=np.int64), np.array(b, dtype=np.int64)
 
 
