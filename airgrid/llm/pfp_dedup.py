@@ -206,8 +206,11 @@ def repeated_windows(docs: DataFrame, ws: Workspace, length: int, gram: int, tri
             doc = table["doc"].to_numpy()
             row, window, h = window_hashes(doc, table["place"].to_numpy(), table["anchor"].to_numpy(), table["bytes"])
             order = np.argsort(h, kind="stable")  # rows are in corpus order within an anchor
-            same = np.zeros(len(h), dtype=bool)
-            same[order[1:]] = h[order[1:]] == h[order[:-1]]
+            new = np.ones(len(h), dtype=bool)
+            new[1:] = h[order[1:]] != h[order[:-1]]
+            first = order[np.maximum.accumulate(np.where(new, np.arange(len(h)), 0))] if len(h) else order
+            same = np.zeros(len(h), dtype=bool)  # a row that repeats the first one's doc_id is the first itself
+            same[order] = (doc[row[order]] != doc[row[first]]) | (window[order] != window[first])
             return stretches(doc, window[same], row[same])
 
         waiting: list[pa.RecordBatch] = []

@@ -28,7 +28,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, In, InputPartition, StringContains, StringStartsWith
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, In, InputPartition, IsNotNull, StringContains, StringStartsWith
 
 from .storage import Workspace, send
 
@@ -92,9 +92,9 @@ class WarcReader(DataSourceReader):
         self.filters: list = []
 
     def pushFilters(self, filters):  # noqa: N802
-        """Takes equality, membership, prefix and substring tests of header fields."""
+        """Takes equality, membership, presence, prefix and substring tests of header fields."""
         for f in filters:
-            if isinstance(f, (EqualTo, In, StringStartsWith, StringContains)) and len(f.attribute) == 1 and f.attribute[0] in FIELDS:
+            if isinstance(f, (EqualTo, In, IsNotNull, StringStartsWith, StringContains)) and len(f.attribute) == 1 and f.attribute[0] in FIELDS:
                 self.filters.append(f)
             else:
                 yield f
