@@ -101,7 +101,7 @@ def mix(
     targets = source_targets(sized, weights, share, most)
     smallest = F.min(F.when(F.col("target") > 0, F.col("target"))).over(Window.partitionBy())
     targets = targets.withColumn("block", F.greatest(F.lit(1), F.least(F.lit(block), F.floor(F.coalesce(smallest, F.lit(0.0)) / 512))).cast("long"))
-    targets = targets.withColumn("blocks", F.round(F.sum("target").over(Window.partitionBy()) / F.col("block")).cast("long"))
+    targets = targets.withColumn("blocks", F.round(F.lit(float(min(share, most))) * F.sum("source_size").over(Window.partitionBy()) / F.col("block")).cast("long"))
     quotas = _seats(targets, "target", "blocks", [], [F.col("source").asc_nulls_last()])
     quotas = quotas.withColumn("shards", F.least(F.lit(most_shards), F.greatest(F.lit(1), F.ceil(F.col("source_size") / shard_words))).cast("long"))
     quotas = ws.cut(quotas.withColumnRenamed("quota", "source_quota").drop("blocks").repartition(1), "quotas")

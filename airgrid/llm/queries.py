@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import ann_forest, line_dedup, mixing, packing, pfp_dedup, pq_dedup, signature_tree, token_rollup, toxicity, warc
+from .oracles import SQL  # noqa: F401
 from .storage import Workspace
 
 
@@ -81,5 +82,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_line_dedup": op9_line_dedup,
     "op10_packing": op10_packing,
 }
-
-SQL: dict[str, str] = {}
