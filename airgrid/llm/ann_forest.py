@@ -7,9 +7,9 @@ until the prefixes hold enough candidates; these are scored exactly.  Largest in
 product becomes smallest angle by one more dimension, which fills every vector up to
 the largest norm.
 
-The vectors are dealt into shards by hash of their id and the queries into blocks;
-a task builds the forest of one shard and answers one block, so its memory has a
-bound and no key is hot.  Equal prefixes, as of copies, are one interval of an array.
+The vectors are dealt into shards by hash of their id and the queries into blocks, each
+between a least and a largest number of rows; a task builds the forest of one shard and
+answers one block, so its memory has a bound and no key is hot.  Equal prefixes, as of copies, are one interval of an array.
 
 Defined results: vectors that are null, empty, zero, or hold null or non-finite
 components take no part, nor do those of another length than most; rows without an id take no
@@ -132,7 +132,7 @@ def search(
     share: float = 1.0,
     least: int = 512,
     shard_rows: tuple[int, int] = (2_048, 65_536),
-    block_rows: int = 16_384,
+    block_rows: tuple[int, int] = (256, 16_384),
     seed: int = 11,
 ) -> DataFrame:
     """``query_id, rank, vec_id, score``: the ``k`` nearest found of every query, its own id left out.
@@ -147,8 +147,10 @@ def search(
     width, n, norm = told[0]["width"], told[0]["n"], float(np.sqrt(told[0]["square"]))
     one = lambda df: df.where(F.size("v") == width).groupBy("vec_id").agg(F.min("v").alias("v"))
     asked = one(usable(queries, id_col, vector_col))
-    shards = max(-(-n // shard_rows[1]), min(2 * partitions(spark), -(-n // shard_rows[0])))
-    blocks = -(-asked.count() // block_rows) or 1
+    # Few shards, so each query gets few lists to merge; blocks of queries give the other tasks.
+    shards = max(-(-n // shard_rows[1]), min(4, -(-n // shard_rows[0])))
+    count = asked.count()
+    blocks = max(-(-count // block_rows[1]), min(-(-2 * partitions(spark) // shards), -(-count // block_rows[0]))) or 1
     deal = lambda column, many, salt: F.pmod(F.xxhash64(column, F.lit(salt)), F.lit(many)).cast("int")
     left = one(rows).withColumn("part", deal("vec_id", shards, 1) * blocks)
     left = left.withColumn("part", F.explode(F.sequence(F.col("part"), F.col("part") + (blocks - 1))))

@@ -38,7 +38,7 @@ def test_search(spark):
     k, vectors = 7, _usable(df)
     ids = np.array(sorted(vectors))
     x = np.stack([vectors[i][0] for i in ids])
-    rows = search(df, df.where("vec_id % 20 = 0"), k=k, shard_rows=(200, 65_536), block_rows=16, least=100).collect()
+    rows = search(df, df.where("vec_id % 20 = 0"), k=k, shard_rows=(200, 65_536), block_rows=(8, 16), least=100).collect()
     by = {}
     for r in sorted(rows, key=lambda r: r["rank"]):
         by.setdefault(r["query_id"], []).append(r)
