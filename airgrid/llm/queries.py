@@ -43,12 +43,14 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Loads all documents in one batch, sends it again, then revises the subword counts of every document."""
-    ws = Workspace(spark, "token_rollup")
-    counted = ws.cut(token_rollup.count_tokens(_table(spark, sf_dir, "documents")).groupBy(*token_rollup.KEYS).agg(F.count("*").alias("docs"), F.sum("n_tokens").alias("tokens")), "counted")
-    rollup = token_rollup.TokenRollup(spark, f"{ws.root}/rollup")
-    rollup.commit("load", counted)
-    rollup.commit("load", counted)
+    """All documents are loaded with estimated subword counts, sent again, and then revised to the counts of whole texts."""
+    docs = _table(spark, sf_dir, "documents")
+    rollup = token_rollup.TokenRollup(spark, Workspace(spark, "token_rollup").path("rollup"))
+    estimated = token_rollup.estimate_tokens(docs)
+    for _ in range(2):  # the second time nothing changes
+        rollup.commit("load", token_rollup.inserts(estimated))
+    revised = F.col("tokenizer") != token_rollup.WORDS
+    rollup.commit("recount", token_rollup.revisions(estimated.where(revised), token_rollup.count_tokens(docs).where(revised)))
     return rollup.totals()
 
 

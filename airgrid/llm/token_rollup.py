@@ -17,12 +17,14 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .mixing import WORD
 from .tokens import Encoder, default_vocabulary
 
 KEYS = ["source", "lang", "tokenizer"]
+WORDS, SUBWORD = "words_1", "word_bpe_49k"
 DELTA = "source string, lang string, tokenizer string, docs long, tokens long"
 
 
@@ -96,11 +98,27 @@ def revisions(before: DataFrame, after: DataFrame) -> DataFrame:
     return deletes(before).unionByName(inserts(after))
 
 
-def count_tokens(docs: DataFrame, vocabulary: str | None = None, subword: str = "word_bpe_49k", words: str = "words_1") -> DataFrame:
+def _both(counted: DataFrame) -> DataFrame:
+    """``source, lang, tokenizer, n_tokens`` from ``source, lang, n_words, n_ids``."""
+    pair = F.array(F.struct(F.lit(WORDS).alias("tokenizer"), F.col("n_words").alias("n_tokens")), F.struct(F.lit(SUBWORD).alias("tokenizer"), F.col("n_ids").alias("n_tokens")))
+    return counted.select("source", "lang", F.explode(pair).alias("c")).select("source", "lang", "c.tokenizer", "c.n_tokens")
+
+
+def _words() -> Column:
+    return F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
+
+
+def estimate_tokens(docs: DataFrame, bytes_per_id: int = 4) -> DataFrame:
+    """As :func:`count_tokens`, with subword ids estimated from bytes: for documents that wait for their count."""
+    ids = F.coalesce(F.ceil(F.octet_length("text") / bytes_per_id), F.lit(0)).cast("long")
+    return _both(docs.select("source", "lang", _words().alias("n_words"), ids.alias("n_ids")))
+
+
+def count_tokens(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
     """Two rows for each row of ``docs`` (text, lang, source): ``source, lang, tokenizer, n_tokens``.
 
-    ``words`` counts maximal runs of non-space bytes in the engine; ``subword``
-    counts ids of the public vocabulary over whole texts.
+    Words are maximal runs of non-space bytes, counted in the engine; subword ids are
+    those of the public vocabulary over whole texts.
     """
     path = vocabulary or default_vocabulary()
 
@@ -110,7 +128,4 @@ def count_tokens(docs: DataFrame, vocabulary: str | None = None, subword: str =
             counts = pa.array([encoder.count(t.as_py()) for t in batch.column(3)], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), counts], names=["source", "lang", "n_words", "n_ids"])
 
-    from .mixing import WORD
-
-    both = docs.select("source", "lang", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("n_words"), "text").mapInArrow(run, "source string, lang string, n_words long, n_ids long")
-    return both.select("source", "lang", F.explode(F.array(F.struct(F.lit(words).alias("tokenizer"), F.col("n_words").alias("n_tokens")), F.struct(F.lit(subword).alias("tokenizer"), F.col("n_ids").alias("n_tokens")))).alias("c")).select("source", "lang", "c.tokenizer", "c.n_tokens")
+    return _both(docs.select("source", "lang", _words().alias("n_words"), "text").mapInArrow(run, "source string, lang string, n_words long, n_ids long"))
