@@ -14,8 +14,9 @@ in a smaller doc_id or before in the same document.
    of the dictionary, so anchors are counted, and unique text ends here.
 4. Dictionary order.  The dictionary's suffixes at such runs, cut at ``length`` bytes, are
    sorted within their anchor by hash and then place in the corpus; all but the first
-   of an equal stretch repeat.  An anchor with more than ``hot`` runs is dealt by suffix
-   instead, with a minimum for each on the map side, so no anchor gathers in one task.
+   of an equal stretch repeat.  With an anchor of more than ``hot`` runs each task settles
+   the runs it holds and sends the first of each equal stretch only, dealt by hash of the
+   suffix, so no anchor and no passage gathers in one task.
 
 Suffixes are put in the order of their hashes and not of their bytes: only equal
 stretches and the first of each count here, and hashes give the same.
@@ -42,6 +43,7 @@ from .storage import Workspace, partitions, send
 
 U64 = np.uint64
 LAST = (1 << 63) - 1
+WINDOWS = 500_000  # of crowded anchors that one task settles: 16 MB
 MOST_SENT = 8_000_000  # places of 8 bytes: 64 MB
 
 
@@ -110,6 +112,14 @@ def _unpack(places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return places >> 31, places & 0x7FFFFFFF
 
 
+def _groups(h: np.ndarray, anchor: np.ndarray, doc: np.ndarray, window: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Windows in order of content and then place, and for each the first of the same content."""
+    order = np.lexsort((window, doc, anchor, h))
+    new = np.ones(len(h), dtype=bool)
+    new[1:] = (h[order[1:]] != h[order[:-1]]) | (anchor[order[1:]] != anchor[order[:-1]])
+    return order, order[np.maximum.accumulate(np.where(new, np.arange(len(h)), 0))] if len(h) else order
+
+
 def _send(places: DataFrame) -> DataFrame:
     """Places by document, sent to all tasks if they are proven to fit, else to be joined by a shuffle."""
     total = places.agg(F.coalesce(F.sum(F.size("places") + 4), F.lit(0))).first()[0]
@@ -233,17 +243,42 @@ def repeated_windows(docs: DataFrame, ws: Workspace, length: int, gram: int, tri
     many = partitions(docs.sparkSession)
     plain = held.where("not hot").select("doc", "place", "anchor", "bytes").repartition(many, "anchor").sortWithinPartitions("anchor", "doc", "place").mapInArrow(compare, "doc long, place long")
 
-    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    # Crowded anchors: a task keeps the first of the equal windows that it holds, and sends
+    # these firsts in one row for each bucket of hashes.
+    crowded = ws.again(active).where("hot").agg(F.sum(F.col("place").bitwiseAND(0x7FFFFFFF))).first()[0] or 0
+    buckets = max(many, -(-crowded // WINDOWS))
+
+    def firsts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 4096):
-                part = batch.slice(at, 4096)
+            for at in range(0, batch.num_rows, 8192):
+                part = batch.slice(at, 8192)
                 doc, anchor = part.column(0).to_numpy(), part.column(2).to_numpy()
                 row, window, h = window_hashes(doc, part.column(1).to_numpy(), anchor, part.column(3))
-                yield pa.RecordBatch.from_arrays([pa.array(doc[row]), pa.array(_pack(window, np.ones(len(row)))), pa.array(anchor[row]), pa.array(h.view(np.int64))], names=["doc", "place", "anchor", "h"])
-
-    crowd = ws.again(held).where("hot").select("doc", "place", "anchor", "bytes").mapInArrow(explode, "doc long, place long, anchor long, h long")
-    least = crowd.groupBy("anchor", "h").agg(F.min(F.struct("doc", "place")).alias("first")).select(F.col("anchor").alias("_anchor"), F.col("h").alias("_h"), "first")
-    crowd = crowd.join(least, (F.col("anchor") == F.col("_anchor")) & (F.col("h") == F.col("_h"))).where(F.struct("doc", "place") != F.col("first")).select("doc", "place")
+                order, first = _groups(h.view(np.int64), anchor[row], doc[row], window)
+                same = np.zeros(len(h), dtype=bool)
+                same[order] = (doc[row[order]] != doc[row[first]]) | (window[order] != window[first])
+                known = stretches(doc, window[same], row[same])
+                lone = [pa.nulls(known.num_rows, pa.int32()), pa.nulls(known.num_rows, pa.binary())]
+                yield pa.RecordBatch.from_arrays([*known.columns, *lone], names=["doc", "place", "bucket", "blob"])
+                own = np.unique(first)
+                told = np.stack([h[own].view(np.int64), anchor[row[own]], doc[row[own]], window[own]], 1)
+                bucket = (h[own] % U64(buckets)).astype(np.int64)
+                by = np.argsort(bucket, kind="stable")
+                names, begin = np.unique(bucket[by], return_index=True)
+                blobs = [told[by[x:y]].tobytes() for x, y in zip(begin, [*begin[1:], len(by)], strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.nulls(len(names), pa.int64()), pa.nulls(len(names), pa.int64()), pa.array(names.astype(np.int32)), pa.array(blobs, pa.binary())], names=["doc", "place", "bucket", "blob"])
+
+    def settle(table: pa.Table) -> pa.Table:
+        h, anchor, doc, window = np.frombuffer(b"".join(table["blob"].to_pylist()), dtype=np.int64).reshape(-1, 4).T
+        order, first = _groups(h, anchor, doc, window)
+        same = order[(doc[order] != doc[first]) | (window[order] != window[first])]
+        same = same[np.lexsort((window[same], doc[same]))]
+        _, row = np.unique(doc[same], return_inverse=True)
+        return pa.Table.from_batches([stretches(np.unique(doc[same]), window[same], row)])
+
+    local = ws.cut(ws.again(held).where("hot").select("doc", "place", "anchor", "bytes").mapInArrow(firsts, "doc long, place long, bucket int, blob binary"), "firsts")
+    settled = ws.again(local).where("blob is not null").select("bucket", "blob").groupBy("bucket").applyInArrow(settle, "doc long, place long")
+    crowd = local.where("blob is null").select("doc", "place").unionByName(settled)
     return copied.unionByName(plain).unionByName(crowd)
 
 
