@@ -43,6 +43,7 @@ from .storage import Workspace, partitions, send
 
 U64 = np.uint64
 LAST = (1 << 63) - 1
+CROWDED = 1 << 62  # marks the place of a run whose anchor has many
 WINDOWS = 500_000  # of crowded anchors that one task settles: 16 MB
 MOST_SENT = 8_000_000  # places of 8 bytes: 64 MB
 
@@ -171,24 +172,33 @@ def repeated_windows(docs: DataFrame, ws: Workspace, length: int, gram: int, tri
     parsed = docs.join(_send(ws.cut(_by_doc(copied), "copied_by_doc")), F.col("doc") == F.col("_doc"), "left").select("doc", "text", "places")
     anchored = ws.cut(parsed.mapInArrow(runs, "doc long, place long, anchor long"), "runs")
     often = ws.cut(anchored.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select(F.col("anchor").alias("_anchor"), "n"), "anchors")
-    active = ws.again(anchored).join(send(often), F.col("anchor") == F.col("_anchor")).select("doc", "place", "anchor", (F.col("n") > hot).alias("hot"))
-    active = ws.cut(active, "active")
+    crowded = F.when(F.col("n") > hot, F.lit(CROWDED)).otherwise(F.lit(0))
+    active = ws.again(anchored).join(send(often), F.col("anchor") == F.col("_anchor")).select("doc", F.col("place").bitwiseOR(crowded).alias("place"))
+    wanted = ws.cut(_by_doc(active), "wanted")
     ws.drop(anchored)
 
-    # The bytes that the windows of active runs cover.
-    wanted = ws.cut(active.groupBy(F.col("doc").alias("_doc")).agg(F.collect_list("place").alias("places"), F.collect_list("anchor").alias("anchors"), F.collect_list("hot").alias("hots")), "wanted")
-
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The bytes that the windows of active runs cover."""
         for batch in batches:
-            for k in range(batch.num_rows):
-                text = batch.column(1)[k].as_buffer()
-                raw = memoryview(text) if text is not None else memoryview(b"")
-                places = batch.column(2)[k].values
-                at, n = _unpack(places.to_numpy(zero_copy_only=False))
-                cut = [bytes(raw[a : a + b + length - 1]) for a, b in zip(at.tolist(), n.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(cut), batch.column(0)[k].as_py())), places, batch.column(3)[k].values, batch.column(4)[k].values, pa.array(cut, pa.binary())], names=["doc", "place", "anchor", "hot", "bytes"])
-
-    held = docs.join(_send(wanted), F.col("doc") == F.col("_doc")).select("doc", "text", "places", "anchors", "hots")
+            ids = batch.column(0).to_numpy()
+            for i, j, p in parse(batch, 1):
+                lists = batch.column(2).slice(i, j - i)
+                told = lists.flatten().to_numpy(zero_copy_only=False)
+                row = np.repeat(np.arange(j - i), lists.value_lengths().to_numpy(zero_copy_only=False))
+                place = told & (CROWDED - 1)
+                at, n = _unpack(place)
+                start, size = p.offsets[row] + at, n + length - 1
+                fit = start + size <= p.offsets[row + 1]
+                row, place, told, start, size = row[fit], place[fit], told[fit], start[fit], size[fit]
+                if not len(row):
+                    continue
+                ends = np.concatenate([[0], np.cumsum(size)])
+                data = p.raw[np.repeat(start - ends[:-1], size) + np.arange(ends[-1])]
+                cut = pa.BinaryArray.from_buffers(pa.binary(), len(row), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(data)])
+                anchor = p.anchor[np.searchsorted(p.run_at, start)].view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[i:j][row]), pa.array(place), pa.array(anchor), pa.array(told >= CROWDED), cut], names=["doc", "place", "anchor", "hot", "bytes"])
+
+    held = docs.join(_send(wanted), F.col("doc") == F.col("_doc")).select("doc", "text", "places")
     held = ws.cut(held.mapInArrow(contexts, "doc long, place long, anchor long, hot boolean, bytes binary"), "contexts")
 
     def window_hashes(doc, place, anchor, data) -> tuple[np.ndarray, ...]:
@@ -245,7 +255,7 @@ def repeated_windows(docs: DataFrame, ws: Workspace, length: int, gram: int, tri
 
     # Crowded anchors: a task keeps the first of the equal windows that it holds, and sends
     # these firsts in one row for each bucket of hashes.
-    crowded = ws.again(active).where("hot").agg(F.sum(F.col("place").bitwiseAND(0x7FFFFFFF))).first()[0] or 0
+    crowded = ws.again(held).where("hot").agg(F.sum(F.col("place").bitwiseAND(0x7FFFFFFF))).first()[0] or 0
     buckets = max(many, -(-crowded // WINDOWS))
 
     def firsts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
