@@ -438,7 +438,21 @@ def view_channel_order(spark, sf_dir):
     return rows.select("id", "number", F.row_number().over(Window.orderBy(*view.channel_order(), "id")).cast("long").alias("ord"))
 
 
-@query()
+def _field(name: str, value: str) -> str:
+    return f" || (case when {value} <> '' then ',\"{name}\":\"' || {value} || '\"' else '' end)"
+
+
+_START, _END = "start_time", "end_time"
+_PROGRAM = (
+    "'{\"title\":\"' || airings.title || '\"'" + _field("subTitle", "coalesce(episode_title, '')") + f" || ',\"start\":\"' || {_START} || '\",\"end\":\"' || {_END} || '\"'"
+    + _field("category", "regexp_replace(filters, '^filter-', '')") + " || (case when flag = 'New' then ',\"isNew\":true' else '' end)" + _field("rating", "coalesce(rating, '')") + _field("iconUrl", ICON.replace("thumbnail", "airings.thumbnail")) + _field("description", "coalesce(short_desc, '')") + " || '}'"
+)
+
+
+@query(
+    f"with {WEEK} select channel_id id, '{{\"id\":\"' || channel_id || '\",\"number\":\"' || channel_no || '\",\"name\":\"' || call_sign || '\",\"logoUrl\":\"' || {ICON_URL.replace('thumbnail', 'channel_src.thumbnail')} || '\",\"programs\":'"
+    f" || coalesce('[' || string_agg({_PROGRAM}, ',' order by start_time, airings.title) || ']', 'null') || '}}' body from channel_src left join airings using (channel_id) group by channel_id, channel_no, call_sign, channel_src.thumbnail"
+)
 def view_guide_json(spark, sf_dir):
     return view.guide_json(_channels(spark, sf_dir), _week(spark, sf_dir)).select("id", "body")
 
@@ -471,7 +485,13 @@ def xmltv_programme_fragment(spark, sf_dir):
     return _programs(spark, sf_dir).select("channel", "start", publish.programme_fragment().alias("fragment"))
 
 
-@query()
+_HEAD = publish.PROLOG.replace("'", "''").replace(chr(10), "' || chr(10) || '") + '<tv source-info="http://tvlistings.gracenote.com/" source-info-name="GraceNote" generator-info-name="airgrid">'
+
+
+@query(
+    f"with {WEEK} select 0 section, '' k1, '' k2, '' k3, '{_HEAD}' as value union all select 3, '', '', '', '</tv>' union all select 1, id, '', '', fragment from ({SQL['xmltv_channel_fragment'].partition('select channel_id id')[1]}{SQL['xmltv_channel_fragment'].partition('select channel_id id')[2]})"
+    f" union all select 2, channel_id, {_xmltv('start_time')}, {_xml('title')}, {FRAGMENT} from airings"
+)
 def xmltv_document(spark, sf_dir):
     return publish.document(_channels(spark, sf_dir), _week(spark, sf_dir))
 
