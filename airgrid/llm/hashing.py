@@ -37,7 +37,7 @@ def powers(n: int, which: int = 0) -> tuple[np.ndarray, np.ndarray]:
     if which not in _POWERS or len(_POWERS[which][0]) < n:
         made = []
         for base in (_BASES[which], pow(_BASES[which], -1, 1 << 64)):
-            steps = np.full(max(n, 1 << 21), base, dtype=U64)
+            steps = np.full(max(n, 1 << 20), base, dtype=U64)
             steps[0] = 1
             made.append(np.cumprod(steps, dtype=U64))
         _POWERS[which] = (made[0], made[1])
@@ -67,7 +67,7 @@ def buffers(column) -> tuple[np.ndarray, np.ndarray]:
     return raw[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def slices(column, most: int = 1 << 21) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def slices(column, most: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, last row + 1, bytes, offsets) over runs of rows with about ``most`` bytes."""
     raw, offsets = buffers(column)
     n, i = len(offsets) - 1, 0

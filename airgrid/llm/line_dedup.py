@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from . import hashing
 from .graph import components
 from .signature_tree import band_links, exact_links
-from .storage import Workspace, send
+from .storage import Workspace, fresh, send
 
 U64 = np.uint64
 
@@ -65,6 +65,7 @@ def signed_lines(docs: DataFrame, least: int, size: int, bands: int, band_rows:
     factors, shifts = hashing.hash_family(bands * band_rows, seed)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fresh()
         given: set[int] = set()
         for batch in batches:
             for i, j, raw, offsets in hashing.slices(batch.column(1), 1 << 20):
@@ -78,7 +79,7 @@ def signed_lines(docs: DataFrame, least: int, size: int, bands: int, band_rows:
                 h = hashing.span_hashes(raw, starts, ends).view(np.int64)
                 _, first = np.unique(h, return_index=True)
                 new = np.array([k for k in np.sort(first).tolist() if h[k].item() not in given], dtype=np.int64)
-                if len(given) < 500_000:
+                if len(given) < 200_000:
                     given.update(h[new].tolist())
                 counts = np.zeros(len(h), dtype=np.int64)
                 keys = np.zeros((0, bands), dtype=U64)

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .storage import Workspace
+from .storage import Workspace, fresh
 from .tokens import Encoder, default_vocabulary
 
 _END_ID = bytes(4)
@@ -36,6 +36,7 @@ def pieces_of(docs: DataFrame, vocabulary: str, capacity: int) -> DataFrame:
     """Every piece of every document (doc_id, text)."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fresh(tokens=True)
         encoder = Encoder.of(vocabulary)
         kinds = [("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())]
         for batch in batches:

@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 from . import hashing
 from .line_dedup import gram_hashes
-from .storage import Workspace, partitions, send
+from .storage import Workspace, fresh, partitions, send
 
 U64 = np.uint64
 LAST = (1 << 63) - 1
@@ -140,6 +140,7 @@ def repeated_windows(docs: DataFrame, ws: Workspace, length: int, gram: int, tri
             yield i, j, Parse(raw, offsets, length, gram, trigger)
 
     def phrases(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fresh()
         for batch in batches:
             ids = batch.column(0).to_numpy()
             for i, j, p in parse(batch, 1):

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from . import hashing
 from .graph import components, local_roots
-from .storage import Workspace, send
+from .storage import Workspace, fresh, send
 
 U64 = np.uint64
 FANOUT, BITS = 8, 2048
@@ -138,6 +138,7 @@ def exact_links(members: DataFrame, to_sets: Callable[[pa.ChunkedArray], list[np
     pair of blocks is a task.
     """
     blocks = members.groupBy("grp").agg(F.ceil(F.sum("weight") / block_weight).cast("int").alias("blocks")).select(F.col("grp").alias("_grp"), "blocks")
+    blocks = Workspace(members.sparkSession, "blocks").cut(blocks, "blocks")
     dealt = members.join(send(blocks), F.col("grp") == F.col("_grp")).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("node", "text", "grp", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), (F.col("own") > F.col("other")).cast("int").alias("side"))
@@ -165,6 +166,7 @@ def signatures(docs: DataFrame, size: int, bands: int, band_rows: int, seed: int
     factors, shifts = hashing.hash_family(bands * band_rows, seed)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fresh()
         for batch in batches:
             for i, j, raw, offsets in hashing.slices(batch.column(1)):
                 values, at = hashing.shingles(raw, offsets, size)

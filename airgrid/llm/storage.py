@@ -34,6 +34,7 @@ class Workspace:
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
+        small_batches(spark)
         self.root = f"{shared_dir(spark)}/airgrid/{name}-{uuid.uuid4().hex}"
         self._n = 0
 
@@ -68,5 +69,36 @@ def send(small: DataFrame) -> DataFrame:
     return F.broadcast(small) if small.count() <= MOST_BROADCAST_ROWS else small
 
 
+BATCH_ROWS = 2_000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Whole texts go to Python in batches of a few megabytes."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key)) <= 0 or int(spark.conf.get(key)) > BATCH_ROWS:
+        spark.conf.set(key, BATCH_ROWS)
+
+
+def fresh(tokens: bool = False) -> None:
+    """Called first in a task's Python function: a worker that served another operator gives its memory back."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    from . import hashing
+    from .tokens import Encoder
+
+    if tokens:
+        hashing._POWERS.clear()
+    else:
+        Encoder._open.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

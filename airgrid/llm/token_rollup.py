@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .mixing import WORD
+from .storage import fresh, small_batches
 from .tokens import Encoder, default_vocabulary
 
 KEYS = ["source", "lang", "tokenizer"]
@@ -121,8 +122,10 @@ def count_tokens(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
     those of the public vocabulary over whole texts.
     """
     path = vocabulary or default_vocabulary()
+    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fresh(tokens=True)
         encoder = Encoder.of(path)
         for batch in batches:
             counts = pa.array([encoder.count(t.as_py()) for t in batch.column(3)], pa.int64())

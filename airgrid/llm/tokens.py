@@ -17,7 +17,7 @@ import sys
 import unicodedata
 from array import array
 
-_CACHE_CHUNKS = 300_000
+_CACHE_CHUNKS = 150_000
 _LAST_LATIN = "ɏ"
 _END = b"\x01"
 

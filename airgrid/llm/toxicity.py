@@ -32,8 +32,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .storage import fresh, small_batches
+
 _WORD = re.compile(r"\w+")
-_CACHE = 400_000
+_CACHE = 100_000
 SIGNIFICANT = 24.0
 
 
@@ -155,10 +157,12 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 3000, most_features:
 
 def keep_clean(docs: DataFrame, model: OrdinalModel) -> DataFrame:
     """The rows of ``docs``, all columns, whose text the model doesn't call toxic."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fresh()
         fitted = shared.value
         for batch in batches:
             p = fitted.at_least(fitted.margins(t.as_py() for t in batch.column(at)))
@@ -169,9 +173,11 @@ def keep_clean(docs: DataFrame, model: OrdinalModel) -> DataFrame:
 
 def score(docs: DataFrame, model: OrdinalModel) -> DataFrame:
     """``doc_id, severity, p_toxic, grade, toxic`` for each row of ``docs`` (doc_id, text)."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # at most most_features weights
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fresh()
         fitted = shared.value
         for batch in batches:
             p = fitted.at_least(fitted.margins(t.as_py() for t in batch.column(1)))
