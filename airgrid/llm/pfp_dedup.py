@@ -133,7 +133,7 @@ def _by_doc(df: DataFrame) -> DataFrame:
 
 
 def repeated_windows(docs: DataFrame, ws: Workspace, length: int, gram: int, trigger: int, hot: int) -> DataFrame:
-    """``doc, place``: stretches of windows that start earlier too, from ``doc, text``."""
+    """``doc, places``: stretches of windows that start earlier too, from ``doc, text``."""
 
     def parse(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, int, Parse]]:
         for i, j, raw, offsets in hashing.slices(batch.column(column), 1 << 20):
@@ -269,15 +269,18 @@ def repeated_windows(docs: DataFrame, ws: Workspace, length: int, gram: int, tri
                 same = np.zeros(len(h), dtype=bool)
                 same[order] = (doc[row[order]] != doc[row[first]]) | (window[order] != window[first])
                 known = stretches(doc, window[same], row[same])
-                lone = [pa.nulls(known.num_rows, pa.int32()), pa.nulls(known.num_rows, pa.binary())]
-                yield pa.RecordBatch.from_arrays([*known.columns, *lone], names=["doc", "place", "bucket", "blob"])
+                docs_of = known.column(0).to_numpy()
+                begin = np.flatnonzero(np.append(True, docs_of[1:] != docs_of[:-1])) if len(docs_of) else np.zeros(0, dtype=np.int64)
+                places = pa.ListArray.from_arrays(pa.array(np.append(begin, len(docs_of)).astype(np.int32)), known.column(1))
+                lone = [pa.nulls(len(begin), pa.int32()), pa.nulls(len(begin), pa.binary())]
+                yield pa.RecordBatch.from_arrays([pa.array(docs_of[begin]), places, *lone], names=["doc", "places", "bucket", "blob"])
                 own = np.unique(first)
                 told = np.stack([h[own].view(np.int64), anchor[row[own]], doc[row[own]], window[own]], 1)
                 bucket = (h[own] % U64(buckets)).astype(np.int64)
                 by = np.argsort(bucket, kind="stable")
                 names, begin = np.unique(bucket[by], return_index=True)
                 blobs = [told[by[x:y]].tobytes() for x, y in zip(begin, [*begin[1:], len(by)], strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.nulls(len(names), pa.int64()), pa.nulls(len(names), pa.int64()), pa.array(names.astype(np.int32)), pa.array(blobs, pa.binary())], names=["doc", "place", "bucket", "blob"])
+                yield pa.RecordBatch.from_arrays([pa.nulls(len(names), pa.int64()), pa.nulls(len(names), pa.list_(pa.int64())), pa.array(names.astype(np.int32)), pa.array(blobs, pa.binary())], names=["doc", "places", "bucket", "blob"])
 
     def settle(table: pa.Table) -> pa.Table:
         h, anchor, doc, window = np.frombuffer(b"".join(table["blob"].to_pylist()), dtype=np.int64).reshape(-1, 4).T
@@ -287,10 +290,10 @@ def repeated_windows(docs: DataFrame, ws: Workspace, length: int, gram: int, tri
         _, row = np.unique(doc[same], return_inverse=True)
         return pa.Table.from_batches([stretches(np.unique(doc[same]), window[same], row)])
 
-    local = ws.cut(ws.again(held).where("hot").select("doc", "place", "anchor", "bytes").mapInArrow(firsts, "doc long, place long, bucket int, blob binary"), "firsts")
+    local = ws.cut(ws.again(held).where("hot").select("doc", "place", "anchor", "bytes").mapInArrow(firsts, "doc long, places array<long>, bucket int, blob binary"), "firsts")
     settled = ws.again(local).where("blob is not null").select("bucket", "blob").groupBy("bucket").applyInArrow(settle, "doc long, place long")
-    crowd = local.where("blob is null").select("doc", "place").unionByName(settled)
-    return copied.unionByName(plain).unionByName(crowd)
+    crowd = local.where("blob is null").select("doc", "places")
+    return copied.unionByName(plain).unionByName(settled).select("doc", F.array("place").alias("places")).unionByName(crowd)
 
 
 def covered(places: np.ndarray, n_bytes: int, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -314,7 +317,8 @@ def remove_repeats(docs: DataFrame, length: int = 100, gram: int = 32, trigger:
     ws = Workspace(docs.sparkSession, "pfp_dedup")
     keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc"), F.coalesce("text", F.lit("")).alias("text"))
     found = ws.cut(repeated_windows(keyed, ws, length, gram, trigger, hot), "repeats")
-    spots = _send(ws.cut(_by_doc(found), "repeats_by_doc"))
+    spots = found.groupBy(F.col("doc").alias("_doc")).agg(F.flatten(F.collect_list("places")).alias("places"))
+    spots = _send(ws.cut(spots, "repeats_by_doc"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
