@@ -8,7 +8,8 @@ their shingle sets, and distributed union-find joins verified pairs.  Of each
 component the line that comes first by (doc_id, line number) stays, wherever it occurs
 again it goes.
 
-Lines of fewer than ``least`` bytes, empty ones among them, always stay.
+A line shorter than ``size`` bytes is one shingle, so it is like its exact copies only, which
+meet by hash.  Empty lines always stay, and with a larger ``least`` all lines of fewer bytes.
 
 Defined results: null text stays null and has no lines; an empty text has one empty
 line; repeated rows lose their lines to the first such row by place of the line, and rows that
@@ -61,7 +62,7 @@ def gram_sets(texts: pa.ChunkedArray, size: int) -> list[np.ndarray]:
 
 
 def signed_lines(docs: DataFrame, least: int, size: int, bands: int, band_rows: int, seed: int = 17) -> DataFrame:
-    """``doc_id, line, hash, keys``: each line of at least ``least`` bytes; keys are null where this worker has given them before."""
+    """``doc_id, line, hash, keys``: each line of at least ``least`` bytes; keys are null where this worker has given them before, and of lines below ``size`` bytes."""
     factors, shifts = hashing.hash_family(bands * band_rows, seed)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -72,13 +73,14 @@ def signed_lines(docs: DataFrame, least: int, size: int, bands: int, band_rows:
                 starts, ends, at = line_spans(raw, offsets)
                 rows = np.repeat(np.arange(i, j), np.diff(at))
                 number = np.arange(len(starts)) - np.repeat(at[:-1], np.diff(at))
-                long_ = np.flatnonzero(ends - starts >= least)
+                long_ = np.flatnonzero(ends - starts >= max(1, least))
                 if not len(long_):
                     continue
                 starts, ends, rows, number = starts[long_], ends[long_], rows[long_], number[long_]
                 h = hashing.span_hashes(raw, starts, ends).view(np.int64)
                 _, first = np.unique(h, return_index=True)
-                new = np.array([k for k in np.sort(first).tolist() if h[k].item() not in given], dtype=np.int64)
+                first = np.sort(first[(ends - starts)[first] >= size])
+                new = np.array([k for k in first.tolist() if h[k].item() not in given], dtype=np.int64)
                 if len(given) < 200_000:
                     given.update(h[new].tolist())
                 counts = np.zeros(len(h), dtype=np.int64)
@@ -103,7 +105,7 @@ def signed_lines(docs: DataFrame, least: int, size: int, bands: int, band_rows:
 def dedup_lines(docs: DataFrame, least: int = 24, size: int = 8, percent: int = 80, bands: int = 12, band_rows: int = 4, block_weight: int = 2_000_000) -> DataFrame:
     """``docs`` (doc_id, text and others) with the repeated lines taken out of text, and ``n_lines``, ``n_removed``.
 
-    ``least`` must be at least ``size``.
+    With ``least`` above 1, shorter lines are left alone however often they occur.
     """
     ws = Workspace(docs.sparkSession, "line_dedup")
     lines = ws.cut(signed_lines(docs, least, size, bands, band_rows), "lines")

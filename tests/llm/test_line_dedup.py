@@ -1,9 +1,12 @@
 """Kept lines against all pairs."""
 
+import hashlib
+
 import pytest
 
 from airgrid.llm.graph import local_roots
 from airgrid.llm.line_dedup import dedup_lines
+from airgrid.llm.queries import op9_line_dedup
 
 from .fixtures import hard_documents, no_documents, prose, texts_of
 
@@ -48,3 +51,37 @@ def test_one_line_everywhere(spark):
 
 def test_nothing(spark):
     assert dedup_lines(no_documents(spark)).count() == 0
+
+
+def want_all(texts, size=8):
+    """Kept lines where every line that is not empty counts."""
+    occurrences = {}
+    for i in sorted(texts):
+        for k, line in enumerate((texts[i] or "").split("\n")):
+            if line:
+                occurrences.setdefault(line.encode(), []).append((i, k))
+    lines = list(occurrences)
+    sets = [frozenset(x[q : q + size] for q in range(max(1, len(x) - size + 1))) for x in lines]
+    find, union = local_roots(len(lines))
+    for i in range(len(lines)):
+        for j in range(i):
+            if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                union(i, j)
+    classes = {}
+    for i, x in enumerate(lines):
+        classes.setdefault(find(i), []).extend(occurrences[x])
+    gone = {place for places in classes.values() for place in places if place != min(places)}
+    return {i: None if t is None else "\n".join(x for k, x in enumerate(t.split("\n")) if (i, k) not in gone) for i, t in texts.items()}
+
+
+def test_short_lines(spark, tmp_path):
+    docs = hard_documents(spark)
+    texts = texts_of(docs)
+    short = ["x", "Les.", "1234567", "12345678", "All rights reserved.", "All rights reserved!", "", "é"]
+    texts |= {100 + i: "\n".join([short[i % 8], prose(900 + i, 9), short[(i * 3 + 1) % 8], short[i % 5]]) for i in range(40)}
+    spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    table = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    kept = want_all(texts)
+    assert texts_of(dedup_lines(table, least=1)) == kept
+    rows = op9_line_dedup(spark, str(tmp_path)).collect()
+    assert {r["doc_id"]: r["kept_sha256"] for r in rows} == {i: None if t is None else hashlib.sha256(t.encode()).hexdigest() for i, t in kept.items()}
