@@ -3,10 +3,11 @@
 A coarse quantiser and the codebooks of its residuals are fitted on a bounded sample
 (``sample`` vectors, by hash of id).  Every vector joins the inverted list of its
 nearest centroid with the codes of its residual, and probes each list whose bisector
-with its own is near: within ``deviations`` of what a step of the threshold's length in a
-random direction moves along one axis (4 leave out 3 pairs in 100,000 at the threshold
-itself and none that is much closer; as many deviations as the root of the width leave
-out none).  In a list, table lookups give asymmetric distances to all members; a pair
+with its own is within the threshold's length, so no pair at the threshold is left out,
+whatever the directions of the differences.  Of two lists the one with the smaller number
+probes the other, and such a pair counts for both ends.  (``deviations`` below the root of
+the width cuts the reach to that many deviations of a step in a random direction: fewer probes,
+and pairs are missed; the default leaves it out.)  In a list, table lookups give asymmetric distances to all members; a pair
 goes only if it stays below the threshold with the member's own quantisation error
 added, and the rest is measured exactly.
 
@@ -81,8 +82,12 @@ def _means(rows: np.ndarray, k: int, rounds: int, rng: np.random.Generator) -> n
     return centres
 
 
-def link_block(model: Quantiser, which: int, ids: np.ndarray, rows: np.ndarray, codes: np.ndarray, errors: np.ndarray, ask_ids: np.ndarray, asks: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For one list: ids, numbers of links found from the asking side, and the smallest id each is joined with."""
+def link_block(model: Quantiser, which: int, ids: np.ndarray, rows: np.ndarray, codes: np.ndarray, errors: np.ndarray, ask_ids: np.ndarray, asks: np.ndarray, ask_lists: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For one list: ids, numbers of links, and the smallest id each is joined with.
+
+    A pair of the list itself is met from both ends and counts for the asking one; a pair with
+    another list is met once and counts for both.
+    """
     every = np.unique(np.concatenate([ids, ask_ids]))
     member, asker = np.searchsorted(every, ids), np.searchsorted(every, ask_ids)
     links, firsts, seconds = np.zeros(len(every), dtype=np.int64), [], []
@@ -96,8 +101,9 @@ def link_block(model: Quantiser, which: int, ids: np.ndarray, rows: np.ndarray,
         for b in range(0, len(i), 1 << 18):
             x, y = i[b : b + (1 << 18)], j[b : b + (1 << 18)]
             good = (np.einsum("ij,ij->i", q[x], rows[y]) >= threshold) & (asker[a + x] != member[y])
+            other = ask_lists[a + x[good]] != which
             x, y = asker[a + x[good]], member[y[good]]
-            links += np.bincount(x, minlength=len(every))
+            links += np.bincount(x, minlength=len(every)) + np.bincount(y[other], minlength=len(every))
             firsts.append(x)
             seconds.append(y)
     root = np.arange(len(every))
@@ -127,7 +133,7 @@ def near_duplicates(
     spaces: int = 8,
     codes: int = 64,
     block_rows: int = 4_096,
-    deviations: float = 4.0,
+    deviations: float = float("inf"),
 ) -> DataFrame:
     """``vec_id, n_links, component_id, kept``: one row for each id."""
     spark = vectors.sparkSession
@@ -155,14 +161,14 @@ def near_duplicates(
                 batch = whole.slice(at, 1024)
                 x = units(batch.column(2), width)
                 own, code, error = shared.value.encode(x)
-                probes = shared.value.probes(x, own, reach)
+                probes = shared.value.probes(x, own, reach) & (np.arange(len(shared.value.centroids)) >= own[:, None])
                 offsets = np.concatenate([[0], np.cumsum(probes.sum(1))]).astype(np.int32)
                 probed = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.nonzero(probes)[1].astype(np.int32)))
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(own.astype(np.int32)), pa.array([c.tobytes() for c in code], pa.binary()), pa.array(error), probed], names=["vec_id", "label", "v", "list", "code", "error", "probes"])
 
     listed = ws.cut(unit.mapInArrow(assign, "vec_id long, label string, v " + kind + ", list int, code binary, error double, probes array<int>"), "lists")
     members = listed.select("vec_id", "label", "list", "v", "code", "error")
-    probers = ws.again(listed).select("vec_id", "label", F.explode("probes").alias("list"), "v")
+    probers = ws.again(listed).select("vec_id", "label", F.explode("probes").alias("list"), "v", F.col("list").alias("own"))
     counts = members.groupBy("label", "list").agg(F.count("*").alias("n_members")).join(probers.groupBy("label", "list").agg(F.count("*").alias("n_probers")), ["label", "list"])
     counts = counts.select("label", "list", F.ceil(F.col("n_members") / block_rows).cast("int").alias("mb"), F.ceil(F.col("n_probers") / block_rows).cast("int").alias("pb"))
     pick = lambda many, salt: F.pmod(F.xxhash64("vec_id", F.lit(salt)), F.col(many)).cast("int")
@@ -174,7 +180,7 @@ def near_duplicates(
             found = (np.zeros(0, dtype=np.int64),) * 3
         else:
             code = np.frombuffer(b"".join(mine["code"].to_pylist()), dtype=np.uint8).reshape(mine.num_rows, -1)
-            found = link_block(shared.value, mine["list"][0].as_py(), mine["vec_id"].to_numpy(), units(mine["v"], width), code, mine["error"].to_numpy(), asks["vec_id"].to_numpy(), units(asks["v"], width), threshold)
+            found = link_block(shared.value, mine["list"][0].as_py(), mine["vec_id"].to_numpy(), units(mine["v"], width), code, mine["error"].to_numpy(), asks["vec_id"].to_numpy(), units(asks["v"], width), asks["own"].to_numpy(), threshold)
         return pa.table(dict(zip(("vec_id", "links", "root"), map(pa.array, found), strict=True)))
 
     keys = ["label", "list", "m", "p"]

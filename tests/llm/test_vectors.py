@@ -88,3 +88,16 @@ def test_near_duplicates_of_nothing(spark):
     assert near_duplicates(df.limit(0)).count() == 0
     unlabelled = df.where("vec_id is not null").selectExpr("vec_id", "embedding", "cast(null as int) label")
     assert {(r["n_links"], r["kept"]) for r in near_duplicates(unlabelled).collect()} == {(0, True)}
+
+
+def test_near_duplicates_at_full_reach(spark):
+    """Defaults at width 64, where the differences of near vectors lie along a few directions."""
+    rng = np.random.default_rng(3)
+    scale = 1 / np.arange(1, 65)
+    x = (rng.standard_normal((3000, 64)) * scale).astype(np.float32)
+    df = spark.createDataFrame([(i, r, 0) for i, r in enumerate(x.tolist())], "vec_id long, embedding array<float>, label int").repartition(3)
+    unit = x.astype(np.float64)
+    unit /= np.linalg.norm(unit, axis=1)[:, None]
+    links = (unit @ unit.T >= 0.93).sum(1) - 1
+    assert links.sum() > 1000
+    assert {r["vec_id"]: r["n_links"] for r in near_duplicates(df).collect()} == dict(enumerate(links.tolist()))
