@@ -33,6 +33,11 @@ def _code(*parts: Column | str) -> Column:
     return F.md5(F.concat_ws("|", *parts))
 
 
+def _row_code() -> Column:
+    """A 64-bit hash of source and text: with doc_id it tells rows apart as far as the mix can."""
+    return F.xxhash64(F.coalesce("source", F.lit("")), F.col("source").isNull(), F.coalesce("text", F.lit("")), F.col("text").isNull())
+
+
 def _draw(code: Column) -> Column:
     return F.conv(F.substring(code, 1, 8), 16, 10).cast("long")
 
@@ -93,11 +98,11 @@ def mix(
 
     ``doc_id, source, size, source_size, target, taken`` and where it is taken:
     ``turns`` whole copies, then the words [first_at, first_at + first_words) and
-    [second_at, second_at + second_words) of the document.
+    [second_at, second_at + second_words) of the document; ``row_code`` is a hash of source and text.
     """
     spark = docs.sparkSession
     ws = Workspace(spark, "mixing")
-    sized = ws.cut(docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size")), "sized")
+    sized = ws.cut(docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), _row_code().alias("row_code")), "sized")
     targets = source_targets(sized, weights, share, most)
     smallest = F.min(F.when(F.col("target") > 0, F.col("target"))).over(Window.partitionBy())
     targets = targets.withColumn("block", F.greatest(F.lit(1), F.least(F.lit(block), F.floor(F.coalesce(smallest, F.lit(0.0)) / 512))).cast("long"))
@@ -123,7 +128,7 @@ def mix(
     start = F.pmod(_draw(_code(F.lit(seed), F.coalesce("source", F.lit("")), F.col("shard").cast("string"))), F.greatest(F.lit(1), F.ceil(F.col("shard_size") / F.col("block")))) * F.col("block")
     per = per.select(F.col("source").alias("_source"), F.col("shard").alias("_shard"), "shard_size", "turns", "run", start.alias("begin"))
 
-    order = Window.partitionBy(*group).orderBy("code", F.col("doc_id").asc_nulls_last(), "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    order = Window.partitionBy(*group).orderBy("code", F.col("doc_id").asc_nulls_last(), "size", "row_code").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     placed = dealt.withColumn("at", F.sum("size").over(order) - F.col("size"))
     placed = placed.join(per, F.col("source").eqNullSafe(F.col("_source")) & (F.col("shard") == F.col("_shard")))
     end, stop = F.col("at") + F.col("size"), F.col("begin") + F.col("run")
@@ -135,7 +140,7 @@ def mix(
     return placed.select(
         "doc_id", "source", "size", "source_size", "target",
         (F.col("turns") * F.col("size") + F.col("first_words") + F.col("second_words")).alias("taken"),
-        "turns", "first_at", "first_words", "second_at", "second_words",
+        "turns", "first_at", "first_words", "second_at", "second_words", "row_code",
     )
 
 
@@ -144,18 +149,35 @@ def apply_mix(docs: DataFrame, mixed: DataFrame) -> DataFrame:
 
     Its text is its whole copies and then its partial runs of words, joined by an
     empty line; whole copies keep their spacing, the words of a part are joined by
-    single spaces.  A document of which nothing is taken goes.  doc_id must be unique.
+    single spaces.  A document of which nothing is taken goes.
+
+    Rows are told apart by doc_id and ``row_code``.  Rows that agree in both share out what was
+    taken of them, one to one: where it is the same of all by a plain join, else by number.
     """
     own = ["size", "turns", "first_at", "first_words", "second_at", "second_words"]
-    take = mixed.where("taken > 0").select(F.col("doc_id").alias("_airgrid_id"), *[F.col(c).alias(f"_airgrid_{c}") for c in own])
+    ws = Workspace(docs.sparkSession, "mixing")
+    key = [F.col("doc_id").alias("_airgrid_id"), F.col("row_code").alias("_airgrid_code")]
+    take = mixed.groupBy(*key, *[F.col(c).alias(f"_airgrid_{c}") for c in own]).agg(F.count("*").alias("_airgrid_rows"))
+    equal = Window.partitionBy("_airgrid_id", "_airgrid_code")
+    upto = F.sum("_airgrid_rows").over(equal.orderBy(*[f"_airgrid_{c}" for c in own]).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    take = ws.cut(take.withColumn("_airgrid_kinds", F.count("*").over(equal)).withColumn("_airgrid_upto", upto), "taken")
     found = F.regexp_extract_all("text", F.lit(WORD), F.lit(0))
     of = lambda c: F.col(f"_airgrid_{c}")
     none = F.array().cast("array<string>")
     words = lambda at, n: F.array(F.array_join(F.slice(found, (of(at) + 1).cast("int"), of(n).cast("int")), " "))
     part = lambda at, n: F.when(of(n) == 0, none).when(of(n) == of("size"), F.array("text")).otherwise(words(at, n))
     text = F.array_join(F.concat(F.array_repeat("text", of("turns").cast("int")), part("first_at", "first_words"), part("second_at", "second_words")), "\n\n")
-    take = send(Workspace(docs.sparkSession, "mixing").cut(take, "taken"))
-    out = docs.join(take, F.col("doc_id").eqNullSafe(F.col("_airgrid_id"))).withColumn("text", text)
+    some = "_airgrid_turns * _airgrid_size + _airgrid_first_words + _airgrid_second_words > 0"
+    same = F.col("doc_id").eqNullSafe(F.col("_airgrid_id")) & (_row_code() == F.col("_airgrid_code"))
+    out = docs.join(send(take.where("_airgrid_kinds = 1").where(some)), same).withColumn("text", text).select(*docs.columns)
+    several = ws.again(take).where("_airgrid_kinds > 1")
+    if several.head(1):
+        groups = several.select("_airgrid_id", "_airgrid_code").distinct()
+        rest = [c for c, t in docs.dtypes if c not in ("doc_id", "text", "source") and not t.startswith("map")]
+        by = Window.partitionBy("doc_id", "_airgrid_row").orderBy(*rest, F.lit(0))
+        numbered = docs.join(send(groups), same, "left_semi").withColumn("_airgrid_row", _row_code()).withColumn("_airgrid_number", F.row_number().over(by))
+        numbered = numbered.join(send(several.where(some)), F.col("doc_id").eqNullSafe(F.col("_airgrid_id")) & (F.col("_airgrid_row") == F.col("_airgrid_code")) & (F.col("_airgrid_number") <= F.col("_airgrid_upto")) & (F.col("_airgrid_number") > F.col("_airgrid_upto") - F.col("_airgrid_rows")))
+        out = out.unionByName(numbered.withColumn("text", text).select(*docs.columns))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from airgrid.llm import line_dedup, mixing, packing, signature_tree, toxicity
+from airgrid.llm.document_keys import KEY, with_keys
 from airgrid.llm.storage import Workspace, send
 
 
@@ -30,10 +31,23 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 8: of each group of near copies the document with the smallest doc_id stays."""
-    found = signature_tree.similar_documents(docs).where("doc_id != component_id").select(F.col("doc_id").alias("_airgrid_gone")).distinct()
-    gone = send(Workspace(spark, "pipeline").cut(found, "gone"))
-    return docs.join(gone, F.col("doc_id") == F.col("_airgrid_gone"), "left_anti")
+    """Operator 8: of each group of near copies the document with the smallest doc_id stays, a null one last.
+
+    Rows that agree in doc_id and text leave one row, unless the text has no words.
+    """
+    ws = Workspace(spark, "pipeline")
+    keyed = with_keys(ws, docs)
+    found = ws.cut(signature_tree.similar_documents(keyed.select(F.col(KEY).alias("doc_id"), "text")), "found")
+    gone = found.where("doc_id != component_id").select(F.col("doc_id").alias("_airgrid_gone")).distinct()
+    kept = keyed.join(send(ws.cut(gone, "gone")), F.col(KEY) == F.col("_airgrid_gone"), "left_anti")
+    again = found.where("n_shingles > 0").groupBy(F.col("doc_id").alias("_airgrid_again")).count().where("count > 1").select("_airgrid_again")
+    again = ws.cut(again, "again")
+    if again.head(1):
+        # The least row of equal ones, combined in each task, so a large group gathers nowhere.
+        same = F.col(KEY) == F.col("_airgrid_again")
+        least = kept.join(send(again), same, "left_semi").groupBy(KEY).agg(F.min(F.struct(*docs.columns)).alias("row")).select("row.*")
+        return kept.join(send(ws.again(again)), same, "left_anti").select(*docs.columns).unionByName(least)
+    return kept.select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
