@@ -12,8 +12,9 @@ A line shorter than ``size`` bytes is one shingle, so it is like its exact copie
 meet by hash.  Empty lines always stay, and with a larger ``least`` all lines of fewer bytes.
 
 Defined results: null text stays null and has no lines; an empty text has one empty
-line; repeated rows lose their lines to the first such row by place of the line, and rows that
-agree in doc_id and text too keep theirs together; a null doc_id comes last; a text of which all
+line; rows that agree in doc_id and text (or in text, where doc_id is null) are one document and
+keep their lines together; rows of one doc_id and other texts are documents of their own, in
+the order of a hash of the text; a null doc_id comes last; a text of which all
 lines go is empty; an empty table gives an empty result; other columns are ignored.
 """
 
@@ -27,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import hashing
+from .document_keys import KEY, with_keys
 from .graph import components
 from .signature_tree import band_links, exact_links
 from .storage import Workspace, fresh, send
@@ -62,7 +64,7 @@ def gram_sets(texts: pa.ChunkedArray, size: int) -> list[np.ndarray]:
 
 
 def signed_lines(docs: DataFrame, least: int, size: int, bands: int, band_rows: int, seed: int = 17) -> DataFrame:
-    """``doc_id, line, hash, keys``: each line of at least ``least`` bytes; keys are null where this worker has given them before, and of lines below ``size`` bytes."""
+    """``doc, line, hash, keys`` from ``_airgrid_doc, text``: each line of at least ``least`` bytes; keys are null where this worker has given them before, and of lines below ``size`` bytes."""
     factors, shifts = hashing.hash_family(bands * band_rows, seed)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -97,9 +99,9 @@ def signed_lines(docs: DataFrame, least: int, size: int, bands: int, band_rows:
                 made[new] = True
                 ends_of = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(ends_of), pa.array(keys.ravel().view(np.int64)), mask=pa.array(~made))
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), pa.array(number.astype(np.int32)), pa.array(h), lists], names=["doc_id", "line", "hash", "keys"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), pa.array(number.astype(np.int32)), pa.array(h), lists], names=["doc", "line", "hash", "keys"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").where("text is not null").mapInArrow(run, "doc_id long, line int, hash long, keys array<long>")
+    return docs.select(KEY, "text").where("text is not null").mapInArrow(run, "doc long, line int, hash long, keys array<long>")
 
 
 def dedup_lines(docs: DataFrame, least: int = 24, size: int = 8, percent: int = 80, bands: int = 12, band_rows: int = 4, block_weight: int = 2_000_000) -> DataFrame:
@@ -108,27 +110,28 @@ def dedup_lines(docs: DataFrame, least: int = 24, size: int = 8, percent: int =
     With ``least`` above 1, shorter lines are left alone however often they occur.
     """
     ws = Workspace(docs.sparkSession, "line_dedup")
-    lines = ws.cut(signed_lines(docs, least, size, bands, band_rows), "lines")
-    place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "line")
+    keyed = with_keys(ws, docs)
+    lines = ws.cut(signed_lines(keyed, least, size, bands, band_rows), "lines")
+    place = F.struct("doc", "line")
     keys = ws.again(lines).where("keys is not null").select(F.col("hash").alias("node"), F.explode("keys").alias("key"))
     groups = ws.cut(components(ws, band_links(keys)), "groups")
 
     # One occurrence of each candidate line, and its text from the documents that hold one.
     found = lines.join(send(groups), F.col("hash") == F.col("node")).groupBy("node", "component").agg(F.min(place).alias("at"))
-    wanted = found.groupBy(F.col("at.doc_id").alias("_id")).agg(F.collect_list(F.struct("node", F.col("component").alias("grp"), F.col("at.line").alias("line"))).alias("wanted"))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.split("text", "\n", -1).alias("all")).where("all is not null").join(send(ws.cut(wanted, "wanted")), F.col("doc_id").eqNullSafe(F.col("_id")))
+    wanted = found.groupBy(F.col("at.doc").alias("_id")).agg(F.collect_list(F.struct("node", F.col("component").alias("grp"), F.col("at.line").alias("line"))).alias("wanted"))
+    texts = keyed.select(KEY, F.split("text", "\n", -1).alias("all")).where("all is not null").join(send(ws.cut(wanted, "wanted")), F.col(KEY) == F.col("_id"))
     members = texts.select("all", F.explode("wanted").alias("w")).select("w.node", "w.grp", F.get("all", F.col("w.line")).alias("text")).where("text is not null")
     members = members.withColumn("weight", F.octet_length("text").cast("long"))
     links = ws.cut(exact_links(members, lambda t: gram_sets(t, size), percent, block_weight), "links")
     joined = ws.cut(components(ws, links), "components")
 
-    classed = lines.select("doc_id", "line", "hash").join(send(joined), F.col("hash") == F.col("node"), "left").select("doc_id", "line", F.coalesce("component", "hash").alias("class"))
+    classed = lines.select("doc", "line", "hash").join(send(joined), F.col("hash") == F.col("node"), "left").select("doc", "line", F.coalesce("component", "hash").alias("class"))
     classed = ws.cut(classed, "classed")
     first = classed.groupBy("class").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").select(F.col("class").alias("_class"), "first")
     again = ws.again(classed).join(first, F.col("class") == F.col("_class")).where(place != F.col("first"))
-    removed = ws.cut(again.groupBy(F.col("doc_id").alias("_id")).agg(F.sort_array(F.collect_set("line")).alias("removed")), "removed")
+    removed = ws.cut(again.groupBy(F.col("doc").alias("_id")).agg(F.sort_array(F.collect_set("line")).alias("removed")), "removed")
     removed = removed.select(F.col("_id").alias("_airgrid_id"), F.col("removed").alias("_airgrid_gone"))
-    out = docs.join(send(removed), docs["doc_id"].cast("long").eqNullSafe(F.col("_airgrid_id")), "left")
+    out = keyed.join(send(removed), F.col(KEY) == F.col("_airgrid_id"), "left")
     all_lines, gone = F.split("text", "\n", -1), F.col("_airgrid_gone")
     kept = F.when(gone.isNull(), F.col("text")).otherwise(F.array_join(F.filter(all_lines, lambda x, i: ~F.array_contains(gone, i)), "\n"))
     rest = [F.col(c) for c in docs.columns if c not in ("text", "n_lines", "n_removed")]

@@ -22,8 +22,9 @@ Suffixes are put in the order of their hashes and not of their bytes: only equal
 stretches and the first of each count here, and hashes give the same.
 
 Defined results: null and empty text has 0 bytes; texts shorter than ``length`` keep all;
-a null doc_id comes after all others; rows with one doc_id are taken to be one
-document with one text, and each is returned; an empty table gives an empty result;
+a null doc_id comes after all others; rows that agree in doc_id and text (or in text, where
+doc_id is null) are one document, and each is returned; rows of one doc_id and other texts
+are documents of their own, in the order of a hash of the text; an empty table gives an empty result;
 other columns are ignored.
 """
 
@@ -38,11 +39,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import hashing
+from .document_keys import KEY, with_keys
 from .line_dedup import gram_hashes
 from .storage import Workspace, fresh, partitions, send
 
 U64 = np.uint64
-LAST = (1 << 63) - 1
 CROWDED = 1 << 62  # marks the place of a run whose anchor has many
 WINDOWS = 500_000  # of crowded anchors that one task settles: 16 MB
 MOST_SENT = 8_000_000  # places of 8 bytes: 64 MB
@@ -315,8 +316,8 @@ def remove_repeats(docs: DataFrame, length: int = 100, gram: int = 32, trigger:
     kept: the remaining bytes; starts and ends: the removed stretches of bytes.
     """
     ws = Workspace(docs.sparkSession, "pfp_dedup")
-    keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc"), F.coalesce("text", F.lit("")).alias("text"))
-    found = ws.cut(repeated_windows(keyed, ws, length, gram, trigger, hot), "repeats")
+    keyed = with_keys(ws, docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")))
+    found = ws.cut(repeated_windows(keyed.select(F.col(KEY).alias("doc"), "text"), ws, length, gram, trigger, hot), "repeats")
     spots = found.groupBy(F.col("doc").alias("_doc")).agg(F.flatten(F.collect_list("places")).alias("places"))
     spots = _send(ws.cut(spots, "repeats_by_doc"))
 
@@ -334,5 +335,5 @@ def remove_repeats(docs: DataFrame, length: int = 100, gram: int = 32, trigger:
                         column.append(value)
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.binary()), pa.array(rows[2], pa.list_(pa.int64())), pa.array(rows[3], pa.list_(pa.int64()))], names=["doc_id", "n_bytes", "kept", "starts", "ends"])
 
-    joined = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).join(spots, F.coalesce("doc_id", F.lit(LAST)) == F.col("_doc"), "left")
+    joined = keyed.join(spots, F.col(KEY) == F.col("_doc"), "left")
     return joined.select("doc_id", "text", "places").mapInArrow(cut, "doc_id long, n_bytes long, kept binary, starts array<long>, ends array<long>")

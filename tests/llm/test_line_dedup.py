@@ -85,3 +85,13 @@ def test_short_lines(spark, tmp_path):
     assert texts_of(dedup_lines(table, least=1)) == kept
     rows = op9_line_dedup(spark, str(tmp_path)).collect()
     assert {r["doc_id"]: r["kept_sha256"] for r in rows} == {i: None if t is None else hashlib.sha256(t.encode()).hexdigest() for i, t in kept.items()}
+
+
+def test_null_and_repeated_ids(spark):
+    """Each distinct text of one doc_id, or of none, is a document of its own."""
+    shared = prose(41, 12)
+    texts = ["\n".join([prose(600 + i, 12), shared, prose(640 + i, 12)]) for i in range(12)]
+    rows = [(None if i < 6 else 3, t) for i, t in enumerate(texts)] + [(1, shared), (None, texts[0])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted((r["doc_id"] or 0, r["text"]) for r in dedup_lines(docs).collect())
+    assert got == sorted((i or 0, t if i == 1 else t.replace(f"\n{shared}\n", "\n")) for i, t in rows)

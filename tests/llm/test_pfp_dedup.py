@@ -67,3 +67,14 @@ def test_repeated_rows_and_nothing(spark):
     docs = spark.createDataFrame([(1, text), (1, text), (None, text), (None, None)], "doc_id long, text string")
     assert sorted((r["doc_id"] or -1, len(r["kept"])) for r in remove_repeats(docs).collect()) == [(-1, 0), (-1, 0), (1, len(text)), (1, len(text))]
     assert remove_repeats(no_documents(spark)).count() == 0
+
+
+def test_null_and_repeated_ids(spark):
+    """The windows of one text take nothing of another with the same doc_id, or none."""
+    passage = prose(8, 50)
+    texts = [prose(400 + i, 20 + i) + chr(65 + i) + passage + chr(85 - i) + prose(430 + i, 25) for i in range(10)]
+    docs = spark.createDataFrame([(None if i < 5 else 3, t) for i, t in enumerate(texts)] + [(1, passage)], "doc_id long, text string").repartition(3)
+    expected = sorted(want({0: passage} | {1 + i: t for i, t in enumerate(texts)}).values())
+    for hot in (4096, 2):
+        rows = remove_repeats(docs, hot=hot).collect()
+        assert sorted((r["n_bytes"], hashlib.sha256(r["kept"]).hexdigest(), len(r["starts"])) for r in rows) == expected
