@@ -416,6 +416,7 @@ def _week(spark: SparkSession, sf_dir: str) -> DataFrame:
     return normalize.to_programs(normalize.first_wins(rows, ["channel_id", "start_time", "end_time"], ORDER))
 
 
+WHOLE = f"{CHANNELS_SQL}, {AIRINGS_SQL}, {FIRST}"
 WEEK = f"{CHANNELS_SQL}, {AIRINGS_SQL}, {FIRST.replace('from airing_src', f'from airing_src where start_time >= {SLOT[0]!r} and start_time < {SLOT[1]!r}')}"
 
 
@@ -457,6 +458,11 @@ def view_guide_json(spark, sf_dir):
     return view.guide_json(_channels(spark, sf_dir), _week(spark, sf_dir)).select("id", "body")
 
 
+@query(SQL["view_guide_json"].replace(WEEK, WHOLE))
+def view_guide_json_all(spark, sf_dir):
+    return view.guide_json(_channels(spark, sf_dir), _programs(spark, sf_dir)).select("id", "body")
+
+
 _NAMES = "".join(f" || '    <display-name>' || {n} || '</display-name>' || chr(10)" for n in (_xml("channel_no || ' ' || call_sign"), _xml("channel_no"), _xml("call_sign"), _xml(_title("affiliate"))))
 
 
@@ -496,6 +502,11 @@ def xmltv_document(spark, sf_dir):
     return publish.document(_channels(spark, sf_dir), _week(spark, sf_dir))
 
 
+@query(SQL["xmltv_document"].replace(WEEK, WHOLE))
+def xmltv_document_all(spark, sf_dir):
+    return publish.document(_channels(spark, sf_dir), _programs(spark, sf_dir))
+
+
 @query("select 'xmlguide.' || strftime(d, '%Y%m%d') || '.xmltv' as name from (select distinct l_shipdate d from lineitem) order by 1 desc limit 7")
 def retention_top7(spark, sf_dir):
     dates = table(spark, sf_dir, "lineitem").select("l_shipdate").distinct()
