@@ -84,8 +84,8 @@ class Forest:
             hi[t] = np.searchsorted(self.codes[t], base | free[0], "right")
         return lo, hi
 
-    def candidates(self, queries: np.ndarray, want: int):
-        """For each query, the entries under the deepest common depth that holds ``want`` entries over all trees."""
+    def candidates(self, queries: np.ndarray, want: int, k: int):
+        """For each query, the entries under the deepest common depth that holds ``want`` entries over all trees, and more than ``k`` distinct ones (its own may be among them) if there are as many."""
         unit = queries / np.linalg.norm(queries, axis=1)[:, None]
         codes = self._codes(np.hstack([unit, np.zeros((len(unit), 1))]).astype(np.float32))
         low, high = np.zeros(len(queries), dtype=np.int64), np.full(len(queries), self.bits, dtype=np.int64)
@@ -96,7 +96,13 @@ class Forest:
             low, high = np.where(enough, middle, low), np.where(enough, high, middle - 1)
         lo, hi = self._range(codes, low)
         for i in range(len(queries)):
-            yield np.unique(np.concatenate([self.order[t, lo[t, i] : hi[t, i]] for t in range(self.trees)]))
+            found = np.unique(np.concatenate([self.order[t, lo[t, i] : hi[t, i]] for t in range(self.trees)]))
+            depth = low[i : i + 1]
+            while len(found) <= k and depth[0] > 0:
+                depth = depth - 1
+                a, b = self._range(codes[:, i : i + 1], depth)
+                found = np.unique(np.concatenate([self.order[t, a[t, 0] : b[t, 0]] for t in range(self.trees)]))
+            yield found
 
 
 def search_shard(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int, norm: float, trees: int, bits: int, share: float, least: int, seed: int) -> tuple[list, list, list]:
@@ -104,7 +110,7 @@ def search_shard(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, qu
     forest = Forest(vectors, norm, trees, bits, seed)
     want = max(least, int(share * len(ids)))
     out: tuple[list, list, list] = ([], [], [])
-    for i, found in enumerate(forest.candidates(queries, want)):
+    for i, found in enumerate(forest.candidates(queries, want, k)):
         found = found[ids[found] != query_ids[i]]
         if not len(found):
             continue
