@@ -90,7 +90,7 @@ def test_short_lines(spark, tmp_path):
 def test_null_and_repeated_ids(spark):
     """Each distinct text of one doc_id, or of none, is a document of its own."""
     shared = prose(41, 12)
-    texts = ["\n".join([prose(600 + i, 12), shared, prose(640 + i, 12)]) for i in range(12)]
+    texts = ["\n".join([*[prose(600 + 9 * i + k, 12) for k in range(i % 4 + 1)], shared, *[prose(800 + 9 * i + k, 12) for k in range(4)]]) for i in range(12)]
     rows = [(None if i < 6 else 3, t) for i, t in enumerate(texts)] + [(1, shared), (None, texts[0])]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     got = sorted((r["doc_id"] or 0, r["text"]) for r in dedup_lines(docs).collect())
