@@ -6,42 +6,54 @@ the result is the expected severity, the sum of the P(grade >= k), with the grad
 whose probability is largest.
 
 Features of a text are the presence of its words and of word prefixes (families of
-inflected insults share their stem).  The labels are binary, so a labelled toxic text
+inflected insults share their stem); a word of more than ``LONGEST`` letters has its
+prefixes only.  The labels are binary, so a labelled toxic text
 is graded severe when it holds more distinct marked words than the median
 labelled toxic text; marked words come from the log odds of the same sample.
 
 The classifier is fitted on at most ``sample`` labelled documents of each class,
-chosen by hash of doc_id; scoring covers whole texts of all documents.
+chosen by hash of doc_id; labelled texts with the same label and the same set of words
+count once.  Features are counted and chosen in Spark; to the driver come at most
+``most_features`` names with their counts and, for each text of the sample, the numbers of
+those that it holds, whatever the length of the texts.  Scoring covers whole texts of all documents.
 
 Defined results: null or empty text has no features and takes the prior severity; null
-labels and labels of unknown documents are ignored; without labels of both classes
-every document has severity 0; repeated rows are scored alike; empty tables give
+labels and labels of unknown documents are ignored; a document with labels of both kinds is
+toxic; of labelled rows that repeat a doc_id with other texts each counts; without labels of
+both classes every document has severity 0; repeated rows are scored alike; empty tables give
 empty results; other columns of the inputs are ignored.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
-import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .storage import fresh, small_batches
+from .storage import Workspace, fresh, small_batches
 
 _WORD = re.compile(r"\w+")
 _CACHE = 100_000
-SIGNIFICANT = 24.0
+SIGNIFICANT = 24.0  # twice the log likelihood ratio that chance doesn't explain
+MARKED = 3.0  # log odds of a marked word
+LONGEST = 64
 
 
 def features(word: str) -> tuple[str, ...]:
     """A lower-case word, and its first four and five letters where it is longer."""
-    return (word, *["^" + word[:n] for n in (4, 5) if len(word) > n])
+    stems = ["^" + word[:n] for n in (4, 5) if len(word) > n]
+    return (word, *stems) if len(word) <= LONGEST else tuple(stems)
+
+
+def words_of(text: str | None) -> set[str]:
+    """The distinct lower-case words of a text, found one after the other."""
+    return {m.group() for m in _WORD.finditer(text.lower())} if text else set()
 
 
 @dataclass
@@ -57,15 +69,14 @@ class OrdinalModel:
         weights, out = self.weights, []
         for text in texts:
             held: set[str] = set()
-            if text:
-                for word in set(_WORD.findall(text.lower())):
-                    own = known.get(word)
-                    if own is None:
-                        own = tuple(f for f in features(word) if f in weights)
-                        if len(known) < _CACHE:
-                            known[word] = own
-                    if own:
-                        held.update(own)
+            for word in words_of(text):
+                own = known.get(word)
+                if own is None:
+                    own = tuple(f for f in features(word) if f in weights)
+                    if len(known) < _CACHE:
+                        known[word] = own
+                if own:
+                    held.update(own)
             out.append(sum(sorted([weights[f] for f in held])))
         return np.array(out, dtype=np.float64)
 
@@ -74,85 +85,89 @@ class OrdinalModel:
         return 1.0 / (1.0 + np.exp(-np.clip(margins[:, None] - np.array(self.thresholds)[None, :], -700, 700)))
 
 
-def _likelihood_ratio(k: list[int], n: list[int]) -> float:
-    """Twice the log likelihood ratio of a feature's counts k in classes of n texts against one common rate."""
-    rate, total = (k[0] + k[1]) / (n[0] + n[1]), 0.0
-    for seen, texts in zip(k, n, strict=True):
-        for part, expected in ((seen, texts * rate), (texts - seen, texts * (1 - rate))):
-            if part:
-                total += part * np.log(part / expected)
-    return 2 * total
-
-
-def fit(texts: list[str | None], toxic: list[int], most_features: int = 4096, rounds: int = 400, l2: float = 1e-6) -> OrdinalModel:
-    """Fit on labelled texts in memory; gradient steps on the whole sample, nothing random."""
-    y = np.array(toxic, dtype=np.int64)
+def likelihood(w: np.ndarray, b: np.ndarray, rows: list[np.ndarray], grade: np.ndarray, weigh: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """The weighted log likelihood of ``grade`` and its gradients by w and b; rows: the features of each text."""
+    n, at = len(rows), np.arange(len(rows))
+    flat = np.concatenate(rows) if n else np.zeros(0, dtype=np.int64)
+    of = np.repeat(at, [len(r) for r in rows])
+    p = 1 / (1 + np.exp(-np.clip(np.bincount(of, w[flat], minlength=n)[:, None] - b[None, :], -30, 30)))
+    ones, zeros = np.ones((n, 1)), np.zeros((n, 1))
+    above, slope = np.concatenate([ones, p, zeros], 1), np.concatenate([zeros, p * (1 - p), zeros], 1)
+    # A grade's probability is the interval between its two thresholds.
+    mass = np.maximum(above[at, grade] - above[at, grade + 1], 1e-9)
+    upper, lower = slope[at, grade] / mass * weigh, slope[at, grade + 1] / mass * weigh
+    by_b = np.array([np.sum(np.where(grade == k - 1, lower, 0)) - np.sum(np.where(grade == k, upper, 0)) for k in range(1, len(b) + 1)])
+    return float(np.sum(np.log(mass) * weigh)), np.bincount(flat, (upper - lower)[of], minlength=len(w)), by_b
+
+
+def fit(names: list[str], odds: np.ndarray, rows: list[np.ndarray], toxic: np.ndarray, rounds: int = 400, l2: float = 1e-6) -> OrdinalModel:
+    """Fit on the sample: ``rows`` are numbers of the features ``names`` that each text holds; nothing is random."""
+    y = np.asarray(toxic, dtype=np.int64)
     if not len(y) or y.min() == y.max():
         return OrdinalModel()
-    # Copies and near copies count once: one text for each label and three smallest word hashes.
-    kept: dict[tuple, int] = {}
-    for i, t in enumerate(texts):
-        sketch = sorted(zlib.crc32(w.encode()) for w in set(_WORD.findall(t.lower())))[:3] if t else []
-        kept.setdefault((toxic[i], *sketch), i)
-    texts, y = [texts[i] for i in kept.values()], y[list(kept.values())]
-    sets = [set().union(*[features(w) for w in set(_WORD.findall(t.lower()))]) if t else set() for t in texts]
-    seen = [Counter(), Counter()]
-    for held, label in zip(sets, y, strict=True):
-        seen[label].update(held)
-    n = [int((y == 0).sum()), int((y == 1).sum())]
-    odds, gain = {}, {}
-    for f in seen[1].keys() | seen[0].keys():
-        k = [seen[0][f], seen[1][f]]
-        if k[0] + k[1] >= 3:
-            odds[f] = np.log((k[1] + 0.5) / (n[1] + 1)) - np.log((k[0] + 0.5) / (n[0] + 1))
-            gain[f] = _likelihood_ratio(k, n)
-    # Only features whose counts chance doesn't explain, those that tell most first.
-    names = sorted((f for f, g in gain.items() if g >= SIGNIFICANT), key=lambda f: (-gain[f], f))[:most_features]
-    at = {f: i for i, f in enumerate(names)}
-    marked = {f for f in names if odds[f] > 3 and not f.startswith("^")}
-    held = np.array([len(h & marked) for h in sets])
+    marked = (odds > MARKED) & np.array([not f.startswith("^") for f in names], dtype=bool) if names else np.zeros(0, dtype=bool)
+    held = np.array([int(marked[r].sum()) for r in rows])
     grade = y + ((y == 1) & (held > np.median(held[y == 1])))
-
-    rows = [np.array(sorted(at[f] for f in h if f in at), dtype=np.int64) for h in sets]
-    counts = np.array([len(r) for r in rows])
-    flat = np.concatenate(rows) if counts.sum() else np.zeros(0, dtype=np.int64)
-    of = np.repeat(np.arange(len(rows)), counts)
+    weigh = np.where(y == 1, 0.5 / (y == 1).sum(), 0.5 / (y == 0).sum())
     w, b = np.zeros(len(names)), np.array([1.0, 2.0])
-    m_w, v_w, m_b, v_b = np.zeros_like(w), np.zeros_like(w), np.zeros(2), np.zeros(2)
-    weigh = np.where(y == 1, 0.5 / n[1], 0.5 / n[0])
+    moments = [(np.zeros_like(x), np.zeros_like(x)) for x in (w, b)]
     for step in range(1, rounds + 1):
-        x = np.bincount(of, w[flat], minlength=len(rows))
-        p = 1 / (1 + np.exp(-np.clip(x[:, None] - b[None, :], -30, 30)))
-        # Log likelihood of the interval between neighbouring thresholds.
-        above = np.concatenate([np.ones((len(rows), 1)), p, np.zeros((len(rows), 1))], 1)
-        mass = np.maximum(above[np.arange(len(rows)), grade] - above[np.arange(len(rows)), grade + 1], 1e-9)
-        slope = np.concatenate([np.zeros((len(rows), 1)), p * (1 - p), np.zeros((len(rows), 1))], 1)
-        upper, lower = slope[np.arange(len(rows)), grade], slope[np.arange(len(rows)), grade + 1]
-        d_x = -(upper - lower) / mass * weigh
-        g_w = np.bincount(flat, d_x[of], minlength=len(names)) + l2 * w
-        g_b = np.zeros(2)
-        for k in (1, 2):
-            g_b[k - 1] = np.sum(np.where(grade == k, upper, 0) / mass * weigh) - np.sum(np.where(grade == k - 1, lower, 0) / mass * weigh)
-        for g, m, v, value in ((g_w, m_w, v_w, w), (g_b, m_b, v_b, b)):
-            m *= 0.9
-            m += 0.1 * g
-            v *= 0.999
-            v += 0.001 * g * g
+        _, by_w, by_b = likelihood(w, b, rows, grade, weigh)
+        for g, (m, v), value in zip((l2 * w - by_w, -by_b), moments, (w, b), strict=True):
+            m += 0.1 * (g - m)
+            v += 0.001 * (g * g - v)
             value -= 0.2 / np.sqrt(step) * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
         b[1] = max(b[1], b[0] + 0.05)
-    return OrdinalModel({f: float(w[i]) for f, i in at.items() if abs(w[i]) > 1e-6}, (float(b[0]), float(b[1])))
+    return OrdinalModel({f: float(w[i]) for i, f in enumerate(names) if abs(w[i]) > 1e-6}, (float(b[0]), float(b[1])))
+
+
+def _held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``toxic, words, feature``: each distinct feature of each text, and a hash of the text's set of words."""
+    fresh()
+    for batch in batches:
+        for text, label in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+            own = words_of(text.as_py())
+            code = hashlib.blake2b("\n".join(sorted(own)).encode("utf-8", "replace"), digest_size=16).digest()
+            found = sorted({f for w in own for f in features(w)})
+            for at in range(0, max(1, len(found)), 50_000):
+                yield pa.RecordBatch.from_arrays([pa.array([label], pa.int32()), pa.array([code], pa.binary()), pa.array([found[at : at + 50_000]], pa.list_(pa.string()))], names=["toxic", "words", "features"])
+
+
+def _gain(n: list[int]) -> Column:
+    """Twice the log likelihood ratio of a feature's counts k0 and k1 in classes of n texts against one common rate."""
+    rate, total = (F.col("k0") + F.col("k1")) / float(sum(n)), F.lit(0.0)
+    for seen, texts in ((F.col("k0"), n[0]), (F.col("k1"), n[1])):
+        for part, expected in ((seen, rate * texts), (F.lit(texts) - seen, (1 - rate) * texts)):
+            total = total + F.when(part > 0, part * F.log(part / expected)).otherwise(0.0)
+    return 2 * total
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = 3000, most_features: int = 4096) -> OrdinalModel:
     """Fit on at most ``sample`` labelled documents of each class."""
-    known = labels.select(F.col("doc_id").alias("_id"), F.col("toxic").cast("int").alias("_toxic")).where("_id is not null and _toxic in (0, 1)").dropDuplicates(["_id"])
+    ws = Workspace(docs.sparkSession, "toxicity")
+    known = labels.select(F.col("doc_id").cast("long").alias("_id"), F.col("toxic").cast("int").alias("_toxic")).where("_id is not null and _toxic in (0, 1)").groupBy("_id").agg(F.max("_toxic").alias("_toxic"))
     order = [F.xxhash64("_id"), F.col("_id")]
     # Two bounded tables of ids, so the join with the documents never moves a text.
     chosen = known.where("_toxic = 1").orderBy(*order).limit(sample).unionByName(known.where("_toxic = 0").orderBy(*order).limit(sample))
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select("_id", "text", "_toxic")
-    words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"(?U)\w+"), F.lit(0)))
-    rows = rows.select("_id", F.array_join(words, " ").alias("text"), "_toxic").toPandas().drop_duplicates("_id").sort_values("_id")
-    return fit([t if isinstance(t, str) else None for t in rows["text"]], rows["_toxic"].tolist(), most_features)
+    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select("text", "_toxic")
+    held = ws.cut(texts.mapInArrow(_held, "toxic int, words binary, features array<string>"), "held")
+    n = {r["toxic"]: r["n"] for r in held.groupBy("toxic").agg(F.countDistinct("words").alias("n")).collect()}
+    if len(n) < 2:
+        return OrdinalModel()
+    single = held.select("toxic", "words", F.explode("features").alias("feature")).distinct()
+    counts = single.groupBy("feature").agg(F.count_if(F.col("toxic") == 0).alias("k0"), F.count_if(F.col("toxic") == 1).alias("k1")).where("k0 + k1 >= 3")
+    # Only features whose counts chance doesn't explain, those that tell most first.
+    top = counts.withColumn("gain", _gain([n[0], n[1]])).where(F.col("gain") >= SIGNIFICANT).orderBy(F.desc("gain"), "feature").limit(most_features).collect()
+    names = [r["feature"] for r in top]
+    odds = np.array([np.log((r["k1"] + 0.5) / (n[1] + 1)) - np.log((r["k0"] + 0.5) / (n[0] + 1)) for r in top])
+    numbered = F.broadcast(docs.sparkSession.createDataFrame(list(enumerate(names)), "number int, name string"))
+    found = ws.again(held).select("toxic", "words", F.explode_outer("features").alias("feature")).join(numbered, F.col("feature") == F.col("name"), "left")
+    # A row of at most most_features numbers for each text of the sample.
+    table = found.groupBy("toxic", "words").agg(F.sort_array(F.collect_set("number")).alias("numbers")).orderBy("toxic", "words").select("toxic", "numbers").toArrow()
+    rows = [np.asarray(r.values.to_numpy(zero_copy_only=False), dtype=np.int64) for r in table["numbers"]]
+    model = fit(names, odds, rows, table["toxic"].to_numpy())
+    ws.drop(held)
+    return model
 
 
 def keep_clean(docs: DataFrame, model: OrdinalModel) -> DataFrame:
