@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 U64 = np.uint64
 _SEP = np.zeros(256, dtype=bool)
@@ -102,6 +103,14 @@ def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     return mix((total[ends] - total[starts]) * powers(len(raw) + 1)[1][starts])
 
 
+def strong_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Both halves of a 128-bit hash of each span of bytes: spans with one hash are taken as equal."""
+    view = memoryview(np.ascontiguousarray(raw))
+    told = b"".join([xxhash.xxh3_128_digest(view[a:b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)])
+    halves = np.frombuffer(told, dtype=np.int64).reshape(-1, 2)
+    return np.ascontiguousarray(halves[:, 0]), np.ascontiguousarray(halves[:, 1])
+
+
 def shingles(raw: np.ndarray, offsets: np.ndarray, size: int = 5) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of the word shingles of each row (repeats kept) and their offsets.
 

@@ -1,6 +1,6 @@
 """Fuzzy line dedup by MinHash.
 
-Lines are split at line feeds.  Equal lines meet by a 64-bit hash.  Character shingles
+Lines are split at line feeds.  Equal lines meet by a 128-bit hash.  Character shingles
 (``size`` bytes) of each line give min-hash signatures, whose bands gather candidates
 (``bands`` keys of ``band_rows`` minima: 998 of 1000 pairs at similarity 0.8, all but one
 in a hundred thousand at 0.9); candidates are verified by exact Jaccard similarity of
@@ -64,7 +64,7 @@ def gram_sets(texts: pa.ChunkedArray, size: int) -> list[np.ndarray]:
 
 
 def signed_lines(docs: DataFrame, least: int, size: int, bands: int, band_rows: int, seed: int = 17) -> DataFrame:
-    """``doc, line, hash, keys`` from ``_airgrid_doc, text``: each line of at least ``least`` bytes; keys are null where this worker has given them before, and of lines below ``size`` bytes."""
+    """``doc, line, hash, more, keys`` from ``_airgrid_doc, text``: each line of at least ``least`` bytes, with both halves of its hash; keys are null where this worker has given them before, and of lines below ``size`` bytes."""
     factors, shifts = hashing.hash_family(bands * band_rows, seed)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -79,7 +79,7 @@ def signed_lines(docs: DataFrame, least: int, size: int, bands: int, band_rows:
                 if not len(long_):
                     continue
                 starts, ends, rows, number = starts[long_], ends[long_], rows[long_], number[long_]
-                h = hashing.span_hashes(raw, starts, ends).view(np.int64)
+                h, more = hashing.strong_hashes(raw, starts, ends)
                 _, first = np.unique(h, return_index=True)
                 first = np.sort(first[(ends - starts)[first] >= size])
                 new = np.array([k for k in first.tolist() if h[k].item() not in given], dtype=np.int64)
@@ -99,12 +99,12 @@ def signed_lines(docs: DataFrame, least: int, size: int, bands: int, band_rows:
                 made[new] = True
                 ends_of = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(ends_of), pa.array(keys.ravel().view(np.int64)), mask=pa.array(~made))
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), pa.array(number.astype(np.int32)), pa.array(h), lists], names=["doc", "line", "hash", "keys"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), pa.array(number.astype(np.int32)), pa.array(h), pa.array(more), lists], names=["doc", "line", "hash", "more", "keys"])
 
-    return docs.select(KEY, "text").where("text is not null").mapInArrow(run, "doc long, line int, hash long, keys array<long>")
+    return docs.select(KEY, "text").where("text is not null").mapInArrow(run, "doc long, line int, hash long, more long, keys array<long>")
 
 
-def dedup_lines(docs: DataFrame, least: int = 24, size: int = 8, percent: int = 80, bands: int = 12, band_rows: int = 4, block_weight: int = 2_000_000) -> DataFrame:
+def dedup_lines(docs: DataFrame, least: int = 1, size: int = 8, percent: int = 80, bands: int = 12, band_rows: int = 4, block_weight: int = 2_000_000) -> DataFrame:
     """``docs`` (doc_id, text and others) with the repeated lines taken out of text, and ``n_lines``, ``n_removed``.
 
     With ``least`` above 1, shorter lines are left alone however often they occur.
@@ -120,19 +120,23 @@ def dedup_lines(docs: DataFrame, least: int = 24, size: int = 8, percent: int =
     found = lines.join(send(groups), F.col("hash") == F.col("node")).groupBy("node", "component").agg(F.min(place).alias("at"))
     wanted = found.groupBy(F.col("at.doc").alias("_id")).agg(F.collect_list(F.struct("node", F.col("component").alias("grp"), F.col("at.line").alias("line"))).alias("wanted"))
     texts = keyed.select(KEY, F.split("text", "\n", -1).alias("all")).where("all is not null").join(send(ws.cut(wanted, "wanted")), F.col(KEY) == F.col("_id"))
-    members = texts.select("all", F.explode("wanted").alias("w")).select("w.node", "w.grp", F.get("all", F.col("w.line")).alias("text")).where("text is not null")
+    taken = F.transform("wanted", lambda w: F.struct(w["node"].alias("node"), w["grp"].alias("grp"), F.get("all", w["line"]).alias("text")))
+    members = texts.select(F.explode(taken).alias("w")).select("w.*").where("text is not null")
     members = members.withColumn("weight", F.octet_length("text").cast("long"))
     links = ws.cut(exact_links(members, lambda t: gram_sets(t, size), percent, block_weight), "links")
     joined = ws.cut(components(ws, links), "components")
 
-    classed = lines.select("doc", "line", "hash").join(send(joined), F.col("hash") == F.col("node"), "left").select("doc", "line", F.coalesce("component", "hash").alias("class"))
-    classed = ws.cut(classed, "classed")
-    first = classed.groupBy("class").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").select(F.col("class").alias("_class"), "first")
-    again = ws.again(classed).join(first, F.col("class") == F.col("_class")).where(place != F.col("first"))
-    removed = ws.cut(again.groupBy(F.col("doc").alias("_id")).agg(F.sort_array(F.collect_set("line")).alias("removed")), "removed")
-    removed = removed.select(F.col("_id").alias("_airgrid_id"), F.col("removed").alias("_airgrid_gone"))
+    # The class of a line is its component, or its own 128-bit hash.
+    own = F.col("component").isNull()
+    classed = lines.select("doc", "line", "hash", "more").join(send(joined), F.col("hash") == F.col("node"), "left")
+    classed = ws.cut(classed.select("doc", "line", F.coalesce("component", "hash").alias("class"), F.when(own, F.col("more")).otherwise(0).alias("rest")), "classed")
+    first = classed.groupBy("class", "rest").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1")
+    first = ws.cut(first.select(F.col("class").alias("_class"), F.col("rest").alias("_rest"), F.col("first.doc").alias("_doc"), F.col("first.line").alias("_line")), "first")
+    again = ws.again(classed).join(send(first), (F.col("class") == F.col("_class")) & (F.col("rest") == F.col("_rest"))).where("doc != _doc or line != _line")
+    removed = ws.cut(again.groupBy(F.col("doc").alias("_airgrid_id")).agg(F.sort_array(F.collect_set("line")).alias("_airgrid_gone")), "removed")
     out = keyed.join(send(removed), F.col(KEY) == F.col("_airgrid_id"), "left")
     all_lines, gone = F.split("text", "\n", -1), F.col("_airgrid_gone")
-    kept = F.when(gone.isNull(), F.col("text")).otherwise(F.array_join(F.filter(all_lines, lambda x, i: ~F.array_contains(gone, i)), "\n"))
+    left = F.array_except(F.sequence(F.lit(0), F.size(all_lines) - 1), gone)
+    kept = F.when(gone.isNull(), F.col("text")).otherwise(F.array_join(F.transform(left, lambda i: F.get(all_lines, i)), "\n"))
     rest = [F.col(c) for c in docs.columns if c not in ("text", "n_lines", "n_removed")]
     return out.select(*rest, kept.alias("text"), F.coalesce(F.size(all_lines), F.lit(0)).cast("long").alias("n_lines"), F.when(F.col("text").isNull(), 0).otherwise(F.coalesce(F.size(gone), F.lit(0))).cast("long").alias("n_removed"))
