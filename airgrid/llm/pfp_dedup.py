@@ -1,4 +1,4 @@
-"""Repeated substrings by prefix-free parsing, without a suffix array of the corpus.
+"""Repeated substrings by prefix-free parsing.
 
 Goal: every byte that a string of ``length`` bytes covers which also starts earlier,
 in a smaller doc_id or before in the same document.
@@ -8,18 +8,22 @@ in a smaller doc_id or before in the same document.
    trigger begins a phrase.  Triggers depend on content only, so copies parse alike.
    A phrase is known by the bytes that its windows cover, so phrases overlap and
    none is a prefix of another with the same windows.
-2. Dictionary.  Equal phrases meet by 128-bit hash.  All windows of all but the
+2. Dictionary.  Equal phrases meet by a 128-bit hash.  All windows of all but the
    earliest are repeats; highly repetitive text ends here.
-3. Parse order.  A window of the dictionary can repeat only where its anchor occurs in another run
-   of the dictionary, so anchors are counted, and unique text ends here.
-4. Dictionary order.  The dictionary's suffixes at such runs, cut at ``length`` bytes, are
-   sorted within their anchor by hash and then place in the corpus; all but the first
-   of an equal stretch repeat.  With an anchor of more than ``hot`` runs each task settles
-   the runs it holds and sends the first of each equal stretch only, dealt by hash of the
-   suffix, so no anchor and no passage gathers in one task.
-
-Suffixes are put in the order of their hashes and not of their bytes: only equal
-stretches and the first of each count here, and hashes give the same.
+3. Active suffixes.  A window of the dictionary can repeat only where its anchor occurs in another run
+   of the dictionary, so anchors are counted, and unique text ends here.  The runs that are left
+   are dealt by anchor, as equal windows have one anchor.
+4. Suffix arrays.  A task holds the runs of whole anchors as a dictionary of distinct byte strings and a
+   parse, the numbers of the strings in corpus order.  Prefix doubling sorts the dictionary's suffixes by
+   their first ``length`` bytes (exactly, in byte order); sorting the parse by number gives the places of each
+   string in corpus order.  Both combined put the windows in the order of their bytes and then of their
+   places in the corpus, and all but the first of an equal stretch repeat.
+5. With an anchor of more than ``hot`` runs each task does the same with the runs it happens to hold
+   and sends the first of each equal stretch only, dealt by a 128-bit hash of the window, so no anchor and no
+   passage gathers in one task.
+
+A window ends within the bytes that its run holds, so two windows never tie beyond the dictionary, and of the
+parse's suffix array only the first level, the order of numbers and then places, is needed.
 
 Defined results: null and empty text has 0 bytes; texts shorter than ``length`` keep all;
 a null doc_id comes after all others; rows that agree in doc_id and text (or in text, where
@@ -93,16 +97,12 @@ class Parse:
         self.phrase = head[self.run_at] | (hashing.mix(self.anchor.copy()) % U64(trigger) == 0)
 
     def phrases(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """First window, number of windows and both hashes of each phrase."""
+        """First window, number of windows and both halves of a hash of each phrase."""
         first = np.flatnonzero(self.phrase)
         at = self.run_at[first]
         last = np.append(first[1:], len(self.run_at)) - 1
         end = self.run_at[last] + self.run_n[last]
-        hashes = []
-        for which in (0, 1):
-            total = hashing.prefix_sums(self.raw, which)
-            hashes.append(hashing.mix((total[end + self.length - 1] - total[at]) * hashing.powers(len(self.raw) + 1, which)[1][at]))
-        return at, end - at, hashes[0], hashes[1]
+        return at, end - at, *hashing.strong_hashes(self.raw, at, end + self.length - 1)
 
 
 def _pack(at: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -114,12 +114,58 @@ def _unpack(places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return places >> 31, places & 0x7FFFFFFF
 
 
-def _groups(h: np.ndarray, anchor: np.ndarray, doc: np.ndarray, window: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Windows in order of content and then place, and for each the first of the same content."""
-    order = np.lexsort((window, doc, anchor, h))
-    new = np.ones(len(h), dtype=bool)
-    new[1:] = (h[order[1:]] != h[order[:-1]]) | (anchor[order[1:]] != anchor[order[:-1]])
-    return order, order[np.maximum.accumulate(np.where(new, np.arange(len(h)), 0))] if len(h) else order
+def suffix_ranks(raw: np.ndarray, length: int) -> np.ndarray:
+    """The place in byte order of the ``length`` bytes from each position on, by prefix doubling; equal bytes have one rank."""
+    dense = lambda x: np.unique(x, return_inverse=True)[1].astype(U64)
+    known = min(8, length)
+    n = len(raw) - known + 1
+    if n <= 0:
+        return np.zeros(0, dtype=U64)
+    head = np.zeros(n, dtype=U64)
+    for k in range(known):
+        head = head << U64(8) | raw[k : k + n].astype(U64)
+    rank = dense(head)
+    while known < length:
+        step = min(known, length - known)
+        many = U64(len(raw) + 1)
+        rank = dense(rank[: max(0, len(rank) - step)] * many + rank[step:])
+        known += step
+    return rank
+
+
+def repeats(doc: np.ndarray, at: np.ndarray, n: np.ndarray, data: pa.Array, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """All windows of the runs of one task, whose rows are in corpus order within each anchor: row, window, whether it repeats, its place in the dictionary's bytes, and these.
+
+    ``data``: the bytes that the windows of each run cover.
+    """
+    told = data.dictionary_encode()
+    raw, offsets = hashing.buffers(told.dictionary)
+    parse = told.indices.to_numpy(zero_copy_only=False)
+    rank = suffix_ranks(raw, length)
+    _, first_row = np.unique(parse, return_index=True)  # of each string its first place
+    size = np.maximum(np.diff(offsets) - length + 1, 0)
+    text = np.repeat(np.arange(len(size)), size)
+    start = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + offsets[:-1][text]
+    # Suffixes in byte order, equal ones in corpus order: the first of each stretch is the original.
+    order = np.lexsort((start - offsets[:-1][text], first_row[text], rank[start]))
+    ranked = rank[start[order]]
+    new = np.ones(len(order), dtype=bool)
+    new[1:] = ranked[1:] != ranked[:-1]
+    original = np.zeros(len(raw) + 1, dtype=np.int64)
+    original[start[order]] = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))] if len(order) else order
+    row = np.repeat(np.arange(len(n)), n)
+    within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    place = offsets[:-1][parse[row]] + within
+    first = original[place]
+    of, window = first_row[text[first]], at[row] + within
+    # A row that repeats the first one's doc_id is the first itself.
+    return row, window, (doc[row] != doc[of]) | (window != at[of] + start[first] - offsets[:-1][text[first]]), place, raw
+
+
+def _one(column: pa.ChunkedArray) -> pa.Array:
+    """A column as one array."""
+    column = column.combine_chunks()
+    return column if isinstance(column, pa.Array) else pa.concat_arrays(column.chunks)
 
 
 def _send(places: DataFrame) -> DataFrame:
@@ -151,8 +197,9 @@ def repeated_windows(docs: DataFrame, ws: Workspace, length: int, gram: int, tri
                     yield pa.RecordBatch.from_arrays([pa.array(ids[i:j][rows]), pa.array(_pack(at - p.offsets[rows], n)), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64))], names=["doc", "place", "h1", "h2"])
 
     told = ws.cut(docs.mapInArrow(phrases, "doc long, place long, h1 long, h2 long"), "phrases")
-    first = told.groupBy("h1", "h2").agg(F.min(F.struct("doc", "place")).alias("first"), F.count("*").alias("n")).where("n > 1").select(F.col("h1").alias("_h1"), F.col("h2").alias("_h2"), "first")
-    again = ws.again(told).join(first, (F.col("h1") == F.col("_h1")) & (F.col("h2") == F.col("_h2"))).where(F.struct("doc", "place") != F.col("first")).select("doc", "place")
+    first = told.groupBy("h1", "h2").agg(F.min(F.struct("doc", "place")).alias("first"), F.count("*").alias("n")).where("n > 1")
+    first = ws.cut(first.select(F.col("h1").alias("_h1"), F.col("h2").alias("_h2"), F.col("first.doc").alias("_doc"), F.col("first.place").alias("_place")), "first")
+    again = ws.again(told).join(send(first), (F.col("h1") == F.col("_h1")) & (F.col("h2") == F.col("_h2"))).where("doc != _doc or place != _place").select("doc", "place")
     copied = ws.cut(again, "copied")
     ws.drop(told)
 
@@ -203,18 +250,6 @@ def repeated_windows(docs: DataFrame, ws: Workspace, length: int, gram: int, tri
     held = docs.join(_send(wanted), F.col("doc") == F.col("_doc")).select("doc", "text", "places")
     held = ws.cut(held.mapInArrow(contexts, "doc long, place long, anchor long, hot boolean, bytes binary"), "contexts")
 
-    def window_hashes(doc, place, anchor, data) -> tuple[np.ndarray, ...]:
-        """Row, first window and hash of each window of a batch of runs."""
-        raw, offsets = hashing.buffers(data)
-        at, _ = _unpack(place)
-        n = np.maximum(np.diff(offsets) - length + 1, 0)
-        row = np.repeat(np.arange(len(n)), n)
-        within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        start = offsets[:-1][row] + within
-        total = hashing.prefix_sums(raw)
-        h = hashing.mix((total[start + length] - total[start]) * hashing.powers(len(raw) + 1)[1][start])
-        return row, at[row] + within, hashing.mix(h ^ hashing.mix(anchor[row].view(U64) + U64(1)))
-
     def stretches(doc: np.ndarray, window: np.ndarray, row: np.ndarray) -> pa.RecordBatch:
         """Runs of consecutive windows as places."""
         new = np.ones(len(row), dtype=bool)
@@ -226,13 +261,7 @@ def repeated_windows(docs: DataFrame, ws: Workspace, length: int, gram: int, tri
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def done(table: pa.Table) -> pa.RecordBatch:
             doc = table["doc"].to_numpy()
-            row, window, h = window_hashes(doc, table["place"].to_numpy(), table["anchor"].to_numpy(), table["bytes"])
-            order = np.argsort(h, kind="stable")  # rows are in corpus order within an anchor
-            new = np.ones(len(h), dtype=bool)
-            new[1:] = h[order[1:]] != h[order[:-1]]
-            first = order[np.maximum.accumulate(np.where(new, np.arange(len(h)), 0))] if len(h) else order
-            same = np.zeros(len(h), dtype=bool)  # a row that repeats the first one's doc_id is the first itself
-            same[order] = (doc[row[order]] != doc[row[first]]) | (window[order] != window[first])
+            row, window, same, _, _ = repeats(doc, *_unpack(table["place"].to_numpy()), _one(table["bytes"]), length)
             return stretches(doc, window[same], row[same])
 
         waiting: list[pa.RecordBatch] = []
@@ -264,28 +293,30 @@ def repeated_windows(docs: DataFrame, ws: Workspace, length: int, gram: int, tri
         for batch in batches:
             for at in range(0, batch.num_rows, 8192):
                 part = batch.slice(at, 8192)
-                doc, anchor = part.column(0).to_numpy(), part.column(2).to_numpy()
-                row, window, h = window_hashes(doc, part.column(1).to_numpy(), anchor, part.column(3))
-                order, first = _groups(h.view(np.int64), anchor[row], doc[row], window)
-                same = np.zeros(len(h), dtype=bool)
-                same[order] = (doc[row[order]] != doc[row[first]]) | (window[order] != window[first])
+                part = part.take(pa.array(np.lexsort((part.column(1).to_numpy(), part.column(0).to_numpy()))))
+                doc = part.column(0).to_numpy()
+                row, window, same, place, raw = repeats(doc, *_unpack(part.column(1).to_numpy()), part.column(3), length)
                 known = stretches(doc, window[same], row[same])
                 docs_of = known.column(0).to_numpy()
                 begin = np.flatnonzero(np.append(True, docs_of[1:] != docs_of[:-1])) if len(docs_of) else np.zeros(0, dtype=np.int64)
                 places = pa.ListArray.from_arrays(pa.array(np.append(begin, len(docs_of)).astype(np.int32)), known.column(1))
                 lone = [pa.nulls(len(begin), pa.int32()), pa.nulls(len(begin), pa.binary())]
                 yield pa.RecordBatch.from_arrays([pa.array(docs_of[begin]), places, *lone], names=["doc", "places", "bucket", "blob"])
-                own = np.unique(first)
-                told = np.stack([h[own].view(np.int64), anchor[row[own]], doc[row[own]], window[own]], 1)
-                bucket = (h[own] % U64(buckets)).astype(np.int64)
+                own = np.flatnonzero(~same)
+                h1, h2 = hashing.strong_hashes(raw, place[own], place[own] + length)
+                told = np.stack([h1, h2, doc[row[own]], window[own]], 1)
+                bucket = (h1.view(U64) % U64(buckets)).astype(np.int64)
                 by = np.argsort(bucket, kind="stable")
                 names, begin = np.unique(bucket[by], return_index=True)
                 blobs = [told[by[x:y]].tobytes() for x, y in zip(begin, [*begin[1:], len(by)], strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.nulls(len(names), pa.int64()), pa.nulls(len(names), pa.list_(pa.int64())), pa.array(names.astype(np.int32)), pa.array(blobs, pa.binary())], names=["doc", "places", "bucket", "blob"])
 
     def settle(table: pa.Table) -> pa.Table:
-        h, anchor, doc, window = np.frombuffer(b"".join(table["blob"].to_pylist()), dtype=np.int64).reshape(-1, 4).T
-        order, first = _groups(h, anchor, doc, window)
+        h1, h2, doc, window = np.frombuffer(b"".join(table["blob"].to_pylist()), dtype=np.int64).reshape(-1, 4).T
+        order = np.lexsort((window, doc, h2, h1))
+        new = np.ones(len(order), dtype=bool)
+        new[1:] = (h1[order[1:]] != h1[order[:-1]]) | (h2[order[1:]] != h2[order[:-1]])
+        first = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))] if len(order) else order
         same = order[(doc[order] != doc[first]) | (window[order] != window[first])]
         same = same[np.lexsort((window[same], doc[same]))]
         _, row = np.unique(doc[same], return_inverse=True)

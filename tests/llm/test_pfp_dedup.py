@@ -2,11 +2,14 @@
 
 import hashlib
 
+import numpy as np
 import pytest
 
-from airgrid.llm.pfp_dedup import remove_repeats
+from airgrid.llm import pfp_dedup, storage
+from airgrid.llm.pfp_dedup import remove_repeats, suffix_ranks
 
 from .fixtures import hard_documents, no_documents, prose, texts_of
+from .test_line_dedup import thue_morse
 
 
 def want(texts, length=100):
@@ -78,3 +81,22 @@ def test_null_and_repeated_ids(spark):
     for hot in (4096, 2):
         rows = remove_repeats(docs, hot=hot).collect()
         assert sorted((r["n_bytes"], hashlib.sha256(r["kept"]).hexdigest(), len(r["starts"])) for r in rows) == expected
+
+
+@pytest.mark.parametrize("length", [3, 8, 20, 100])
+def test_suffix_ranks(length):
+    raw = np.frombuffer((prose(4, 60, 9) + "z" * 150 + prose(4, 30, 9)).encode(), dtype=np.uint8)
+    rank = suffix_ranks(raw, length)
+    words = [raw[i : i + length].tobytes() for i in range(len(raw) - length + 1)]
+    assert rank.tolist() == [sorted(set(words)).index(w) for w in words]
+
+
+def test_strings_of_one_weak_hash(spark, monkeypatch):
+    """Strings that polynomial hashes modulo 2**64 can't tell apart, and joins by shuffle behind the count."""
+    monkeypatch.setattr(pfp_dedup, "MOST_SENT", -1)
+    monkeypatch.setattr(storage, "MOST_CELLS", -1)
+    one, two = thue_morse(12)
+    texts = {0: one, 1: two, 2: prose(1, 30) + one[:700] + prose(2, 30)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    for hot in (4096, 1):
+        assert got(docs, hot=hot) == want(texts)
