@@ -43,14 +43,21 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents are loaded with estimated subword counts, sent again, and then revised to the counts of whole texts."""
+    """All documents are loaded with words and estimated subword counts, sent again, and revised to the counts of whole texts.
+
+    Estimates are also loaded as a trial version, which is deleted again, so nothing of it is left.
+    """
     docs = _table(spark, sf_dir, "documents")
     rollup = token_rollup.TokenRollup(spark, Workspace(spark, "token_rollup").path("rollup"))
     estimated = token_rollup.estimate_tokens(docs)
     for _ in range(2):  # the second time nothing changes
         rollup.commit("load", token_rollup.inserts(estimated))
-    revised = F.col("tokenizer") != token_rollup.WORDS
-    rollup.commit("recount", token_rollup.revisions(estimated.where(revised), token_rollup.count_tokens(docs).where(revised)))
+    subword = (token_rollup.SUBWORD,)
+    rollup.commit("recount", token_rollup.revisions(token_rollup.estimate_tokens(docs, versions=subword), token_rollup.count_tokens(docs, versions=subword)))
+    trial = token_rollup.estimate_tokens(docs, versions=("trial",))
+    rollup.commit("trial", token_rollup.inserts(trial))
+    rollup.compact()
+    rollup.commit("retire", token_rollup.deletes(trial))
     return rollup.totals()
 
 

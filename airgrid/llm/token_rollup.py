@@ -3,9 +3,15 @@
 Totals by source, language and tokenizer version are kept as additive deltas.  A
 batch of changes is signed: an insert adds a document's counts, a delete takes them
 away, a revision takes the old counts away and adds the new.  A batch is summed in
-Spark, written below ``batch=<id>`` and becomes visible by one atomic rename of its
-folder, so a batch that is sent again, or was cut short, changes nothing.
-Totals are the sums of all committed deltas; ``compact`` replaces them by one.
+Spark, staged below a name of its own and becomes visible as ``batch=<id>`` by one rename that
+fails where the batch is there already, so a batch that is sent again, sent twice at once, or
+was cut short, changes nothing.  Totals are the sums of all committed deltas.
+
+``compact`` writes the totals, with the ids of the batches they hold, and one rename to
+``state=<n>`` puts both in place; whoever reads takes the highest state and the batches that it
+doesn't hold.  What the state has made superfluous goes in ``vacuum``, and a crash at any point loses
+nothing.  The store must rename a folder in one step (HDFS, local disks, Azure's hierarchical store); plain object
+stores don't.
 
 Defined results: null source, language or version are keys of their own; null counts
 are 0; null text has no tokens; groups whose documents and tokens are both 0 are left
@@ -14,6 +20,7 @@ out; repeated rows count as often as they occur; an empty batch commits and adds
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -39,49 +46,72 @@ class TokenRollup:
         at = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
         return at.getFileSystem(self.spark._jsc.hadoopConfiguration()), self.spark._jvm.org.apache.hadoop.fs.Path
 
-    def batches(self) -> list[str]:
-        """Ids of the committed batches."""
+    def _named(self, prefix: str) -> list[str]:
         fs, path = self._fs()
         if not fs.exists(path(self.path)):
             return []
-        return sorted(s.getPath().getName().removeprefix("batch=") for s in fs.listStatus(path(self.path)) if s.getPath().getName().startswith("batch="))
+        return [n.removeprefix(prefix) for n in (s.getPath().getName() for s in fs.listStatus(path(self.path))) if n.startswith(prefix)]
+
+    def _publish(self, staged: str, final: str) -> bool:
+        """Rename in one step; False if ``final`` is there."""
+        from py4j.protocol import Py4JJavaError
+
+        fs, path = self._fs()
+        jvm = self.spark._jvm
+        options = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)
+        try:
+            jvm.org.apache.hadoop.fs.FileContext.getFileContext(path(self.path).toUri(), self.spark._jsc.hadoopConfiguration()).rename(path(staged), path(final), options)
+        except Py4JJavaError:
+            if not fs.exists(path(final)):
+                raise
+            fs.delete(path(staged), True)
+            return False
+        return True
+
+    def _state(self) -> tuple[int, list[str]]:
+        """Number of the newest state (0: none) and the ids of the batches that it holds."""
+        n = max(map(int, self._named("state=")), default=0)
+        return n, [r["batch"] for r in self.spark.read.schema("batch string").parquet(f"{self.path}/state={n}/held").collect()] if n else []
+
+    def batches(self) -> list[str]:
+        """Ids of the committed batches."""
+        return sorted({*self._state()[1], *self._named("batch=")})
 
     def commit(self, batch: str, changes: DataFrame) -> bool:
         """Sum signed changes (KEYS, docs, tokens) and commit them once; False if the batch is known."""
         if not batch.replace("-", "").isalnum():
             raise ValueError("a batch id is made of letters, digits and dashes")
-        fs, path = self._fs()
-        final = path(f"{self.path}/batch={batch}")
-        if fs.exists(final):
+        if batch in self.batches():
             return False
         deltas = changes.groupBy(*KEYS).agg(F.coalesce(F.sum("docs"), F.lit(0)).alias("docs"), F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens"))
-        staged = f"{self.path}/_staged-{batch}"
-        deltas.coalesce(1).write.mode("overwrite").parquet(staged)
-        if not fs.rename(path(staged), final):
-            fs.delete(path(staged), True)
-            return False
-        return True
+        staged = f"{self.path}/_staged-{batch}-{uuid.uuid4().hex}"
+        deltas.coalesce(1).write.parquet(staged)
+        return self._publish(staged, f"{self.path}/batch={batch}")
 
     def totals(self) -> DataFrame:
         """``source, lang, tokenizer, docs, tokens`` over all committed batches."""
-        known = self.batches()
-        rows = self.spark.read.schema(DELTA).parquet(*[f"{self.path}/batch={b}" for b in known]) if known else self.spark.createDataFrame([], DELTA)
+        n, held = self._state()
+        paths = [f"{self.path}/batch={b}" for b in sorted({*self._named("batch=")} - {*held})] + [f"{self.path}/state={n}/totals"] * bool(n)
+        rows = self.spark.read.schema(DELTA).parquet(*paths) if paths else self.spark.createDataFrame([], DELTA)
         return rows.groupBy(*KEYS).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens")).where("docs != 0 or tokens != 0")
 
     def compact(self) -> None:
-        """Fold all deltas into the first batch's folder; ids of the others stay as empty commits."""
+        """Fold all deltas into a new state."""
+        n, held = self._state()
         known = self.batches()
-        if len(known) < 2:
+        if set(known) == set(held):
             return
+        staged = f"{self.path}/_compact-{uuid.uuid4().hex}"
+        self.totals().select(*KEYS, "docs", "tokens").coalesce(1).write.parquet(f"{staged}/totals")
+        self.spark.createDataFrame([(b,) for b in known], "batch string").coalesce(1).write.parquet(f"{staged}/held")
+        self._publish(staged, f"{self.path}/state={n + 1}")  # another compaction may have been faster
+
+    def vacuum(self) -> None:
+        """Delete batches that the newest state holds and older states; not while someone reads them."""
         fs, path = self._fs()
-        staged = f"{self.path}/_compact"
-        self.totals().select(*KEYS, "docs", "tokens").coalesce(1).write.mode("overwrite").parquet(staged)
-        empty = self.spark.createDataFrame([], DELTA)
-        for i, batch in enumerate(known):
-            fs.delete(path(f"{self.path}/batch={batch}"), True)
-            if i:
-                empty.write.parquet(f"{self.path}/batch={batch}")
-        fs.rename(path(staged), path(f"{self.path}/batch={known[0]}"))
+        n, held = self._state()
+        for name in [f"batch={b}" for b in self._named("batch=") if b in held] + [f"state={k}" for k in self._named("state=") if int(k) < n]:
+            fs.delete(path(f"{self.path}/{name}"), True)
 
 
 def inserts(counted: DataFrame) -> DataFrame:
@@ -99,36 +129,39 @@ def revisions(before: DataFrame, after: DataFrame) -> DataFrame:
     return deletes(before).unionByName(inserts(after))
 
 
-def _both(counted: DataFrame) -> DataFrame:
-    """``source, lang, tokenizer, n_tokens`` from ``source, lang, n_words, n_ids``."""
-    pair = F.array(F.struct(F.lit(WORDS).alias("tokenizer"), F.col("n_words").alias("n_tokens")), F.struct(F.lit(SUBWORD).alias("tokenizer"), F.col("n_ids").alias("n_tokens")))
-    return counted.select("source", "lang", F.explode(pair).alias("c")).select("source", "lang", "c.tokenizer", "c.n_tokens")
+def _each(counted: DataFrame, versions: tuple[str, ...]) -> DataFrame:
+    """``source, lang, tokenizer, n_tokens`` from ``source, lang`` and a column for each version."""
+    rows = F.array(*[F.struct(F.lit(v).alias("tokenizer"), F.col(v).alias("n_tokens")) for v in versions])
+    return counted.select("source", "lang", F.explode(rows).alias("c")).select("source", "lang", "c.tokenizer", "c.n_tokens")
 
 
 def _words() -> Column:
     return F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def estimate_tokens(docs: DataFrame, bytes_per_id: int = 4) -> DataFrame:
-    """As :func:`count_tokens`, with subword ids estimated from bytes: for documents that wait for their count."""
+def estimate_tokens(docs: DataFrame, bytes_per_id: int = 4, versions: tuple[str, ...] = (WORDS, SUBWORD)) -> DataFrame:
+    """As :func:`count_tokens`, with subword ids (any version but words) estimated from bytes: for documents that wait for their count."""
     ids = F.coalesce(F.ceil(F.octet_length("text") / bytes_per_id), F.lit(0)).cast("long")
-    return _both(docs.select("source", "lang", _words().alias("n_words"), ids.alias("n_ids")))
+    return _each(docs.select("source", "lang", *[(_words() if v == WORDS else ids).alias(v) for v in versions]), versions)
 
 
-def count_tokens(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
-    """Two rows for each row of ``docs`` (text, lang, source): ``source, lang, tokenizer, n_tokens``.
+def count_tokens(docs: DataFrame, vocabulary: str | None = None, versions: tuple[str, ...] = (WORDS, SUBWORD)) -> DataFrame:
+    """A row for each version and row of ``docs`` (text, lang, source): ``source, lang, tokenizer, n_tokens``.
 
     Words are maximal runs of non-space bytes, counted in the engine; subword ids are
     those of the public vocabulary over whole texts.
     """
     path = vocabulary or default_vocabulary()
     small_batches(docs.sparkSession)
+    words = _words() if WORDS in versions else F.lit(0).cast("long")
+    if SUBWORD not in versions:
+        return _each(docs.select("source", "lang", words.alias(WORDS)), versions)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fresh(tokens=True)
         encoder = Encoder.of(path)
         for batch in batches:
             counts = pa.array([encoder.count(t.as_py()) for t in batch.column(3)], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), counts], names=["source", "lang", "n_words", "n_ids"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), counts], names=["source", "lang", WORDS, SUBWORD])
 
-    return _both(docs.select("source", "lang", _words().alias("n_words"), "text").mapInArrow(run, "source string, lang string, n_words long, n_ids long"))
+    return _each(docs.select("source", "lang", words.alias(WORDS), "text").mapInArrow(run, f"source string, lang string, {WORDS} long, {SUBWORD} long"), versions)

@@ -45,6 +45,29 @@ def test_batches(spark, tmp_path):
     rollup.compact()
     assert _totals(rollup) == want and rollup.batches() == ["b1", "b2", "b3", "b4", "b5"]
     assert not rollup.commit("b4", inserts(count_tokens(docs)))
+    rollup.commit("b6", inserts(count_tokens(before)))
+    rollup.compact()
+    rollup.vacuum()
+    rollup.commit("b7", deletes(count_tokens(before)))
+    assert _totals(rollup) == want and not rollup.commit("b6", inserts(count_tokens(docs)))
+    assert sorted(p.name for p in (tmp_path / "rollup").iterdir()) == ["batch=b7", "state=2"]
+
+
+def test_two_writers_and_broken_compaction(spark, tmp_path, monkeypatch):
+    """Whoever comes second finds the batch there; a compaction that breaks off before its rename changes nothing."""
+    docs = hard_documents(spark).limit(5)
+    rollup = TokenRollup(spark, f"file://{tmp_path}/rollup")
+    assert rollup.commit("b1", inserts(count_tokens(docs)))
+    want = _totals(rollup)
+    monkeypatch.setattr(TokenRollup, "batches", lambda self: [])  # the other writer's look came too early
+    assert not rollup.commit("b1", inserts(count_tokens(docs)))
+    monkeypatch.undo()
+    monkeypatch.setattr(TokenRollup, "_publish", lambda self, staged, final: False)
+    rollup.compact()
+    monkeypatch.undo()
+    assert _totals(rollup) == want and rollup.batches() == ["b1"]
+    rollup.compact()
+    assert _totals(rollup) == want
 
 
 def test_interrupted_batch(spark, tmp_path):
