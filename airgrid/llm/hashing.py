@@ -11,7 +11,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 
 U64 = np.uint64
 _SEP = np.zeros(256, dtype=bool)
@@ -19,6 +18,7 @@ _SEP[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
+_LOW_BYTES = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=U64)  # masks of the first k bytes
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 _TAKE = np.array([0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], dtype=U64)
 
@@ -104,11 +104,29 @@ def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
 
 
 def strong_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Both halves of a 128-bit hash of each span of bytes: spans with one hash are taken as equal."""
-    view = memoryview(np.ascontiguousarray(raw))
-    told = b"".join([xxhash.xxh3_128_digest(view[a:b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)])
-    halves = np.frombuffer(told, dtype=np.int64).reshape(-1, 2)
-    return np.ascontiguousarray(halves[:, 0]), np.ascontiguousarray(halves[:, 1])
+    """Both halves of a 128-bit hash of each span of bytes; spans with one hash are taken as equal.
+
+    Each 8 bytes of a span are mixed with a key of their place in it, and the results added up, so
+    that no algebra of the bytes carries over to the sums, as it does with a rolling hash.
+    """
+    n = ends - starts
+    words = (n + 7) >> 3
+    row = np.repeat(np.arange(len(n)), words)
+    place = np.arange(len(row)) - np.repeat(np.cumsum(words) - words, words)
+    at = starts[row] + 8 * place
+    padded = np.concatenate([raw, np.zeros(8, dtype=np.uint8)])
+    eights = np.ndarray(len(raw) + 1, dtype="<u8", buffer=padded, strides=(1,))
+    word = eights[at] & _LOW_BYTES[np.minimum(n[row] - 8 * place, 8)]
+    held = np.flatnonzero(words)
+    begin = (np.cumsum(words) - words)[held]
+    out = []
+    for seed in _BASES:
+        keys = mix(np.arange(int(words.max()) if len(words) else 0, dtype=U64) * U64(0x9E6C63D0876A9A47) + U64(seed))
+        total = np.zeros(len(n), dtype=U64)
+        if len(held):
+            total[held] = np.add.reduceat(mix(word ^ keys[place]), begin)
+        out.append(mix(total ^ (n.astype(U64) + U64(seed))).view(np.int64))
+    return out[0], out[1]
 
 
 def shingles(raw: np.ndarray, offsets: np.ndarray, size: int = 5) -> tuple[np.ndarray, np.ndarray]:

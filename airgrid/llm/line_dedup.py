@@ -134,8 +134,8 @@ def dedup_lines(docs: DataFrame, least: int = 1, size: int = 8, percent: int = 8
     first = ws.cut(first.select(F.col("class").alias("_class"), F.col("rest").alias("_rest"), F.col("first.doc").alias("_doc"), F.col("first.line").alias("_line")), "first")
     again = ws.again(classed).join(send(first), (F.col("class") == F.col("_class")) & (F.col("rest") == F.col("_rest"))).where("doc != _doc or line != _line")
     removed = ws.cut(again.groupBy(F.col("doc").alias("_airgrid_id")).agg(F.sort_array(F.collect_set("line")).alias("_airgrid_gone")), "removed")
-    out = keyed.join(send(removed), F.col(KEY) == F.col("_airgrid_id"), "left")
-    all_lines, gone = F.split("text", "\n", -1), F.col("_airgrid_gone")
+    out = keyed.join(send(removed), F.col(KEY) == F.col("_airgrid_id"), "left").withColumn("_airgrid_lines", F.split("text", "\n", -1))
+    all_lines, gone = F.col("_airgrid_lines"), F.col("_airgrid_gone")
     left = F.array_except(F.sequence(F.lit(0), F.size(all_lines) - 1), gone)
     kept = F.when(gone.isNull(), F.col("text")).otherwise(F.array_join(F.transform(left, lambda i: F.get(all_lines, i)), "\n"))
     rest = [F.col(c) for c in docs.columns if c not in ("text", "n_lines", "n_removed")]

@@ -52,8 +52,10 @@ def features(word: str) -> tuple[str, ...]:
 
 
 def words_of(text: str | None) -> set[str]:
-    """The distinct lower-case words of a text, found one after the other."""
-    return {m.group() for m in _WORD.finditer(text.lower())} if text else set()
+    """The distinct lower-case words of a text; those of a very long one are found one after the other."""
+    if not text:
+        return set()
+    return set(_WORD.findall(text.lower())) if len(text) < 1 << 20 else {m.group() for m in _WORD.finditer(text.lower())}
 
 
 @dataclass
@@ -122,15 +124,15 @@ def fit(names: list[str], odds: np.ndarray, rows: list[np.ndarray], toxic: np.nd
 
 
 def _held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """``toxic, words, feature``: each distinct feature of each text, and a hash of the text's set of words."""
+    """``id, toxic, words, features``: the distinct features of each text (a long list in pieces), and a hash of its set of words."""
     fresh()
     for batch in batches:
-        for text, label in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+        for text, label, doc_id in zip(batch.column(0), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
             own = words_of(text.as_py())
             code = hashlib.blake2b("\n".join(sorted(own)).encode("utf-8", "replace"), digest_size=16).digest()
             found = sorted({f for w in own for f in features(w)})
             for at in range(0, max(1, len(found)), 50_000):
-                yield pa.RecordBatch.from_arrays([pa.array([label], pa.int32()), pa.array([code], pa.binary()), pa.array([found[at : at + 50_000]], pa.list_(pa.string()))], names=["toxic", "words", "features"])
+                yield pa.RecordBatch.from_arrays([pa.array([doc_id], pa.int64()), pa.array([label], pa.int32()), pa.array([code], pa.binary()), pa.array([found[at : at + 50_000]], pa.list_(pa.string()))], names=["id", "toxic", "words", "features"])
 
 
 def _gain(n: list[int]) -> Column:
@@ -149,25 +151,28 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 3000, most_features:
     order = [F.xxhash64("_id"), F.col("_id")]
     # Two bounded tables of ids, so the join with the documents never moves a text.
     chosen = known.where("_toxic = 1").orderBy(*order).limit(sample).unionByName(known.where("_toxic = 0").orderBy(*order).limit(sample))
-    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select("text", "_toxic")
-    held = ws.cut(texts.mapInArrow(_held, "toxic int, words binary, features array<string>"), "held")
-    n = {r["toxic"]: r["n"] for r in held.groupBy("toxic").agg(F.countDistinct("words").alias("n")).collect()}
+    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select("text", "_toxic", F.monotonically_increasing_id().alias("_row"))
+    held = ws.cut(texts.mapInArrow(_held, "id long, toxic int, words binary, features array<string>"), "held")
+    # One document for each set of words; both are at most twice the sample.
+    single = held.groupBy("toxic", "words").agg(F.min("id").alias("_one"))
+    one = ws.cut(single.select("_one", F.col("toxic").alias("_as"), F.col("words").alias("_words")), "single")
+    n = {r["_as"]: r["n"] for r in one.groupBy("_as").agg(F.count("*").alias("n")).collect()}
     if len(n) < 2:
         return OrdinalModel()
-    single = held.select("toxic", "words", F.explode("features").alias("feature")).distinct()
+    alike = (F.col("id") == F.col("_one")) & (F.col("words") == F.col("_words")) & (F.col("toxic") == F.col("_as"))
+    held = ws.again(held).join(F.broadcast(one), alike, "left_semi")
+    single = held.select("toxic", F.explode("features").alias("feature"))
     counts = single.groupBy("feature").agg(F.count_if(F.col("toxic") == 0).alias("k0"), F.count_if(F.col("toxic") == 1).alias("k1")).where("k0 + k1 >= 3")
     # Only features whose counts chance doesn't explain, those that tell most first.
     top = counts.withColumn("gain", _gain([n[0], n[1]])).where(F.col("gain") >= SIGNIFICANT).orderBy(F.desc("gain"), "feature").limit(most_features).collect()
     names = [r["feature"] for r in top]
     odds = np.array([np.log((r["k1"] + 0.5) / (n[1] + 1)) - np.log((r["k0"] + 0.5) / (n[0] + 1)) for r in top])
     numbered = F.broadcast(docs.sparkSession.createDataFrame(list(enumerate(names)), "number int, name string"))
-    found = ws.again(held).select("toxic", "words", F.explode_outer("features").alias("feature")).join(numbered, F.col("feature") == F.col("name"), "left")
+    found = held.select("toxic", "words", F.explode_outer("features").alias("feature")).join(numbered, F.col("feature") == F.col("name"), "left")
     # A row of at most most_features numbers for each text of the sample.
     table = found.groupBy("toxic", "words").agg(F.sort_array(F.collect_set("number")).alias("numbers")).orderBy("toxic", "words").select("toxic", "numbers").toArrow()
     rows = [np.asarray(r.values.to_numpy(zero_copy_only=False), dtype=np.int64) for r in table["numbers"]]
-    model = fit(names, odds, rows, table["toxic"].to_numpy())
-    ws.drop(held)
-    return model
+    return fit(names, odds, rows, table["toxic"].to_numpy())
 
 
 def keep_clean(docs: DataFrame, model: OrdinalModel) -> DataFrame:
