@@ -28,6 +28,13 @@ def xml_escape(c: Column | str) -> Column:
     return c
 
 
+def xml_unescape(c: Column | str) -> Column:
+    """The inverse of :func:`xml_escape`: of a text that it has escaped the same as unescaping all entities in one pass."""
+    for raw, entity in (("<", "&lt;"), (">", "&gt;"), ("&", "&amp;")):
+        c = F.replace(_col(c), F.lit(entity), F.lit(raw))
+    return c
+
+
 def iso_to_xmltv(c: Column | str) -> Column:
     """``2025-08-06T02:00:00Z`` to ``20250806020000 +0000``, by plain replacement: any text passes."""
     return F.replace(F.translate(_col(c), "-T:", ""), F.lit("Z"), F.lit(" +0000"))

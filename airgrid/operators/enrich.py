@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.exact import html_unescape, one_decimal
-from ..functions.text import replace_first, xml_escape
+from ..functions.exact import one_decimal
+from ..functions.text import replace_first, xml_escape, xml_unescape
 from .normalize import UNAVAILABLE
 
 # Fixed values.
@@ -26,7 +26,7 @@ def cache_key(title: Column | str, movie: Column | str) -> Column:
 
 def lookup_keys(programs: DataFrame) -> DataFrame:
     """``title, movie, lookup_title``: distinct titles with the plain lower-case form they are looked up by."""
-    return programs.select("title", is_movie().alias("movie")).distinct().withColumn("lookup_title", F.lower(html_unescape("title")))
+    return programs.select("title", is_movie().alias("movie")).distinct().withColumn("lookup_title", F.lower(xml_unescape("title")))
 
 
 def distinct_lookups(programs: DataFrame) -> DataFrame:
@@ -69,10 +69,9 @@ def enrich(programs: DataFrame, lookup: DataFrame) -> DataFrame:
     """``programs`` overlaid with their lookup rows; ``enriched`` tells which had one that is not a miss."""
     stars = F.when(F.col("rating") > 0, F.concat(one_decimal("rating"), F.lit("/10")))
     answers = lookup.where("not (ref_id = 0 and image_url = '' and rating = 0)").select(F.col("key").alias("_key"), stars.alias("_stars"), *[F.col(c).alias(f"_{c}") for c in _FOUND])
-    # Titles are unescaped and answers formatted once for each distinct title, before they meet the programs.
-    per_title = lookup_keys(programs).withColumn("_key", cache_key("lookup_title", "movie")).join(answers, "_key").select(F.col("title").alias("_title"), F.col("movie").alias("_movie"), *[f"_{c}" for c in [*_FOUND, "stars"]])
-    rows = programs.withColumn("_m", is_movie())
-    rows = rows.join(per_title, (F.col("title") == F.col("_title")) & (F.col("_m") == F.col("_movie")), "left")
+    # The programs are read once: a key is worked out in each row, and Spark may send the answers or split a hot title.
+    rows = programs.withColumn("_m", is_movie()).withColumn("_asked", cache_key(F.lower(xml_unescape("title")), "_m"))
+    rows = rows.join(answers, F.col("_asked") == F.col("_key"), "left")
     image = F.struct(F.col("_image_url").alias("url"), F.lit("poster").alias("type"), F.lit("3").alias("size"), F.lit("P").alias("orient"), F.lit("tmdb").alias("system"))
     number = F.struct(F.lit("themoviedb.org").alias("system"), F.concat(F.when(F.col("_m"), "").otherwise("series/"), F.col("_ref_id").cast("string")).alias("episode_number"))
     has = lambda c: F.coalesce(F.col(c) != "", F.lit(False))
@@ -84,7 +83,7 @@ def enrich(programs: DataFrame, lookup: DataFrame) -> DataFrame:
         "description": F.when(has("_overview") & (F.col("description") == UNAVAILABLE), xml_escape("_overview")).otherwise(F.col("description")),
         "orig_language": F.when(has("_orig_language"), F.col("_orig_language")).otherwise(F.col("orig_language")),
         "episode_numbers": F.when(F.coalesce(F.col("_ref_id") != 0, F.lit(False)), F.concat("episode_numbers", F.array(number))).otherwise(F.col("episode_numbers")),
-        "enriched": F.col("_title").isNotNull(),
+        "enriched": F.col("_key").isNotNull(),
     })
     return out.select(*programs.columns, "enriched")
 
@@ -93,3 +92,9 @@ def fix_image_host(programs: DataFrame) -> DataFrame:
     """The host that is gone replaced by the one that serves, once in each image URL."""
     fix = lambda c: replace_first(c, r"zap2it\.tmsimg\.com", "tmsimg.com")
     return programs.withColumns({"icon_src": fix("icon_src"), "images": F.transform("images", lambda i: i.withField("url", fix(i["url"])))})
+
+
+def counters(programs: DataFrame, channels: DataFrame, resolved: DataFrame, kept: DataFrame) -> dict[str, int]:
+    """For the log: programs, those enriched, those whose image host is gone; channels, those with an icon, those that the filter keeps."""
+    out = programs.agg(F.count("*").alias("programs"), F.count_if("enriched").alias("enriched"), F.count_if(F.col("icon_src").contains("zap2it.tmsimg.com")).alias("to_fix")).first().asDict()
+    return out | {"channels": channels.count(), "icons": resolved.where("icon_url <> ''").count(), "kept": kept.count()}

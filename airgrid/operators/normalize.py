@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import icon_url, iso_to_xmltv, parse_int, replace_first, title_case, xml_escape
+from ..functions.text import icon_url, iso_to_xmltv, parse_int, title_case, xml_escape
 
 # Fixed values.
 UNAVAILABLE = "Unavailable"
@@ -52,11 +52,11 @@ def to_channels(raw: DataFrame) -> DataFrame:
     return raw.select(F.col("channel_id").alias("id"), display_names().alias("display_names"), icon_url("thumbnail").alias("icon_url"), "call_sign", "affiliate", "channel_no")
 
 
-def categories(lang: Column) -> Column:
-    episode = parse_int("episode")
+def categories(lang: Column, episode: Column | None = None) -> Column:
+    episode = parse_int("episode") if episode is None else episode
     none = F.array().cast("array<string>")
     names = F.concat(
-        F.transform(F.coalesce("filters", none), lambda f: F.regexp_replace(f, r"\Afilter-", "")),
+        F.transform(F.coalesce("filters", none), lambda f: F.when(f.startswith("filter-"), f.substr(F.lit(8), F.length(f))).otherwise(f)),
         F.when(episode != 0, F.array(F.lit("Series"))).otherwise(none),
         F.filter(F.coalesce("flag", none), lambda f: f == "Finale"),
     )
@@ -73,12 +73,14 @@ def xmltv_ns(season: Column, episode: Column) -> Column:
 
 def dd_progid(series: str = "series_id", program: str = "program_id") -> Column:
     suffix = F.when(F.octet_length(program) >= 4, F.right(F.col(program), F.lit(4))).otherwise("")
-    head = F.when(suffix == "0000", F.col(series)).otherwise(replace_first(series, "SH", "EP"))
+    at = F.instr(F.col(series), "SH")
+    first = F.when(at > 0, F.concat(F.substr(F.col(series), F.lit(1), at - 1), F.lit("EP"), F.substr(F.col(series), at + 2))).otherwise(F.col(series))
+    head = F.when(suffix == "0000", F.col(series)).otherwise(first)
     return F.concat(head, F.lit("."), suffix)
 
 
-def episode_numbers() -> Column:
-    season, episode = parse_int("season"), parse_int("episode")
+def episode_numbers(season: Column | None = None, episode: Column | None = None) -> Column:
+    season, episode = (parse_int(c) if told is None else told for c, told in (("season", season), ("episode", episode)))
     of = lambda system, value: F.struct(F.lit(system).alias("system"), value.alias("episode_number"))
     both = F.array(of("onscreen", onscreen(season, episode)), of("xmltv_ns", xmltv_ns(season, episode)))
     return F.concat(F.when(episode != 0, both).otherwise(F.array().cast(_NUMBERS)), F.array(of("dd_progid", dd_progid())))
@@ -96,6 +98,8 @@ def to_programs(airings: DataFrame, lang: str = "en", country: str = "USA") -> D
     """Program rows from raw airings; text is escaped here, as the document writer doesn't."""
     none = F.array().cast("array<string>")
     language = F.lit(lang)
+    # Each number is parsed once, in a step of its own.
+    airings = airings.withColumns({"_season": parse_int("season"), "_episode": parse_int("episode")})
     return airings.select(
         iso_to_xmltv("start_time").alias("start"), iso_to_xmltv("end_time").alias("stop"), F.col("channel_id").alias("channel"), language.alias("lang"),
         xml_escape("title").alias("title"), F.coalesce(xml_escape("episode_title"), F.lit("")).alias("sub_title"), F.coalesce(xml_escape("short_desc"), F.lit(UNAVAILABLE)).alias("description"),
@@ -103,7 +107,7 @@ def to_programs(airings: DataFrame, lang: str = "en", country: str = "USA") -> D
         F.when(F.col("thumbnail") != "", F.concat(F.lit(ICON_HOST), "thumbnail", F.lit(".jpg"))).otherwise("").alias("icon_src"), F.array().cast(_IMAGES).alias("images"),
         F.concat(F.lit(PROGRAM_URL), "series_id", F.lit("&amp;tmsId="), "program_id").alias("url"),
         language.alias("language"), F.lit("").alias("orig_language"), F.lit(country).alias("country"),
-        episode_numbers().alias("episode_numbers"), categories(language).alias("categories"),
+        episode_numbers(F.col("_season"), F.col("_episode")).alias("episode_numbers"), categories(language, F.col("_episode")).alias("categories"),
         has_flag("New").alias("new"), has_flag("Premiere").alias("premiere"), (~has_flag("New")).alias("previously_shown"),
         F.transform(F.filter(F.coalesce("tags", none), lambda t: t == "CC"), lambda t: F.struct(F.lit("teletext").alias("type"))).alias("subtitles"),
         F.coalesce("rating", F.lit("")).alias("rating"), rating_system().alias("rating_system"), F.lit("").alias("star_rating"), F.lit("").alias("date"),

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import query_escape
+from ..session import Store
 
 PROLOG = "<?xml version=\"1.0\" ?>\n<!DOCTYPE tv SYSTEM 'xmltv.dtd'>\n"
 SNAPSHOT_TTL_HOURS = 4
@@ -67,23 +70,48 @@ def document(channels: DataFrame, programs: DataFrame, source_url: str = "http:/
 
 
 def write_document(parts: DataFrame, path: str) -> None:
-    """One ordered text file in a folder: parts are range-sorted in parallel, and one writer takes them in order."""
+    """One ordered text file in a folder, sorted and written by one task; :func:`publish_text` sorts in parallel."""
     parts.orderBy("section", "k1", "k2", "k3", "value").coalesce(1).select("value").write.mode("overwrite").text(path)
 
 
+def publish_text(parts: DataFrame, path: str, order: list[str], value: str = "value") -> None:
+    """One ordered file at ``path``, seen whole or not at all: sorted and written in parallel, joined, renamed."""
+    store, staged = Store(parts.sparkSession, path), f"{path}._staged-{uuid.uuid4().hex}"
+    try:
+        parts.orderBy(*order, value).select(value).write.text(staged)
+        store.join([f"{staged}/{n}" for n in store.names(staged) if n.startswith("part-")], f"{staged}/_whole")
+        store.move(f"{staged}/_whole", path)
+    finally:
+        store.delete(staged)
+
+
+def publish_document(parts: DataFrame, path: str) -> None:
+    """The XMLTV document of :func:`document` as one file."""
+    publish_text(parts, path, ["section", "k1", "k2", "k3"])
+
+
 def write_snapshot(channels: DataFrame, programs: DataFrame, path: str, saved_at: int) -> None:
+    """Both tables in a folder that takes the place of the last one when it is complete."""
+    store, staged = Store(channels.sparkSession, path), f"{path}._staged-{uuid.uuid4().hex}"
     for name, table in (("channels", channels), ("programs", programs)):
-        table.withColumn("saved_at", F.lit(saved_at)).write.mode("overwrite").parquet(f"{path}/{name}")
+        table.withColumn("saved_at", F.lit(saved_at)).write.parquet(f"{staged}/{name}")
+    if store.exists(path):
+        store.delete(path)
+    store.move(staged, path)
 
 
-def read_snapshot(spark: SparkSession, path: str, as_of: int) -> tuple[DataFrame, DataFrame] | None:
-    """The tables of a snapshot younger than four hours, or None if it is older, missing or broken."""
-    from pyspark.errors import AnalysisException
+def read_snapshot(spark: SparkSession, path: str, as_of: int, document: str | None = None) -> tuple[DataFrame, DataFrame] | None:
+    """The tables of a snapshot younger than four hours, or None if it is older, missing or broken, or has no published ``document``."""
+    from py4j.protocol import Py4JJavaError
+    from pyspark.errors import PySparkException
 
     try:
         tables = [spark.read.parquet(f"{path}/{name}") for name in ("channels", "programs")]
         saved = tables[0].select("saved_at").head(1)
-    except AnalysisException:
+        tables[1].head(1)
+    except (PySparkException, Py4JJavaError):
+        return None
+    if document is not None and not Store(spark, document).exists(document):
         return None
     if not saved or as_of - saved[0]["saved_at"] >= SNAPSHOT_TTL_HOURS * 3600:
         return None
@@ -93,3 +121,28 @@ def read_snapshot(spark: SparkSession, path: str, as_of: int) -> tuple[DataFrame
 def retained(files: DataFrame, keep: int = KEEP_FILES) -> DataFrame:
     """The ``keep`` greatest names of dated files (name)."""
     return files.where(F.col("name").rlike(r"\Axmlguide\..*\.xmltv\z")).orderBy(F.desc("name")).limit(keep)
+
+
+def dated_files(spark: SparkSession, folder: str) -> DataFrame:
+    """``name``: the dated files in a folder of any store."""
+    names = [(n,) for n in Store(spark, folder).names(folder) if n.startswith("xmlguide.") and n.endswith(".xmltv") and n.count(".") >= 2]
+    return spark.createDataFrame(names, "name string")
+
+
+def rotate(spark: SparkSession, folder: str, day: str, keep: int = KEEP_FILES) -> list[str]:
+    """Copy the published file to the dated one of ``day`` (yyyymmdd) and delete all dated files but the greatest; their names."""
+    store = Store(spark, folder)
+    if not store.exists(f"{folder}/xmlguide.xmltv"):
+        return []
+    store.join([f"{folder}/xmlguide.xmltv"], f"{folder}/xmlguide.{day}.xmltv")
+    kept = sorted(r["name"] for r in retained(dated_files(spark, folder), keep).collect())
+    for r in dated_files(spark, folder).collect():
+        if r["name"] not in kept:
+            store.delete(f"{folder}/{r['name']}")
+    return kept
+
+
+def swap(channels: DataFrame, programs: DataFrame) -> None:
+    """Let readers of the session see these tables as guide_channels and guide_programs from now on."""
+    channels.createOrReplaceTempView("guide_channels")
+    programs.createOrReplaceTempView("guide_programs")

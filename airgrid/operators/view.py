@@ -5,16 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.exact import html_unescape
-from ..functions.text import leading_number, xmltv_to_iso
+from ..functions.text import leading_number, xml_unescape, xmltv_to_iso
 from .normalize import UNAVAILABLE
 
 
 def view_programs(programs: DataFrame) -> DataFrame:
     """``channel`` and the fields a listing shows."""
-    plain = html_unescape("description")
+    plain = xml_unescape("description")
     return programs.select(
-        "channel", html_unescape("title").alias("title"), html_unescape("sub_title").alias("sub_title"), xmltv_to_iso("start").alias("start"), xmltv_to_iso("stop").alias("end"),
+        "channel", xml_unescape("title").alias("title"), xml_unescape("sub_title").alias("sub_title"), xmltv_to_iso("start").alias("start"), xmltv_to_iso("stop").alias("end"),
         F.coalesce(F.get("categories", F.lit(0))["name"], F.lit("")).alias("category"), F.col("new").alias("is_new"), "rating", F.col("icon_src").alias("icon_url"), F.when(plain == UNAVAILABLE, "").otherwise(plain).alias("description"),
     )
 
@@ -27,7 +26,7 @@ def number_and_name() -> tuple[Column, Column]:
 
 def view_channels(channels: DataFrame) -> DataFrame:
     number, name = number_and_name()
-    return channels.select("id", html_unescape(number).alias("number"), html_unescape(name).alias("name"), F.col("icon_url").alias("logo_url"))
+    return channels.select("id", xml_unescape(number).alias("number"), xml_unescape(name).alias("name"), F.col("icon_url").alias("logo_url"))
 
 
 def channel_order(number: str = "number") -> list[Column]:
@@ -51,3 +50,13 @@ def guide_json(channels: DataFrame, programs: DataFrame) -> DataFrame:
     head = F.to_json(F.struct("id", "number", "name", F.col("logo_url").alias("logoUrl")))
     body = F.concat(F.expr("substr(head, 1, length(head) - 1)"), F.lit(',"programs":'), F.coalesce("list", F.lit("null")), F.lit("}"))
     return rows.withColumn("head", head).select("id", F.struct(*channel_order(), "id").alias("ord"), body.alias("body"))
+
+
+def guide_document(rows: DataFrame, generated: str) -> DataFrame:
+    """``section, ord, value``: the lines of one JSON document with all channels (of :func:`guide_json`) in order."""
+    first = rows.orderBy("ord").select("id").head(1)
+    comma = F.when(F.col("id") == (first[0]["id"] if first else ""), "").otherwise(",")
+    body = rows.select(F.lit(1).alias("section"), "ord", F.concat(comma, "body").alias("value"))
+    none = F.lit(None).cast(rows.schema["ord"].dataType)
+    ends = rows.sparkSession.createDataFrame([(0, f'{{"generated":"{generated}","channels":['), (2, "]}")], "section int, value string")
+    return ends.select("section", none.alias("ord"), "value").unionByName(body)

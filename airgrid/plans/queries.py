@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import text
 from ..functions.exact import html_unescape
 from ..operators import dims, enrich, filters, icons, normalize, publish, view
+from ..session import Store, shared_dir
 from ..sources import grid
 from ..streaming import refresh
 from . import adapters
@@ -19,7 +21,6 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 
-SLOT = ("1995-06-15T00:00:00Z", "1995-06-22T00:00:00Z")
 PROXY = "http://guide.example.com:8080/"
 
 
@@ -108,14 +109,41 @@ def _channels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("select strftime(slot, '%Y-%m-%dT%H:%M:%SZ') slot, cast(epoch(slot) as bigint) slot_ts from (select unnest(generate_series(timestamp '2025-08-06', timestamp '2025-08-06' + interval '13 days 18 hours', interval 6 hour)) slot)")
 def slot_grid(spark, sf_dir):
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
     return grid.slots(spark, "2025-08-06 05:00:00").select(F.date_format("slot", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("slot"), "slot_ts")
 
 
-@query("select strftime(time_bucket(interval 6 hour, ts), '%Y-%m-%d %H:%M:%S') slot_start, count(*) n, count(distinct user_id) users from events where ts < timestamp '2024-01-15' group by 1")
+@query("select strftime(time_bucket(interval 6 hour, ts), '%Y-%m-%d %H:%M:%S') slot_start, event_type, count(*) n from events group by 1, 2")
 def slot_bucket_counts(spark, sf_dir):
-    slot = F.window("ts", "6 hours")["start"]
-    return table(spark, sf_dir, "events").where("ts < timestamp_ntz '2024-01-15'").groupBy(F.date_format(slot, "yyyy-MM-dd HH:mm:ss").alias("slot_start")).agg(F.count("*").alias("n"), F.countDistinct("user_id").alias("users"))
+    return refresh.slot_counts(table(spark, sf_dir, "events"))
+
+
+def _grid_files(spark: SparkSession, sf_dir: str) -> tuple[str, int]:
+    """All airings as listing documents, one for each month of their ship date, each month's number its slot; the folder and the number of slots."""
+    home = f"{shared_dir(spark)}/airgrid/grid-{uuid.uuid4().hex}"
+    rows = adapters.airings(spark, sf_dir).withColumn("slot_ts", F.expr("int((year(l_shipdate) - 1990) * 12 + month(l_shipdate))"))
+    program = F.struct(F.col("program_id").alias("id"), "title", F.col("episode_title").alias("episodeTitle"), F.col("short_desc").alias("shortDesc"), "season", "episode")
+    event = F.struct(F.col("start_time").alias("startTime"), F.col("end_time").alias("endTime"), "duration", "thumbnail", F.col("series_id").alias("seriesId"), "rating", "flag", "tags", F.col("filters").alias("filter"), program.alias("program"))
+    channel = rows.groupBy("slot_ts", "channel_id").agg(F.array_sort(F.collect_list(F.struct(*ORDER, event.alias("e")))).alias("events"))
+    channel = channel.select("slot_ts", F.struct(F.col("channel_id").alias("channelId"), F.transform("events", lambda x: x["e"]).alias("events")).alias("c"))
+    months = channel.groupBy("slot_ts").agg(F.to_json(F.struct(F.array_sort(F.collect_list("c"), lambda a, b: F.when(a["channelId"] < b["channelId"], -1).otherwise(1)).alias("channels"))).alias("body"))
+    months.write.partitionBy("slot_ts").text(f"{home}/parts")
+    store = Store(spark, home)
+    for n in store.names(f"{home}/parts"):
+        if n.startswith("slot_ts="):
+            for part in store.names(f"{home}/parts/{n}"):
+                if part.startswith("part-"):
+                    store.move(f"{home}/parts/{n}/{part}", f"{home}/{n.removeprefix('slot_ts=')}.json")
+    store.delete(f"{home}/parts")
+    return home, 12 * 20
+
+
+@query(f"with {AIRINGS_SQL}, m as (select *, (year(l_shipdate) - 1990) * 12 + month(l_shipdate) slot_ts from airing_src), f as (select * from m qualify row_number() over (partition by channel_id, start_time, end_time order by slot_ts, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate) = 1) select slot_ts::bigint slot_ts, channel_id, start_time, end_time, program_id, title, episode_title, season, flag flags, filters from f")
+def grid_decode_dedup(spark, sf_dir):
+    home, n = _grid_files(spark, sf_dir)
+    raw = grid.read_grid(spark, start="0", slots=str(n), step="1", folder=home)
+    _, rows = normalize.explode_grid(grid.decode(raw))
+    rows = normalize.first_wins(rows, ["channel_id", "start_time", "end_time"], ["slot_ts", "pos", "event_pos"])
+    return rows.select("slot_ts", "channel_id", "start_time", "end_time", "program_id", "title", "episode_title", "season", F.array_join("flag", "|").alias("flags"), F.array_join("filters", "|").alias("filters"))
 
 
 @query("select event_id, cast(props->>'$.k' as bigint) k from events")
@@ -168,9 +196,7 @@ def airing_subtitle_desc(spark, sf_dir):
 
 @query(_air(f"program_id, {ICON} icon_src, {URL} url"))
 def airing_urls(spark, sf_dir):
-    rows = adapters.airings(spark, sf_dir)
-    icon = F.when(F.col("thumbnail") != "", F.concat(F.lit(normalize.ICON_HOST), "thumbnail", F.lit(".jpg"))).otherwise("")
-    return rows.select("program_id", icon.alias("icon_src"), F.concat(F.lit(normalize.PROGRAM_URL), "series_id", F.lit("&amp;tmsId="), "program_id").alias("url"))
+    return normalize.to_programs(adapters.airings(spark, sf_dir)).select(F.substring_index("url", "tmsId=", -1).alias("program_id"), "icon_src", "url")
 
 
 @query(_air(f"program_id, {CATEGORIES} categories, regexp_replace(filters, '^filter-', '') first_category"))
@@ -411,18 +437,14 @@ def filter_programs(spark, sf_dir):
 # Views and documents.
 
 
-def _week(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = adapters.airings(spark, sf_dir).where((F.col("start_time") >= SLOT[0]) & (F.col("start_time") < SLOT[1]))
-    return normalize.to_programs(normalize.first_wins(rows, ["channel_id", "start_time", "end_time"], ORDER))
-
-
+NO_AIRINGS = "none"
 WHOLE = f"{CHANNELS_SQL}, {AIRINGS_SQL}, {FIRST}"
-WEEK = f"{CHANNELS_SQL}, {AIRINGS_SQL}, {FIRST.replace('from airing_src', f'from airing_src where start_time >= {SLOT[0]!r} and start_time < {SLOT[1]!r}')}"
 
 
-@query(f"with {WEEK} select channel_id id, channel_no number, call_sign name, count(start_time) n, string_agg(start_time || ' ' || airings.title || ' [' || regexp_replace(filters, '^filter-', '') || ']', '; ' order by start_time, airings.title) programs from channel_src left join airings using (channel_id) group by all")
+@query(f"with {WHOLE}, channel_all as (select channel_id, channel_no, call_sign from channel_src union all select '{NO_AIRINGS}', '', '') select channel_id id, channel_no number, call_sign name, count(start_time) n, string_agg(start_time || ' ' || airings.title || ' [' || regexp_replace(filters, '^filter-', '') || ']', '; ' order by start_time, airings.title) programs from channel_all left join airings using (channel_id) group by all")
 def view_channel_schedule(spark, sf_dir):
-    rows = view.schedule(_channels(spark, sf_dir), _week(spark, sf_dir))
+    silent = spark.range(1).selectExpr(f"'{NO_AIRINGS}' channel_id", "'' channel_no", "'' call_sign", "'' affiliate", "'' thumbnail")
+    rows = view.schedule(_channels(spark, sf_dir).unionByName(normalize.to_channels(silent)), _programs(spark, sf_dir))
     line = lambda p: F.concat(p["start"], F.lit(" "), p["title"], F.lit(" ["), p["category"], F.lit("]"))
     return rows.select("id", "number", "name", F.coalesce(F.size("programs"), F.lit(0)).cast("long").alias("n"), F.array_join(F.transform("programs", line), "; ").alias("programs"))
 
@@ -451,15 +473,10 @@ _PROGRAM = (
 
 
 @query(
-    f"with {WEEK} select channel_id id, '{{\"id\":\"' || channel_id || '\",\"number\":\"' || channel_no || '\",\"name\":\"' || call_sign || '\",\"logoUrl\":\"' || {ICON_URL.replace('thumbnail', 'channel_src.thumbnail')} || '\",\"programs\":'"
+    f"with {WHOLE} select channel_id id, '{{\"id\":\"' || channel_id || '\",\"number\":\"' || channel_no || '\",\"name\":\"' || call_sign || '\",\"logoUrl\":\"' || {ICON_URL.replace('thumbnail', 'channel_src.thumbnail')} || '\",\"programs\":'"
     f" || coalesce('[' || string_agg({_PROGRAM}, ',' order by start_time, airings.title) || ']', 'null') || '}}' body from channel_src left join airings using (channel_id) group by channel_id, channel_no, call_sign, channel_src.thumbnail"
 )
 def view_guide_json(spark, sf_dir):
-    return view.guide_json(_channels(spark, sf_dir), _week(spark, sf_dir)).select("id", "body")
-
-
-@query(SQL["view_guide_json"].replace(WEEK, WHOLE))
-def view_guide_json_all(spark, sf_dir):
     return view.guide_json(_channels(spark, sf_dir), _programs(spark, sf_dir)).select("id", "body")
 
 
@@ -495,15 +512,10 @@ _HEAD = publish.PROLOG.replace("'", "''").replace(chr(10), "' || chr(10) || '")
 
 
 @query(
-    f"with {WEEK} select 0 section, '' k1, '' k2, '' k3, '{_HEAD}' as value union all select 3, '', '', '', '</tv>' union all select 1, id, '', '', fragment from ({SQL['xmltv_channel_fragment'].partition('select channel_id id')[1]}{SQL['xmltv_channel_fragment'].partition('select channel_id id')[2]})"
+    f"with {WHOLE} select 0 section, '' k1, '' k2, '' k3, '{_HEAD}' as value union all select 3, '', '', '', '</tv>' union all select 1, id, '', '', fragment from ({SQL['xmltv_channel_fragment'].partition('select channel_id id')[1]}{SQL['xmltv_channel_fragment'].partition('select channel_id id')[2]})"
     f" union all select 2, channel_id, {_xmltv('start_time')}, {_xml('title')}, {FRAGMENT} from airings"
 )
 def xmltv_document(spark, sf_dir):
-    return publish.document(_channels(spark, sf_dir), _week(spark, sf_dir))
-
-
-@query(SQL["xmltv_document"].replace(WEEK, WHOLE))
-def xmltv_document_all(spark, sf_dir):
     return publish.document(_channels(spark, sf_dir), _programs(spark, sf_dir))
 
 
@@ -515,21 +527,32 @@ def retention_top7(spark, sf_dir):
 
 @query(f"with s(name, saved_at) as (values ('fresh', {AS_OF - 60}), ('edge', {AS_OF - 4 * 3600}), ('young', {AS_OF - 4 * 3600 + 1}), ('old', {AS_OF - 86400})) select name, {AS_OF} - saved_at < 14400 usable, cast(greatest(86400 - ({AS_OF} - saved_at), 3600) as bigint) next_delay from s")
 def snapshot_age_gate(spark, sf_dir):
-    rows = spark.createDataFrame([("fresh", AS_OF - 60), ("edge", AS_OF - 4 * 3600), ("young", AS_OF - 4 * 3600 + 1), ("old", AS_OF - 86400)], "name string, saved_at long")
-    age = F.lit(AS_OF) - F.col("saved_at")
-    return rows.select("name", (age < publish.SNAPSHOT_TTL_HOURS * 3600).alias("usable"), F.greatest(F.lit(86400) - age, F.lit(3600)).cast("long").alias("next_delay"))
+    home = f"{shared_dir(spark)}/airgrid/snapshots-{uuid.uuid4().hex}"
+    rows = []
+    none = spark.createDataFrame([("x",)], "id string")
+    for name, age in (("fresh", 60), ("edge", 4 * 3600), ("young", 4 * 3600 - 1), ("old", 86400)):
+        publish.write_snapshot(none, none, f"{home}/{name}", AS_OF - age)
+        rows.append((name, publish.read_snapshot(spark, f"{home}/{name}", AS_OF) is not None, refresh.next_delay_seconds(age)))
+    return spark.createDataFrame(rows, "name string, usable boolean, next_delay long")
+
+
+@query(f"{ALL} select channel, start, case when icon_src <> '' then '{PROXY.rstrip('/')}/img?url=' || {_quote('icon_src')} else icon_src end icon_src from programs")
+def program_image_proxy(spark, sf_dir):
+    return publish.rewrite_images(_channels(spark, sf_dir), _programs(spark, sf_dir), PROXY)[1].select("channel", "start", "icon_src")
+
+
+@query(f"{ALL}, cache(key, age) as (select distinct (case when movie then 'movie:' else 'tv:' end) || lookup_title, (length(lookup_title) % 2) * {2 * enrich.TTL_SECONDS} from programs where not movie) select distinct lookup_title, movie, (case when movie then 'movie:' else 'tv:' end) || lookup_title key from programs where key not in (select key from cache where age <= {enrich.TTL_SECONDS})")
+def lookup_missing_keys(spark, sf_dir):
+    keys = enrich.distinct_lookups(_programs(spark, sf_dir))
+    cache = keys.where("not movie").select("key", (F.lit(AS_OF) - (F.length("lookup_title") % 2) * 2 * enrich.TTL_SECONDS).cast("long").alias("fetched_at"))
+    return enrich.missing_keys(keys, cache, AS_OF).select("lookup_title", "movie", "key")
 
 
 # Streams: what a run over all that has arrived publishes.
 
 
 def _published(spark: SparkSession, sf_dir: str, build, mode: str) -> DataFrame:
-    import tempfile
-    import uuid
-
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
-    shared = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.gettempdir()
-    home = f"{shared.rstrip('/')}/airgrid/stream-{uuid.uuid4().hex}"
+    home = f"{shared_dir(spark)}/airgrid/stream-{uuid.uuid4().hex}"
     schema = table(spark, sf_dir, "events").schema
     events = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/events.parquet*").withColumn("ts", F.col("ts").cast("timestamp"))
     out = f"{home}/out"

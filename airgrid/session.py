@@ -9,6 +9,61 @@ import tempfile
 from pyspark.sql import SparkSession
 
 _SHIPPED: set[str] = set()
+_OWN: dict[str, str] = {}
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir; a temporary one only where none is set and all tasks run here (tests)."""
+    told = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if told:
+        return told.rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    app = spark.sparkContext.applicationId
+    if app not in _OWN:
+        _OWN[app] = "file://" + os.path.realpath(tempfile.mkdtemp(prefix="airgrid-"))
+    return _OWN[app]
+
+
+class Store:
+    """Files of any store that Spark reaches, by Hadoop's interface on the driver."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self._jvm, self._conf = spark._jvm, spark._jsc.hadoopConfiguration()
+        self._fs = self._at(path).getFileSystem(self._conf)
+        self._gateway = spark.sparkContext._gateway
+
+    def _at(self, path: str):
+        return self._jvm.org.apache.hadoop.fs.Path(path)
+
+    def exists(self, path: str) -> bool:
+        return self._fs.exists(self._at(path))
+
+    def names(self, folder: str) -> list[str]:
+        """Names in a folder, sorted; none if it is missing."""
+        return sorted(s.getPath().getName() for s in self._fs.listStatus(self._at(folder))) if self.exists(folder) else []
+
+    def delete(self, path: str) -> None:
+        self._fs.delete(self._at(path), True)
+
+    def move(self, path: str, to: str) -> None:
+        """Rename in one step, over what is at ``to``."""
+        over = self._gateway.new_array(self._jvm.org.apache.hadoop.fs.Options.Rename, 1)
+        over[0] = self._jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+        self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._at(to).toUri(), self._conf).rename(self._at(path), self._at(to), over)
+
+    def join(self, parts: list[str], to: str) -> None:
+        """The bytes of files one after the other in a new file, streamed."""
+        out = self._fs.create(self._at(to), True)
+        try:
+            for part in parts:
+                into = self._fs.open(self._at(part))
+                try:
+                    self._jvm.org.apache.hadoop.io.IOUtils.copyBytes(into, out, 1 << 16, False)
+                finally:
+                    into.close()
+        finally:
+            out.close()
 
 
 def ship(spark: SparkSession) -> None:

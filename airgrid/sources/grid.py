@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import http.cookiejar
 import json
 import time
 import urllib.parse
 import urllib.request
 from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.types import StringType, StructField, StructType
 
 GRID = (
     "channels array<struct<channelId:string,channelNo:string,callSign:string,affiliateName:string,thumbnail:string,events:array<struct<"
@@ -53,8 +56,8 @@ def strict(body: str) -> str:
 
 
 class _Slot(InputPartition):
-    def __init__(self, ts: int):
-        self.ts = ts
+    def __init__(self, slots: list[int]):
+        self.slots = slots
 
 
 class GridReader(DataSourceReader):
@@ -63,31 +66,37 @@ class GridReader(DataSourceReader):
 
     def partitions(self):
         first, n, step = int(self.options["start"]), int(self.options.get("slots", 56)), int(self.options.get("step", 6 * 3600))
-        return [_Slot(first + i * step) for i in range(n)]
+        every, streams = [first + i * step for i in range(n)], int(self.options.get("streams", 1))
+        return [_Slot(every[k::streams]) for k in range(streams) if every[k::streams]]
 
-    def _body(self, ts: int) -> str:
-        if "folder" in self.options:  # offline: one document a slot in a folder that all executors see
-            with open(f"{self.options['folder']}/{ts}.json", encoding="utf-8") as f:
-                return f.read()
+    def _body(self, ts: int, opener: urllib.request.OpenerDirector) -> str:
         o = self.options.get
         query = {
             "aid": o("aid", "orbebb"), "lineupId": o("lineupid", "USA-lineupId-DEFAULT"), "timespan": "6", "headendId": o("headend", "lineupId"), "country": o("country", "USA"), "device": o("device", "-"),
             "postalCode": o("zipcode", "13490"), "isOverride": "true", "time": str(ts), "timezone": "", "pref": "16,256", "userId": "-", "languagecode": o("language", "en-us"),
         }
-        request = urllib.request.Request(f"{self.options['url']}?{urllib.parse.urlencode(sorted(query.items()))}", headers={"User-Agent": o("useragent", "airgrid"), "Referer": o("referer", "")})
-        time.sleep(float(o("pause", "0")))
-        with urllib.request.urlopen(request, timeout=15) as answer:
+        request = urllib.request.Request(f"{self.options['url']}?{urllib.parse.urlencode(sorted(query.items()))}", headers={"User-Agent": o("useragent", "airgrid"), "Referer": o("referer", ""), "X-Requested-Width": "XMLHttpRequest"} | ({"Authorization": f"Bearer {o('token')}"} if o("token") else {}))
+        with opener.open(request, timeout=15) as answer:
             return answer.read().decode("utf-8")
 
     def read(self, partition) -> Iterator[tuple]:
-        try:
-            yield partition.ts, strict(self._body(partition.ts)), None
-        except (OSError, ValueError, TypeError) as e:  # one slot fails, the others go on
-            yield partition.ts, None, f"{type(e).__name__}: {e}"
+        opener = urllib.request.build_opener(urllib.request.HTTPCookieProcessor(http.cookiejar.CookieJar()))
+        for k, ts in enumerate(partition.slots):
+            try:
+                yield ts, strict(self._body(ts, opener)), None
+            except (OSError, ValueError, TypeError) as e:  # one slot fails, the others go on
+                yield ts, None, f"{type(e).__name__}: {e}"
+                continue
+            if k + 1 < len(partition.slots):
+                time.sleep(float(self.options.get("pause", "0")))
 
 
 class GridSource(DataSource):
-    """``spark.read.format("listing_grid")`` with options start, slots, step, and folder or url."""
+    """``spark.read.format("listing_grid")`` with options start, slots, step, url, pause and streams.
+
+    A stream asks for its slots one after the other and pauses after each that succeeds; by default there is one,
+    so the pause holds between all requests.
+    """
 
     @classmethod
     def name(cls) -> str:
@@ -102,10 +111,32 @@ class GridSource(DataSource):
 
 def read_grid(spark: SparkSession, **options: str) -> DataFrame:
     """``slot_ts, body, error``: documents of all slots; failed slots have an error and no body."""
+    if "folder" in options:
+        return _read_folder(spark, options)
     spark.dataSource.register(GridSource)
     return spark.read.format("listing_grid").options(**options).load()
 
 
+@F.pandas_udf(StructType([StructField("body", StringType()), StructField("error", StringType())]))
+def _checked(bodies: pd.Series) -> pd.DataFrame:
+    def one(body: str | None) -> tuple[str | None, str | None]:
+        try:
+            return (None, "FileNotFoundError") if body is None else (strict(body), None)
+        except (ValueError, TypeError) as e:
+            return None, f"{type(e).__name__}: {e}"
+
+    return pd.DataFrame([one(b) for b in bodies], columns=["body", "error"])
+
+
+def _read_folder(spark: SparkSession, options: dict[str, str]) -> DataFrame:
+    """Offline: one document a slot, ``<slot>.json``, in a folder of any store that Spark reads."""
+    first, n, step = int(options["start"]), int(options.get("slots", 56)), int(options.get("step", 6 * 3600))
+    wanted = spark.range(n).select((F.lit(first) + F.col("id") * step).alias("slot_ts"))
+    files = spark.read.option("wholetext", True).option("pathGlobFilter", "*.json").text(options["folder"])
+    files = files.select(F.regexp_extract("_metadata.file_name", r"^(-?\d+)\.json$", 1).try_cast("long").alias("slot_ts"), F.col("value").alias("raw"))
+    return wanted.join(files, "slot_ts", "left").select("slot_ts", _checked("raw").alias("c")).select("slot_ts", "c.body", "c.error")
+
+
 def decode(raw: DataFrame) -> DataFrame:
     """``slot_ts, grid`` of the slots that arrived."""
     return raw.where("body is not null").select("slot_ts", F.from_json("body", GRID).alias("grid"))

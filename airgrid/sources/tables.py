@@ -3,20 +3,35 @@
 from __future__ import annotations
 
 import os
+import uuid
 
-from pyspark.errors import AnalysisException
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import Store
+
 
 def read_cache(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """A cache table; one that is missing is empty."""
+    """A cache table; one that is missing or broken is empty."""
     try:
-        return spark.read.schema(schema).parquet(path)
-    except AnalysisException:
+        found = spark.read.schema(schema).parquet(path)
+        found.agg(*[F.max(c) for c in found.columns]).collect()  # every column chunk opens
+        return found
+    except (PySparkException, Py4JJavaError):
         return spark.createDataFrame([], schema)
 
 
+def write_cache(cache: DataFrame, path: str) -> None:
+    """Put a merged cache in the place of the last one, which it may have been read from."""
+    store, staged = Store(cache.sparkSession, path), f"{path}._staged-{uuid.uuid4().hex}"
+    cache.write.parquet(staged)
+    if store.exists(path):
+        store.delete(path)
+    store.move(staged, path)
+
+
 def recorder_numbers(spark: SparkSession, path: str) -> DataFrame:
     """``number``: channel numbers from the recorder's JSON answer (Items[].ChannelNumber)."""
     rows = spark.read.schema("Items array<struct<ChannelNumber:string>>").json(path, multiLine=True)

@@ -1,11 +1,18 @@
 """The guide from grid documents to published documents."""
 
+import http.server
 import json
+import threading
+import time
+import urllib.parse
 
+import pytest
 from pyspark.sql import functions as F
 
+from airgrid import job
+from airgrid.functions import text
 from airgrid.operators import dims, enrich, filters, icons, normalize, publish, view
-from airgrid.sources import grid, tables
+from airgrid.sources import grid, tables, web
 from airgrid.streaming import refresh
 
 EVENT = {
@@ -127,3 +134,114 @@ def test_first_wins_is_idempotent(spark):
     assert sorted(once.collect(), key=str) == sorted(normalize.first_wins(once, ["k"], ["o", "v"]).collect(), key=str)
     assert {(r.k, r.v) for r in once.collect()} == {(1, "a"), (2, "c"), (None, "d")}
     assert once.where(F.col("k") == 1).count() == 1
+
+
+class _Service(http.server.BaseHTTPRequestHandler):
+    asked: list = []
+
+    def _answer(self, body):
+        type(self).asked.append((time.monotonic(), self.path, self.headers.get("Authorization"), self.headers.get("X-Requested-Width")))
+        status = 404 if "gone" in self.path else 200
+        body = b"{ broken" if "broken" in self.path else body
+        self.send_response(status)
+        self.send_header("Content-Length", str(len(body)))
+        self.end_headers()
+        if self.command != "HEAD":
+            self.wfile.write(body)
+
+    def do_GET(self):  # noqa: N802
+        if "/search/" in self.path:
+            self._answer(json.dumps({"results": [{"id": 7, "poster_path": "/p.jpg", "vote_average": 8, "overview": "o", "original_language": "fr", "first_air_date": "1999-01-01", "release_date": "2001-01-01"}]}).encode())
+        else:
+            ts = int(dict(urllib.parse.parse_qsl(self.path.partition("?")[2])).get("time", 0))
+            self._answer(b"no" if ts == 1 else json.dumps({"channels": [{"channelId": "10", "channelNo": "5.1", "callSign": "HISTORY", "events": [{"startTime": "2025-08-06T02:00:00Z", "endTime": "2025-08-06T03:00:00Z", "duration": "60", "seriesId": "SH1", "filter": ["filter-movie"], "program": {"id": "EP10000", "title": f"Film {ts}"}}]}]}).encode())
+
+    do_HEAD = do_GET  # noqa: N815
+
+    def log_message(self, *_):
+        pass
+
+
+@pytest.fixture()
+def service():
+    _Service.asked = []
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), _Service)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    yield f"http://127.0.0.1:{server.server_port}"
+    server.shutdown()
+
+
+def test_search_routes_and_keeps_its_pace(spark, service):
+    keys = spark.createDataFrame([("a b", True, "movie:a b"), ("c", False, "tv:c"), ("gone", False, "tv:gone"), ("broken", False, "tv:broken")], "lookup_title string, movie boolean, key string").repartition(4)
+    found = {r["key"]: r for r in enrich.project_results(web.search(keys, service, "t", gap=0.2)).collect()}
+    assert (found["movie:a b"]["year"], found["tv:c"]["year"], found["tv:c"]["image_url"]) == ("2001", "1999", enrich.IMAGE_BASE + "/p.jpg")
+    assert found["tv:gone"]["ref_id"] == found["tv:broken"]["ref_id"] == 0
+    times = sorted(t for t, *_ in _Service.asked)
+    assert {p for _, p, *_ in _Service.asked} >= {"/3/search/movie?query=a+b", "/3/search/tv?query=c"} and {a for _, _, a, _ in _Service.asked} == {"Bearer t"}
+    assert times[-1] - times[0] > 0.4  # four requests, less what the first connection takes
+
+
+def test_probe_and_images(spark, service):
+    urls = spark.createDataFrame([(f"{service}/a.png",), (f"{service}/gone.png",), ("no url",)], "url string")
+    assert [r["url"] for r in web.probe(urls, gap=0).collect()] == [f"{service}/a.png"]
+    assert [(r["url"], r["content_type"]) for r in web.fetch_images(urls.where("url not like '%gone%'")).collect()] == [(f"{service}/a.png", "application/octet-stream")]
+
+
+def test_grid_online(spark, service):
+    rows = grid.read_grid(spark, start="0", slots="3", step="1", url=service, pause="0.2").orderBy("slot_ts").collect()
+    assert [r["body"] is None for r in rows] == [False, True, False] and rows[1]["error"].startswith("JSONDecodeError")
+    times = [t for t, *_ in sorted(_Service.asked)]
+    assert times[1] - times[0] > 0.15 and {x for *_, x in _Service.asked} == {"XMLHttpRequest"}
+
+
+def test_job(spark, service, tmp_path):
+    """A whole run: everything is published, a second run asks for nothing that a cache holds, old copies go."""
+    folder = f"file://{tmp_path}/guide"
+    (tmp_path / "items.json").write_text('{"Items": [{"ChannelNumber": "5.1"}]}')
+    known = f"{tmp_path}/known"
+    spark.createDataFrame([(f"{dims.LOGO_BASE}/united-states/history-channel-us.png",)], "url string").write.parquet(known)
+    s = job.Settings(folder, {"url": service, "slots": "3", "step": "1"}, search_url=service, search_token="t", recorder=str(tmp_path / "items.json"), filter_by_recorder=True, known_logos=known)
+    told = [job.run_once(spark, s, k * 86_400) for k in range(2)][-1]
+    for k in range(9):
+        (tmp_path / "guide" / f"xmlguide.1960010{k}.xmltv").write_text("old")
+    assert told == {"programs": 1, "enriched": 1, "to_fix": 0, "channels": 1, "icons": 1, "kept": 1}
+    assert sum("/search/" in p for _, p, *_ in _Service.asked) >= 1
+    names = publish.rotate(spark, folder, "19700103")
+    assert len(names) == 7 and names[-1] == "xmlguide.19700103.xmltv" and "xmlguide.19600100.xmltv" not in names
+    text = (tmp_path / "guide" / "xmlguide.xmltv").read_text()
+    assert text.startswith("<?xml") and text.rstrip().endswith("</tv>") and "history-channel-us.png" in text and "<star-rating><value>8.0/10" in text
+    told = json.loads((tmp_path / "guide" / "guide.json").read_text())
+    assert told["generated"] == "1970-01-02T00:00:00Z" and [c["id"] for c in told["channels"]] == ["10"] and told["channels"][0]["programs"][0]["title"].startswith("Film")
+    assert spark.table("guide_channels").count() == 1
+    assert not [p for p in (tmp_path / "guide").iterdir() if "_staged" in p.name]
+    assert publish.read_snapshot(spark, f"{folder}/snapshot", 86_400, f"{folder}/none.xmltv") is None
+    assert not job.Settings(folder).enriches() and not job.Settings(folder, filter_by_recorder=True).filters()
+
+
+def test_broken_files(spark, tmp_path):
+    channels, programs = _tables(spark, tmp_path)
+    publish.write_snapshot(channels, programs, f"file://{tmp_path}/snap", 1000)
+    cache = spark.createDataFrame([("k", "u", 1, 2)], job.LOGO_CACHE)
+    tables.write_cache(cache, f"file://{tmp_path}/cache")
+    tables.write_cache(tables.read_cache(spark, f"file://{tmp_path}/cache", job.LOGO_CACHE), f"file://{tmp_path}/cache")
+    assert tables.read_cache(spark, f"file://{tmp_path}/cache", job.LOGO_CACHE).count() == 1
+    for f in [*tmp_path.glob("snap/channels/*.parquet"), *tmp_path.glob("cache/*.parquet")]:
+        f.write_bytes(b"not parquet")
+        (f.parent / f".{f.name}.crc").unlink(missing_ok=True)
+    assert publish.read_snapshot(spark, f"file://{tmp_path}/snap", 1000) is None
+    assert tables.read_cache(spark, f"file://{tmp_path}/cache", job.LOGO_CACHE).count() == 0
+
+
+def test_documents_of_nothing(spark, tmp_path):
+    channels, programs = _tables(spark, tmp_path)
+    path = f"file://{tmp_path}/guide.json"
+    publish.publish_text(view.guide_document(view.guide_json(channels.limit(0), programs), "now"), path, ["section", "ord"])
+    assert json.loads((tmp_path / "guide.json").read_text()) == {"generated": "now", "channels": []}
+    publish.publish_document(publish.document(channels, programs), f"file://{tmp_path}/xmlguide.xmltv")
+    assert (tmp_path / "xmlguide.xmltv").read_text().count("<channel ") == 2
+
+
+def test_xml_unescape(spark):
+    texts = ["a & b", "&amp;", "&lt;", "<&>", "&amp;lt;", "", "&eacute; &#39;"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", text.xml_unescape(text.xml_escape("t")).alias("u"))
+    assert all(r["t"] == r["u"] for r in df.collect())
