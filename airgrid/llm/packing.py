@@ -8,7 +8,7 @@ and a step matches the longest pieces with their successors among the gaps, the
 smallest rooms that hold them, as whole intervals.  Equal pieces take the sequences
 of an interval by rank, which resolves every conflict, the gaps are updated and the
 next length follows.  Only the histogram of lengths (at most ``capacity`` rows) goes
-to the driver and only intervals come back; ranks are found in parallel within
+to the driver and only intervals come back, and a piece finds its interval by bisection; ranks are found in parallel within
 hash shards of a length, so documents of one length never meet in one task.
 
 Defined results: null and empty text is the one id 0; repeated rows are packed as
@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .storage import Workspace, fresh
+from .storage import Workspace, fresh, send
 from .tokens import Encoder, default_vocabulary
 
 _END_ID = bytes(4)
@@ -90,18 +90,19 @@ def plan(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int
     return out
 
 
-def pack(docs: DataFrame, capacity: int = 2048, vocabulary: str | None = None, rank_shards: int = 64) -> DataFrame:
+def pack(docs: DataFrame, capacity: int = 2048, vocabulary: str | None = None, shard_pieces: int = 50_000) -> DataFrame:
     """``doc_id, piece, start, length, ids_crc32, sequence_id, offset`` for each piece of ``docs`` (doc_id, text)."""
     spark = docs.sparkSession
     ws = Workspace(spark, "packing")
-    shard = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(rank_shards)).cast("int")
-    cut = ws.cut(pieces_of(docs, vocabulary or default_vocabulary(), capacity).withColumn("shard", shard), "pieces")
+    cut = ws.cut(pieces_of(docs, vocabulary or default_vocabulary(), capacity), "pieces")
+    # Most pieces may have one length, so a length has as many shards as the whole table asks for.
+    shards = max(8, -(-cut.count() // shard_pieces))
+    cut = cut.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(shards)).cast("int"))
     counts = cut.groupBy("length", "shard").agg(F.count("*").alias("n"))
     offsets = counts.withColumn("base", F.sum("n").over(Window.partitionBy("length").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)))
     offsets = offsets.select("length", "shard", F.coalesce("base", F.lit(0)).alias("base"))
     ranked = cut.withColumn("within", F.row_number().over(Window.partitionBy("length", "shard").orderBy(F.col("doc_id").asc_nulls_first(), "piece", "ids_crc32")) - 1)
-    # At most capacity * rank_shards offsets and as many intervals as the plan has: both bounded by parameters.
-    ranked = ranked.join(F.broadcast(offsets), ["length", "shard"]).withColumn("rank", F.col("base") + F.col("within"))
+    ranked = ranked.join(send(ws.cut(offsets, "offsets")), ["length", "shard"]).withColumn("rank", F.col("base") + F.col("within"))
 
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     steps = array("q", [x for row in plan(histogram, capacity) for x in row])
@@ -112,7 +113,8 @@ def pack(docs: DataFrame, capacity: int = 2048, vocabulary: str | None = None, r
     table = spark.createDataFrame(rows, "length long, firsts array<long>, steps array<array<long>>")
     placed = ranked.join(F.broadcast(table), "length")
     # The interval that holds the rank: the last whose first rank is not above it.
-    step = F.get("steps", F.expr("int(aggregate(firsts, 0L, (n, x) -> n + if(x <= rank, 1L, 0L)) - 1)"))
+    halves = ", ".join(str(1 << k) for k in range(max(1, max(map(len, by_length.values()), default=1)).bit_length() - 1, -1, -1))
+    step = F.get("steps", F.expr(f"aggregate(array({halves}), 0, (at, half) -> if(get(firsts, at + half) <= rank, at + half, at))"))
     placed = placed.withColumn("step", step)
     return placed.select(
         "doc_id", "piece", "start", "length", "ids_crc32",

@@ -161,8 +161,13 @@ def shingle_sets(texts: pa.ChunkedArray, size: int = 5) -> list[np.ndarray]:
     return out
 
 
-def signatures(docs: DataFrame, size: int, bands: int, band_rows: int, seed: int = 3) -> DataFrame:
-    """``doc_id, n_shingles, h1, h2, keys`` of each row: set size, a 128-bit hash of the set, band keys."""
+def prefix_keys(own: np.ndarray, percent: int) -> np.ndarray:
+    """The smallest hashes of a sorted set, as many as any set linked with it must share one of."""
+    return own[: len(own) - -(-percent * len(own) // 100) + 1]
+
+
+def signatures(docs: DataFrame, size: int, bands: int, band_rows: int, percent: int, exact: bool, seed: int = 3) -> DataFrame:
+    """``doc_id, n_shingles, h1, h2, keys`` of each row: set size, a 128-bit hash of the set, band keys or those of the exact way."""
     factors, shifts = hashing.hash_family(bands * band_rows, seed)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -170,28 +175,35 @@ def signatures(docs: DataFrame, size: int, bands: int, band_rows: int, seed: int
         for batch in batches:
             for i, j, raw, offsets in hashing.slices(batch.column(1)):
                 values, at = hashing.shingles(raw, offsets, size)
-                n, h = np.zeros(j - i, dtype=np.int64), np.zeros((2, j - i), dtype=U64)
+                n, h, prefixes = np.zeros(j - i, dtype=np.int64), np.zeros((2, j - i), dtype=U64), []
                 for k in range(j - i):
                     own = np.unique(values[at[k] : at[k + 1]])
                     n[k] = len(own)
                     h[0, k], h[1, k] = own.sum(), hashing.mix(own ^ U64(0x2545F4914F6CDD1D)).sum()
+                    if exact:
+                        prefixes.append(prefix_keys(own, percent) if len(own) else own)
                 held = np.flatnonzero(n)
-                keys = np.zeros((0, bands), dtype=U64)
-                if len(held):
+                keys = np.concatenate(prefixes) if exact else np.zeros((0, bands), dtype=U64)
+                per = np.array([len(p) for p in prefixes]) if exact else np.where(n > 0, bands, 0)
+                if len(held) and not exact:
                     minima = hashing.min_hashes(values, np.append(at[:-1][held], at[-1]), factors, shifts)
                     keys = hashing.band_keys(minima, band_rows)
                 ends = np.zeros(j - i + 1, dtype=np.int32)
-                np.cumsum(np.where(n > 0, bands, 0), out=ends[1:])
+                np.cumsum(per, out=ends[1:])
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(keys.ravel().view(np.int64)))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(n), pa.array(h[0].view(np.int64)), pa.array(h[1].view(np.int64)), lists], names=["doc_id", "n_shingles", "h1", "h2", "keys"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_shingles long, h1 long, h2 long, keys array<long>")
 
 
-def similar_documents(docs: DataFrame, percent: int = 80, size: int = 5, bands: int = 40, band_rows: int = 5, block_weight: int = 2_000_000) -> DataFrame:
-    """``doc_id, n_shingles, component_id`` for each row of ``docs`` (doc_id, text)."""
+def similar_documents(docs: DataFrame, percent: int = 80, size: int = 5, bands: int = 40, band_rows: int = 5, block_weight: int = 2_000_000, exact: bool = False) -> DataFrame:
+    """``doc_id, n_shingles, component_id`` for each row of ``docs`` (doc_id, text).
+
+    With ``exact`` documents are routed by the prefixes of their sets in the order of hashes, which miss no
+    link at all; passages that many documents share then make large groups, so it costs much more.
+    """
     ws = Workspace(docs.sparkSession, "signature_tree")
-    signed = ws.cut(signatures(docs, size, bands, band_rows), "signatures")
+    signed = ws.cut(signatures(docs, size, bands, band_rows, percent, exact), "signatures")
     narrow = signed.where("n_shingles > 0 and doc_id is not null").select("doc_id", "n_shingles", "h1", "h2")
     classes = ws.cut(narrow.groupBy("n_shingles", "h1", "h2").agg(F.min("doc_id").alias("first")), "classes")
     # The first document of each class, with its band keys.

@@ -153,7 +153,7 @@ def records(uri: str, passes=lambda record: True, payload: bool = True, verify:
     """The records of one archive that pass a test of their headers."""
     from pyarrow import fs
 
-    store, path = fs.FileSystem.from_uri(uri)
+    store, path = fs.FileSystem.from_uri("s3" + uri[3:] if uri.startswith(("s3a:", "s3n:")) else uri)
     with store.open_input_file(path) as raw:
         stream = gzip.GzipFile(fileobj=raw) if path.endswith(".gz") else io.BufferedReader(raw, 1 << 18)
         while (head := _headers(stream)) is not None:

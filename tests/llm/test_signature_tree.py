@@ -1,5 +1,6 @@
 """The join against all pairs."""
 
+import math
 import random
 import re
 
@@ -7,7 +8,7 @@ import numpy as np
 import pytest
 
 from airgrid.llm.graph import local_roots
-from airgrid.llm.signature_tree import SignatureTree, linked, similar_documents, surviving_pairs
+from airgrid.llm.signature_tree import SignatureTree, linked, prefix_keys, similar_documents, surviving_pairs
 
 from .fixtures import hard_documents, no_documents, prose, texts_of
 
@@ -74,3 +75,18 @@ def test_traversal_loses_no_pair():
     assert {p for p in similar if (p[0] + p[1]) % 2} <= crossed
     a, b = linked(np.arange(90), sets, half, 80)
     assert all((max(p), min(p)) in similar for p in zip(a.tolist(), b.tolist(), strict=True))
+
+
+def test_exact_way(spark):
+    """Routing by prefixes misses nothing: every link of brute force, also at a similarity of exactly 0.8."""
+    docs = hard_documents(spark)
+    more = []
+    for k in range(40):
+        words = prose(2000 + k // 2, 22 + k % 2 * 2).split()
+        more.append((300 + k, " ".join(words[: 20 + k % 3])))
+    edge = [" ".join(f"e{i}" for i in range(a, b)) for a, b in ((0, 13), (1, 14), (0, 12), (30, 34), (30, 35))]
+    table = docs.select("doc_id", "text").unionByName(spark.createDataFrame(more + [(400 + i, t) for i, t in enumerate(edge)], "doc_id long, text string"))
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in similar_documents(table, exact=True).collect()}
+    assert got == want(texts_of(table))
+    for n in range(1, 60):  # a prefix is no longer than it must be
+        assert len(prefix_keys(np.arange(n), 80)) == n - math.ceil(0.8 * n - 1e-9) + 1
