@@ -4,6 +4,13 @@ Every stage takes (spark, docs, sf_dir) and returns a table, which is written as
 Parquet and read again as the next stage's docs.  All but the last return the columns
 of documents.  ORACLE_SQL is None: min-hash candidates, a fitted classifier and
 subword ids have no SQL form; tests hold each stage against a brute-force version.
+
+Defined results: columns beside doc_id and text stay as they are, but for n_chars, which follows the text.
+Null and empty texts are not toxic, have no lines to lose and no copies, take nothing in the mix (so they
+go there) and otherwise stay.  A null doc_id is that of a document of its own; rows that agree in doc_id and
+text keep their lines together, leave one row among near copies and are mixed one by one; rows of one
+doc_id with other texts are documents of their own.  Ties go to the smaller doc_id, a null one last, and then to the
+smaller hash of the text.  Empty tables give empty results; without labels of both classes nothing is toxic.
 """
 
 from __future__ import annotations
