@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators import dims, enrich, filters, icons, normalize, publish, view
+from .session import ship
 from .sources import grid, tables, web
 from .streaming import refresh
 
@@ -107,6 +108,7 @@ def main(args: list[str] | None = None) -> None:
     parser.add_argument("--once", action="store_true", help="one run, without a schedule")
     told = parser.parse_args(args)
     spark = SparkSession.builder.getOrCreate()
+    ship(spark)
     s = Settings.of(spark, told.folder)
     if told.once:
         print(run_once(spark, s))
