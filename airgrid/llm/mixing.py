@@ -169,7 +169,8 @@ def apply_mix(docs: DataFrame, mixed: DataFrame) -> DataFrame:
     text = F.array_join(F.concat(F.array_repeat("text", of("turns").cast("int")), part("first_at", "first_words"), part("second_at", "second_words")), "\n\n")
     some = "_airgrid_turns * _airgrid_size + _airgrid_first_words + _airgrid_second_words > 0"
     same = F.col("doc_id").eqNullSafe(F.col("_airgrid_id")) & (_row_code() == F.col("_airgrid_code"))
-    out = docs.join(send(take.where("_airgrid_kinds = 1").where(some)), same).withColumn("text", text).select(*docs.columns)
+    single = take.where("_airgrid_kinds = 1").where(some).select("_airgrid_id", "_airgrid_code", *[f"_airgrid_{c}" for c in own])
+    out = docs.join(send(single), same).withColumn("text", text).select(*docs.columns)
     several = ws.again(take).where("_airgrid_kinds > 1")
     if several.head(1):
         groups = several.select("_airgrid_id", "_airgrid_code").distinct()
