@@ -8,13 +8,15 @@ text files are written by Spark's committer to any store, one record a row.
 
 Reading plans file partitions (small files together), takes over filters on record
 type and header fields, parses a record's headers first and seeks over payloads that
-a filter rejects or that the caller doesn't want.
+a filter rejects or that the caller doesn't want.  Archives in a store that only Spark's own
+readers open (viewfs, HDFS without its native library) come as whole files of less than 2 GB from
+Spark and are parsed alike; there filters are applied behind the parser.
 
 Defined results: a null payload is empty; a null url has no target header; control
 characters in a url are dropped from its header; a null page_id never is the smallest
 unless it is the only one; of repeated rows one is the response; an empty table
-writes an archive without records.  The table must be one that Spark reads the same
-way twice (a file scan), as rows with equal ids are told apart by their place.
+writes an archive without records.  Rows get a number when they are first read, and are written with
+it, so equal rows stay apart however often a task runs again.
 """
 
 from __future__ import annotations
@@ -30,7 +32,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, In, InputPartition, IsNotNull, StringContains, StringStartsWith
 
-from .storage import Workspace, send
+from .storage import Workspace, fresh, send, small_batches
 
 CRLF = "\r\n"
 SCHEMA = "record_id string, record_type string, target_uri string, date string, refers_to string, payload_digest string, payload_bytes long, payload binary"
@@ -43,20 +45,27 @@ def _line(name: str, value: Column) -> Column:
     return F.coalesce(F.concat(F.lit(name + ": "), value, F.lit(CRLF)), F.lit(""))
 
 
-def write_warc(pages: DataFrame, path: str, least: int = 100, date: str = "1970-01-01T00:00:00Z", records_per_file: int = 50_000, **options: str) -> None:
-    """Write ``pages`` (page_id, url, html) to a folder of archives; options go to the text writer (compression)."""
+def write_warc(pages: DataFrame, path: str, least: int = 100, date: str = "1970-01-01T00:00:00Z", file_bytes: int = 128 << 20, **options: str) -> None:
+    """Write ``pages`` (page_id, url, html) to a folder of archives of about ``file_bytes`` of payload.
+
+    Options go to the text writer; with ``compression`` a file is one compressed stream, not one for each record.
+    """
+    ws = Workspace(pages.sparkSession, "warc")
     payload = F.coalesce("html", F.lit(""))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload"), F.monotonically_increasing_id().alias("place"))
     rows = rows.withColumn("bytes", F.octet_length("payload").cast("long")).withColumn("digest", F.sha2(F.col("payload").cast("binary"), 256))
+    rows = ws.cut(rows, "numbered")
     first = (
-        rows.where(F.col("bytes") >= least)
+        ws.again(rows)
+        .where(F.col("bytes") >= least)
         .groupBy(F.col("digest").alias("_digest"))
         .agg(F.min(F.struct(F.col("page_id").isNull().alias("no_id"), "page_id", "place")).alias("_first"), F.count("*").alias("_n"))
         .where("_n > 1")
         .select("_digest", F.col("_first.page_id").alias("_id"), F.col("_first.place").alias("_place"))
     )
     # With few repeated digests no payload moves; with many, both sides are dealt by digest.
-    first = Workspace(pages.sparkSession, "warc").cut(first, "repeated")
+    first = ws.cut(first, "repeated")
+    mean = ws.again(rows).agg(F.avg("bytes")).first()[0] or 0.0
     rows = rows.withColumn("_key", F.when(F.col("bytes") >= least, F.col("digest"))).join(send(first), F.col("_key") == F.col("_digest"), "left")
     again = F.col("_place").isNotNull() & (F.col("_place") != F.col("place"))
     urn = lambda page, place: F.concat(F.lit("<urn:page:"), F.coalesce(F.col(page).cast("string"), F.lit("")), F.lit(":"), F.col(place).cast("string"), F.lit(">"))
@@ -75,7 +84,7 @@ def write_warc(pages: DataFrame, path: str, least: int = 100, date: str = "1970-
         F.lit(CRLF),
     )
     record = F.concat(head, http, F.when(again, "").otherwise(F.col("payload")))
-    rows.select(record.alias("value")).write.option("lineSep", CRLF * 2).option("maxRecordsPerFile", records_per_file).options(**options).text(path)
+    rows.select(record.alias("value")).write.option("lineSep", CRLF * 2).option("maxRecordsPerFile", max(1, int(file_bytes / (mean + 500)))).options(**options).text(path)
 
 
 class _Files(InputPartition):
@@ -83,6 +92,23 @@ class _Files(InputPartition):
         self.uris = uris
 
 
+def _batches(found: Iterator[dict], most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """Records in batches of about ``most`` bytes."""
+    kinds = {"payload_bytes": pa.int64(), "payload": pa.binary()}
+    names = [c.split()[0] for c in SCHEMA.split(", ")]
+    made = lambda rows: pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], kinds.get(c, pa.string())) for c in names], names=names)
+    rows: list[dict] = []
+    held = 0
+    for record in found:
+        rows.append(record)
+        held += len(record["payload"] or b"") + 500
+        if held > most:
+            yield made(rows)
+            rows, held = [], 0
+    if rows:
+        yield made(rows)
+
+
 class WarcReader(DataSourceReader):
     def __init__(self, options: dict):
         self.files = json.loads(options["files"])
@@ -120,19 +146,7 @@ class WarcReader(DataSourceReader):
         return True
 
     def read(self, partition) -> Iterator[pa.RecordBatch]:
-        kinds = {"payload_bytes": pa.int64(), "payload": pa.binary()}
-        names = [c.split()[0] for c in SCHEMA.split(", ")]
-        rows: list[dict] = []
-        held = 0
-        for uri in partition.uris:
-            for record in records(uri, self._passes, self.wanted, self.verify):
-                rows.append(record)
-                held += len(record["payload"] or b"") + 500
-                if held > 8 << 20:
-                    yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], kinds.get(c, pa.string())) for c in names], names=names)
-                    rows, held = [], 0
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], kinds.get(c, pa.string())) for c in names], names=names)
+        return _batches(r for uri in partition.uris for r in records(uri, self._passes, self.wanted, self.verify))
 
 
 def _headers(stream) -> dict[str, str] | None:
@@ -149,36 +163,44 @@ def _headers(stream) -> dict[str, str] | None:
     return out
 
 
-def records(uri: str, passes=lambda record: True, payload: bool = True, verify: bool = False) -> Iterator[dict]:
-    """The records of one archive that pass a test of their headers."""
+def records_in(raw, name: str, passes=lambda record: True, payload: bool = True, verify: bool = False) -> Iterator[dict]:
+    """The records of an archive, an open file that can seek, that pass a test of their headers."""
+    stream = gzip.GzipFile(fileobj=raw) if name.endswith(".gz") else io.BufferedReader(raw, 1 << 18)
+    while (head := _headers(stream)) is not None:
+        if not head[""].startswith("WARC/"):
+            raise ValueError(f"no WARC record where one should begin in {name}: {head['']!r}")
+        end = stream.tell() + int(head.get("content-length", 0))
+        record = {c: head.get(h) for c, h in FIELDS.items()} | {"payload_bytes": None, "payload": None}
+        record["payload_digest"] = (record["payload_digest"] or "").removeprefix("sha256:") or None
+        if passes(record):
+            told = None
+            if head.get("content-type", "").startswith("application/http"):
+                told = (_headers(stream) or {}).get("content-length")
+            left = end - stream.tell()
+            revisit = record["record_type"] == "revisit"
+            record["payload_bytes"] = int(told) if revisit and told else left
+            if not revisit and (payload or verify):
+                body = stream.read(left)
+                if verify and record["payload_digest"] and hashlib.sha256(body).hexdigest() != record["payload_digest"]:
+                    raise ValueError(f"the payload of {record['record_id']} in {name} doesn't have its digest")
+                record["payload"] = body if payload else None
+            yield record
+        if stream.tell() != end:
+            stream.seek(end)
+
+
+def _opened(uri: str):
+    """(store, path) of an archive for pyarrow; fails where that has no client of the store."""
     from pyarrow import fs
 
-    store, path = fs.FileSystem.from_uri("s3" + uri[3:] if uri.startswith(("s3a:", "s3n:")) else uri)
+    return fs.FileSystem.from_uri("s3" + uri[3:] if uri.startswith(("s3a:", "s3n:")) else uri)
+
+
+def records(uri: str, passes=lambda record: True, payload: bool = True, verify: bool = False) -> Iterator[dict]:
+    """The records of one archive that pass a test of their headers."""
+    store, path = _opened(uri)
     with store.open_input_file(path) as raw:
-        stream = gzip.GzipFile(fileobj=raw) if path.endswith(".gz") else io.BufferedReader(raw, 1 << 18)
-        while (head := _headers(stream)) is not None:
-            if not head[""].startswith("WARC/"):
-                raise ValueError(f"no WARC record where one should begin in {uri}: {head['']!r}")
-            end = stream.tell() + int(head.get("content-length", 0))
-            record = {c: head.get(h) for c, h in FIELDS.items()} | {"payload_bytes": None, "payload": None}
-            record["payload_digest"] = (record["payload_digest"] or "").removeprefix("sha256:") or None
-            if passes(record):
-                if head.get("content-type", "").startswith("application/http"):
-                    http = _headers(stream) or {}
-                    told = http.get("content-length")
-                else:
-                    told = None
-                left = end - stream.tell()
-                revisit = record["record_type"] == "revisit"
-                record["payload_bytes"] = int(told) if revisit and told else left
-                if not revisit and (payload or verify):
-                    body = stream.read(left)
-                    if verify and record["payload_digest"] and hashlib.sha256(body).hexdigest() != record["payload_digest"]:
-                        raise ValueError(f"the payload of {record['record_id']} in {uri} doesn't have its digest")
-                    record["payload"] = body if payload else None
-                yield record
-            if stream.tell() != end:
-                stream.seek(end)
+        yield from records_in(raw, uri, passes, payload, verify)
 
 
 class WarcSource(DataSource):
@@ -197,8 +219,6 @@ class WarcSource(DataSource):
 
 def read_warc(spark: SparkSession, path: str, payload: bool = True, verify: bool = False) -> DataFrame:
     """The records of a folder of archives (or one archive); without ``payload`` its bytes are never read."""
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
-    spark.dataSource.register(WarcSource)
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     listed, files = at.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(at, True), []
     while listed.hasNext():
@@ -206,4 +226,24 @@ def read_warc(spark: SparkSession, path: str, payload: bool = True, verify: bool
         if not f.getPath().getName().startswith(("_", ".")):
             uri = f.getPath().toString()
             files.append(("file://" + uri.removeprefix("file:").replace("//", "/") if uri.startswith("file:") else uri, f.getLen()))
+    try:
+        for uri, _ in files[:1]:
+            _opened(uri)
+    except (pa.ArrowInvalid, OSError):
+        return _read_whole(spark, [uri for uri, _ in files], payload, verify)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    spark.dataSource.register(WarcSource)
     return spark.read.format("warc").option("files", json.dumps(files)).option("payload", str(payload).lower()).option("verify", str(verify).lower()).load()
+
+
+def _read_whole(spark: SparkSession, uris: list[str], payload: bool, verify: bool) -> DataFrame:
+    """As :func:`read_warc`, with the bytes of the archives from Spark, one archive after the other."""
+    small_batches(spark)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fresh()
+        for batch in batches:
+            for name, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                yield from _batches(records_in(pa.BufferReader(content.as_buffer()), name, payload=payload, verify=verify))
+
+    return spark.read.format("binaryFile").load(uris).select("path", "content").mapInArrow(run, SCHEMA)

@@ -59,3 +59,27 @@ def test_compressed_and_foreign(spark, tmp_path):
     assert [(r["record_type"], bytes(r["payload"]), r["payload_bytes"]) for r in rows] == [("warcinfo", b"hello", 5)] * 2
     write_warc(_pages(spark).limit(0), f"file://{tmp_path}/none")
     assert read_warc(spark, f"file://{tmp_path}/none").count() == 0
+
+
+def test_store_of_spark_only(spark, tmp_path):
+    """A store that has no client but Hadoop's gives the same records."""
+    conf = spark._jsc.hadoopConfiguration()
+    conf.set("fs.viewfs.mounttable.told.link./store", f"file://{tmp_path}")
+    pages = _pages(spark)
+    write_warc(pages, "viewfs://told/store/archive", file_bytes=1 << 20)
+    columns = ["record_id", "record_type", "target_uri", "refers_to", "payload_digest", "payload_bytes", "payload"]
+    plain = lambda df: sorted(map(str, df.select(*columns).collect()))
+    want = plain(read_warc(spark, f"file://{tmp_path}/archive", verify=True))
+    assert len(want) == pages.count() and plain(read_warc(spark, "viewfs://told/store/archive", verify=True)) == want
+    far = read_warc(spark, "viewfs://told/store/archive", payload=False)
+    assert far.where("record_type = 'revisit'").count() == sum("'revisit'" in w for w in want)
+    assert {r["payload"] for r in far.collect()} == {None}
+
+
+def test_rows_that_are_not_read_alike_twice(spark, tmp_path):
+    """One response for each payload though the table's order changes between scans."""
+    pages = spark.range(400).select((F.col("id") % 4).alias("page_id"), F.lit("u").alias("url"), F.concat(F.lit("x" * 120), (F.col("id") % 2).cast("string")).alias("html")).orderBy(F.rand())
+    write_warc(pages, f"file://{tmp_path}/archive")
+    rows = read_warc(spark, f"file://{tmp_path}/archive", payload=False).collect()
+    assert len(rows) == 400 and sum(r["record_type"] == "response" for r in rows) == 2
+    assert {r["refers_to"] for r in rows} - {None} == {r["record_id"] for r in rows if r["record_type"] == "response"}
