@@ -15,8 +15,8 @@ Spark and are parsed alike; there filters are applied behind the parser.
 Defined results: a null payload is empty; a null url has no target header; control
 characters in a url are dropped from its header; a null page_id never is the smallest
 unless it is the only one; of repeated rows one is the response; an empty table
-writes an archive without records.  Rows get a number when they are first read, and are written with
-it, so equal rows stay apart however often a task runs again.
+writes an archive without records.  Rows are told apart by what they hold, and equal ones by a number
+that is written with them, so the table's scans need not give rows in one order.
 """
 
 from __future__ import annotations
@@ -52,33 +52,46 @@ def write_warc(pages: DataFrame, path: str, least: int = 100, date: str = "1970-
     """
     ws = Workspace(pages.sparkSession, "warc")
     payload = F.coalesce("html", F.lit(""))
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload"), F.monotonically_increasing_id().alias("place"))
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload"))
     rows = rows.withColumn("bytes", F.octet_length("payload").cast("long")).withColumn("digest", F.sha2(F.col("payload").cast("binary"), 256))
-    rows = ws.cut(rows, "numbered")
+    told = ws.cut(rows.select("page_id", "url", "bytes", "digest"), "told")
+    mean = told.agg(F.avg("bytes")).first()[0] or 0.0
     first = (
-        ws.again(rows)
-        .where(F.col("bytes") >= least)
+        told.where(F.col("bytes") >= least)
         .groupBy(F.col("digest").alias("_digest"))
-        .agg(F.min(F.struct(F.col("page_id").isNull().alias("no_id"), "page_id", "place")).alias("_first"), F.count("*").alias("_n"))
+        .agg(F.min(F.struct(F.col("page_id").isNull().alias("no_id"), "page_id", F.col("url").isNull().alias("no_url"), "url")).alias("_first"), F.count("*").alias("_n"))
         .where("_n > 1")
-        .select("_digest", F.col("_first.page_id").alias("_id"), F.col("_first.place").alias("_place"))
+        .select("_digest", F.col("_first.page_id").alias("_id"), F.col("_first.url").alias("_url"))
     )
-    # With few repeated digests no payload moves; with many, both sides are dealt by digest.
     first = ws.cut(first, "repeated")
-    mean = ws.again(rows).agg(F.avg("bytes")).first()[0] or 0.0
-    rows = rows.withColumn("_key", F.when(F.col("bytes") >= least, F.col("digest"))).join(send(first), F.col("_key") == F.col("_digest"), "left")
-    again = F.col("_place").isNotNull() & (F.col("_place") != F.col("place"))
-    urn = lambda page, place: F.concat(F.lit("<urn:page:"), F.coalesce(F.col(page).cast("string"), F.lit("")), F.lit(":"), F.col(place).cast("string"), F.lit(">"))
+    # With few repeated digests no payload moves; with many, both sides are dealt by digest.
+    key = F.when(F.col("bytes") >= least, F.col("digest"))
+    least_row = F.col("page_id").eqNullSafe(F.col("_id")) & F.col("url").eqNullSafe(F.col("_url"))
+    several = ws.again(told).join(send(first), (key == F.col("_digest")) & least_row).groupBy(F.col("_digest").alias("_tied")).count().where("count > 1").select("_tied")
+    several = ws.cut(several, "tied")
+    rows = rows.join(send(ws.again(first)), key == F.col("_digest"), "left").withColumn("again", F.col("_digest").isNotNull() & ~least_row)
+    if several.head(1):
+        # Equal rows that are all the least: they are numbered in a table of their own, and one of them is the response.
+        rows = rows.join(send(several), (F.col("_digest") == F.col("_tied")) & ~F.col("again"), "left")
+        equal = ws.cut(rows.where("_tied is not null").withColumn("_at", F.monotonically_increasing_id()), "equal")
+        lead = ws.cut(ws.again(equal).groupBy(F.col("_digest").alias("_of")).agg(F.min("_at").alias("_lead")), "lead")
+        equal = equal.join(send(lead), F.col("_digest") == F.col("_of")).withColumn("again", F.col("_at") != F.col("_lead"))
+        rows = rows.where("_tied is null").drop("_tied").unionByName(equal.drop("_tied", "_at", "_of", "_lead"))
+    rows = rows.withColumn("place", F.monotonically_increasing_id())
+    again, leads = F.col("again"), F.col("_digest").isNotNull() & ~F.col("again")
+    # A response that others refer to is named by what it holds, any other record by its place in this scan too.
+    urn = lambda page, *more: F.concat(F.lit("<urn:page:"), F.coalesce(F.col(page).cast("string"), F.lit("")), F.lit(":"), "digest", *more, F.lit(">"))
+    name = F.when(leads, urn("page_id")).otherwise(urn("page_id", F.lit(":"), F.col("place").cast("string")))
     http = F.concat(F.lit(f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}Content-Length: "), F.col("bytes").cast("string"), F.lit(CRLF * 2))
     head = F.concat(
         F.lit("WARC/1.1" + CRLF),
         _line("WARC-Type", F.when(again, "revisit").otherwise("response")),
-        _line("WARC-Record-ID", urn("page_id", "place")),
+        _line("WARC-Record-ID", name),
         _line("WARC-Date", F.lit(date)),
         _line("WARC-Target-URI", F.regexp_replace("url", r"[\x00-\x1f\x7f]", "")),
         _line("WARC-Payload-Digest", F.concat(F.lit("sha256:"), "digest")),
         _line("WARC-Profile", F.when(again, REVISIT)),
-        _line("WARC-Refers-To", F.when(again, urn("_id", "_place"))),
+        _line("WARC-Refers-To", F.when(again, urn("_id"))),
         _line("Content-Type", F.lit("application/http;msgtype=response")),
         _line("Content-Length", (F.octet_length(http) + F.when(again, 0).otherwise(F.col("bytes"))).cast("string")),
         F.lit(CRLF),
