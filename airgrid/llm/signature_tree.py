@@ -144,9 +144,15 @@ def exact_links(members: DataFrame, to_sets: Callable[[pa.ChunkedArray], list[np
     dealt = dealt.select("node", "text", "grp", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), (F.col("own") > F.col("other")).cast("int").alias("side"))
 
     def run(table: pa.Table) -> pa.Table:
-        nodes, first = np.unique(table["node"].to_numpy(), return_index=True)
+        nodes = table["node"].to_numpy()
+        first = np.unique(nodes, return_index=True)[1]
+        if len(first) < len(nodes):  # each text of a node counts, and counts once
+            told: dict[tuple, int] = {}
+            for i, known in enumerate(zip(nodes.tolist(), table["text"].to_pylist(), strict=True)):
+                told.setdefault(known, i)
+            first = np.array(list(told.values()), dtype=np.int64)
         table = table.take(first)
-        a, b = linked(nodes, to_sets(table["text"]), table["side"].to_numpy(), percent)
+        a, b = linked(nodes[first], to_sets(table["text"]), table["side"].to_numpy(), percent)
         return pa.table({"a": a, "b": b})
 
     return dealt.groupBy("grp", "p", "q").applyInArrow(run, "a long, b long")
@@ -213,7 +219,7 @@ def similar_documents(docs: DataFrame, percent: int = 80, size: int = 5, bands:
     groups = ws.cut(groups.join(ws.again(keys).groupBy("node").agg(F.max("n_shingles").alias("weight")), "node"), "groups")
     wanted = groups.select(F.col("node").alias("_id"), F.col("component").alias("grp"), "weight")
     members = docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(send(wanted), F.col("node") == F.col("_id")).select("node", "grp", "weight", "text")
-    # A doc_id with several texts has all of them as sets of the one node, through its class.
+    # A doc_id with several texts has all of them as sets of the one node.
     links = ws.cut(exact_links(members, lambda texts: shingle_sets(texts, size), percent, block_weight), "links")
     same = narrow.join(classes, ["n_shingles", "h1", "h2"]).where("doc_id != first").select(F.col("doc_id").alias("a"), F.col("first").alias("b"))
     joined = components(ws, links.unionByName(same)).withColumnRenamed("node", "_node")

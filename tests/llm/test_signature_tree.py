@@ -90,3 +90,12 @@ def test_exact_way(spark):
     assert got == want(texts_of(table))
     for n in range(1, 60):  # a prefix is no longer than it must be
         assert len(prefix_keys(np.arange(n), 80)) == n - math.ceil(0.8 * n - 1e-9) + 1
+
+
+def test_all_texts_of_a_doc_id_link(spark):
+    """A doc_id with two texts is one node that has the links of both."""
+    one, two = prose(1, 120), prose(2, 120)
+    near = lambda t: t.rsplit(" ", 1)[0] + " changed"
+    rows = [(5, one), (5, two), (5, two), (5, None), (6, near(one)), (7, near(two)), (8, prose(3, 120))]
+    got = similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == len(rows) and {(r["doc_id"], r["component_id"]) for r in got} == {(5, 5), (6, 5), (7, 5), (8, 8)}
