@@ -1,15 +1,19 @@
-"""Best-fit packing in bulk-synchronous steps.
+"""Best-fit packing in bulk-synchronous rounds.
 
 A document is its token ids and then id 0; only longer ones are cut into full
-pieces, and the rest is one shorter piece.  The pieces are placed best-fit, longest
-first.  Pieces and gaps are integers up to ``capacity``, so the state of a step is
-run-length coded: pieces are sorted by (length, rank) and gaps by (room, sequence),
-and a step matches the longest pieces with their successors among the gaps, the
-smallest rooms that hold them, as whole intervals.  Equal pieces take the sequences
-of an interval by rank, which resolves every conflict, the gaps are updated and the
-next length follows.  Only the histogram of lengths (at most ``capacity`` rows) goes
-to the driver and only intervals come back, and a piece finds its interval by bisection; ranks are found in parallel within
-hash shards of a length, so documents of one length never meet in one task.
+pieces, and the rest is one shorter piece.  A piece above half the capacity opens a
+sequence of its own.  Then a round sorts the waiting pieces and the gaps (what is
+left of open sequences) together by range and sweeps each range: a gap takes the
+longest free piece below it, whose successor it is, and more while they fit.  Pieces
+and gaps that a range leaves are matched with those of other ranges by counts: the
+r-th piece of an interval takes the r-th gap, so no two pieces want the same room.
+The gaps are updated, and the next round follows with what still waits.  A round opens
+the sequences that the rest needs by its volume, and as many as the rest fills where
+the open ones took less than a fiftieth of it.
+
+Every table of a round is written, so a lost executor repeats tasks and not rounds.
+Ranges are cut at (size, key), so equal lengths spread over tasks; the driver sees
+counts of each range (``task_rows`` rows) only.
 
 Defined results: null and empty text is the one id 0; repeated rows are packed as
 separate documents; an empty table gives an empty result; other columns are ignored.
@@ -18,105 +22,187 @@ separate documents; an empty table gives an empty result; other columns are igno
 from __future__ import annotations
 
 import zlib
-from array import array
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .storage import Workspace, fresh, send
+from .storage import Workspace, fresh
 from .tokens import Encoder, default_vocabulary
 
 _END_ID = bytes(4)
-PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
+COLUMNS = ["doc_id", "piece", "start", "length", "ids_crc32"]
+PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, key long"
+PIECE, GAP, PLACED, CHANGED = range(4)  # kinds of rows; a piece sorts before a gap of its size
+_SWEPT = {"kind": pa.int32(), "size": pa.int64(), "key": pa.int64(), "doc_id": pa.int64(), "piece": pa.int32(), "start": pa.int64(), "ids_crc32": pa.int64()}
+_SWEPT |= {"part": pa.int32(), "rank": pa.int64(), "sequence_id": pa.int64(), "offset": pa.int64()}
+SWEPT = ", ".join(f"{name} {'int' if kind == pa.int32() else 'long'}" for name, kind in _SWEPT.items())
 
 
 def pieces_of(docs: DataFrame, vocabulary: str, capacity: int) -> DataFrame:
-    """Every piece of every document (doc_id, text)."""
+    """Every piece of every document (doc_id, text), with a key of its own once it is written."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fresh(tokens=True)
         encoder = Encoder.of(vocabulary)
-        kinds = [("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())]
+        kinds = [("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("key", pa.int64())]
+        key = TaskContext.get().partitionId() << 36
         for batch in batches:
-            out: list[list] = [[], [], [], [], []]
+            out: list[list] = [[], [], [], [], [], []]
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 raw = encoder.raw(text.as_py()) + _END_ID
                 for k, at in enumerate(range(0, len(raw), 4 * capacity)):
                     ids = raw[at : at + 4 * capacity]
-                    for column, value in zip(out, (doc_id, k, at // 4, len(ids) // 4, zlib.crc32(ids)), strict=True):
+                    for column, value in zip(out, (doc_id, k, at // 4, len(ids) // 4, zlib.crc32(ids), key), strict=True):
                         column.append(value)
+                    key += 1
             yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, (_, kind) in zip(out, kinds, strict=True)], names=[k for k, _ in kinds])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(cut, PIECES)
 
 
-def plan(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int]]:
-    """(length, first rank, pieces, first sequence, offset) of best-fit, longest first.
+def sweep(sizes: list[int], kinds: list[int], keys: list[int], capacity: int) -> tuple[list[int], list[int], list[int], list[int]]:
+    """One sweep over pieces and gaps sorted by (size, kind): kinds, sizes, sequences and offsets after it.
 
-    counts: pieces of each length.  The result has a row for each interval of equal
-    pieces that go to consecutive sequences with equal room; its size depends on
-    the capacity and not on the number of pieces.
+    A gap takes the longest piece below it that is still free, whose successor it then
+    is, and further ones while they fit.  Pieces become PLACED, gaps that took one
+    CHANGED with the room that is left; all other rows stay as they are.
     """
-    gaps: dict[int, list[list[int]]] = {}  # room -> intervals of [first sequence, number]
-    rooms = 0  # bit r is set where a gap with room r is left
-    sequences, out = 0, []
-    for length in sorted((n for n in counts if counts[n]), reverse=True):
-        rank, left = 0, counts[length]
-        while left:
-            fitting = rooms >> length
-            if fitting:
-                room = length + (fitting & -fitting).bit_length() - 1
-                first, free = gaps[room][-1]
-                n = min(left, free)
-                if n == free:
-                    gaps[room].pop()
-                    if not gaps[room]:
-                        rooms &= ~(1 << room)
-                else:
-                    gaps[room][-1] = [first + n, free - n]
+    kinds, sizes = list(kinds), list(sizes)
+    sequences, offsets, free = [0] * len(kinds), [0] * len(kinds), []
+    for i, kind in enumerate(kinds):
+        if kind == PIECE:
+            free.append(i)
+            continue
+        room = sizes[i]
+        while free and sizes[free[-1]] <= room:
+            k = free.pop()
+            kinds[k], sequences[k], offsets[k] = PLACED, keys[i], capacity - room
+            room -= sizes[k]
+        if room < sizes[i]:
+            kinds[i], sizes[i] = CHANGED, room
+    return kinds, sizes, sequences, offsets
+
+
+def swept(state: DataFrame, capacity: int, tasks: int) -> DataFrame:
+    """Sort pieces and gaps together by range and sweep each range; what a range leaves is numbered in its order."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = [b for b in batches if b.num_rows]
+        if not got:
+            return
+        t = pa.Table.from_batches(got)
+        kinds, sizes, sequences, offsets = sweep(t["size"].to_pylist(), t["kind"].to_pylist(), t["key"].to_pylist(), capacity)
+        ranks, n = [0] * len(kinds), {PIECE: 0, GAP: 0}
+        for i, kind in enumerate(kinds):
+            if kind in n:
+                ranks[i] = n[kind]
+                n[kind] += 1
+        new = {"kind": kinds, "size": sizes, "sequence_id": sequences, "offset": offsets, "rank": ranks}
+        new["part"] = [TaskContext.get().partitionId()] * len(kinds)
+        out = pa.table({name: pa.array(new[name], kind) if name in new else t[name].cast(kind) for name, kind in _SWEPT.items()})
+        yield from out.to_batches(max_chunksize=20_000)
+
+    order = ["size", "kind", "key"]
+    return state.repartitionByRange(tasks, *order).sortWithinPartitions(*order).mapInArrow(run, SWEPT)
+
+
+def across(parts: list[tuple[int, int, int, int, int]]) -> tuple[list[tuple], list[tuple]]:
+    """Match what the ranges left, by counts alone: intervals of ranks of pieces and of gaps, with equal numbers of slots.
+
+    parts: (range, gaps left, least room, pieces left, greatest length), ascending.  The
+    gaps left in a range lie below its pieces left, so they take pieces of ranges below,
+    the nearest first; each takes as many as fit whatever their lengths are there.
+    Result: (range, first rank, end, first slot, pieces a slot) and (range, first rank, end, first slot).
+    """
+    free: list[list[int]] = []  # range, pieces left, greatest length
+    pieces, gaps, slot = [], [], 0
+    for part, n_gaps, room, n_pieces, longest in parts:
+        rank = 0
+        while rank < n_gaps and free:
+            low, left, length = free[-1]
+            each = max(1, room // length)
+            n = min(n_gaps - rank, -(-left // each))
+            first = max(0, left - n * each)
+            pieces.append((low, first, left, slot, each))
+            gaps.append((part, rank, rank + n, slot))
+            slot, rank = slot + n, rank + n
+            if first:
+                free[-1][1] = first
             else:
-                room, first = capacity, sequences
-                each = 1  # open no more sequences than these pieces need when several fit in one
-                n = -(-left // max(1, capacity // length)) if capacity // length > 1 else left
-                n = max(each, min(n, left))
-                sequences += n
-            out.append((length, rank, n, first, capacity - room))
-            if room > length:
-                gaps.setdefault(room - length, []).append([first, n])
-                rooms |= 1 << (room - length)
-            rank, left = rank + n, left - n
+                free.pop()
+        if n_pieces:
+            free.append([part, n_pieces, longest])
+    return pieces, gaps
+
+
+def place(ws: Workspace, cut: DataFrame, capacity: int, task_rows: int) -> DataFrame:
+    """Places for pieces (doc_id, piece, start, length, ids_crc32, key), whose keys are distinct."""
+    spark = cut.sparkSession
+    own = F.col("length") * 2 > capacity  # no two of these share a sequence
+    first = cut.where(own).select(*COLUMNS, F.col("key").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    placed = [first]
+    nothing = [F.lit(None).cast(kind).alias(name) for name, kind in (("doc_id", "long"), ("piece", "int"), ("start", "long"), ("ids_crc32", "long"))]
+    pieces = cut.where(~own).select(F.lit(PIECE).alias("kind"), F.col("length").alias("size"), "key", "doc_id", "piece", "start", "ids_crc32")
+    gaps = cut.where(own & (F.col("length") < capacity)).select(F.lit(GAP).alias("kind"), (F.lit(capacity) - F.col("length")).alias("size"), "key", *nothing)
+    state, opened, stuck = pieces.unionByName(gaps), 0, False
+    while True:
+        total = {r["kind"]: r for r in state.groupBy("kind").agg(F.count("*").alias("n"), F.sum("size").alias("ids"), F.min("size").alias("least")).collect()}
+        if PIECE not in total:
+            break
+        waiting = total[PIECE]["ids"]
+        state = state.where((F.col("kind") == PIECE) | (F.col("size") >= total[PIECE]["least"]))
+        # Sequences that any packing of the rest must open; as many as it fills where next to nothing fits what is open.
+        more = max(-(-waiting // capacity) if stuck else 0, -(-(waiting - (total[GAP]["ids"] if GAP in total else 0)) // capacity))
+        if more > 0:
+            fresh_ones = spark.range(opened, opened + more).select(F.lit(GAP).alias("kind"), F.lit(capacity).cast("long").alias("size"), (-1 - F.col("id")).alias("key"), *nothing)
+            state, opened = state.unionByName(fresh_ones), opened + more
+        rows = sum(r["n"] for r in total.values()) + max(0, more)
+        done = ws.cut(swept(state, capacity, -(-rows // task_rows)), "swept")
+        is_piece, is_gap = F.col("kind") == PIECE, F.col("kind") == GAP
+        left = done.groupBy("part").agg(
+            F.count_if(is_gap).alias("gaps"), F.min(F.when(is_gap, F.col("size"))).alias("room"),
+            F.count_if(is_piece).alias("pieces"), F.max(F.when(is_piece, F.col("size"))).alias("longest"), F.count_if(F.col("kind") == PLACED).alias("placed"),
+        ).orderBy("part").collect()
+        placed.append(done.where(F.col("kind") == PLACED).select(*(F.col("size").alias("length") if c == "length" else F.col(c) for c in COLUMNS), "sequence_id", "offset"))
+        n_placed = sum(r["placed"] for r in left)
+        keep = [c for c in state.columns if c != "kind"]
+        state = done.where(F.col("kind") != PLACED).withColumn("kind", F.when(is_piece, PIECE).otherwise(GAP))
+        of_pieces, of_gaps = across([(r["part"], r["gaps"], r["room"], r["pieces"], r["longest"]) for r in left])
+        if of_pieces:
+            n_placed += sum(end - start for _, start, end, _, _ in of_pieces)
+            at = F.col("rank") - F.col("from")
+            here = (F.col("part") == F.col("range")) & (F.col("rank") >= F.col("from")) & (F.col("rank") < F.col("to"))
+            by_pieces = F.broadcast(spark.createDataFrame(of_pieces, "range int, from long, to long, first long, each long"))
+            by_gaps = F.broadcast(spark.createDataFrame(of_gaps, "range int, from long, to long, first long"))
+            taken = done.where(is_piece).join(by_pieces, here).withColumn("slot", F.col("first") + F.floor(at / F.col("each")))
+            taking = done.where(is_gap).join(by_gaps, here).select((F.col("first") + at).alias("slot"), F.col("size").alias("room"), F.col("key").alias("gap"))
+            both = taken.join(taking, "slot")
+            in_slot = Window.partitionBy("slot").orderBy("rank")
+            both = both.withColumn("used", F.sum("size").over(in_slot.rowsBetween(Window.unboundedPreceding, -1))).withColumn("last", F.lead("rank").over(in_slot).isNull())
+            both = both.select(
+                "doc_id", "piece", "start", F.col("size").alias("length"), "ids_crc32", F.col("gap").alias("sequence_id"),
+                (F.lit(capacity) - F.col("room") + F.coalesce("used", F.lit(0))).alias("offset"), "last",
+            )
+            matched = ws.cut(both, "matched")
+            placed.append(matched.drop("last"))
+            changed = matched.where("last").select(F.lit(GAP).alias("kind"), (F.lit(capacity) - F.col("offset") - F.col("length")).alias("size"), F.col("sequence_id").alias("key"), *nothing)
+            marks = [(p, 0, a, b) for p, a, b, *_ in of_pieces] + [(p, 1, a, b) for p, a, b, _ in of_gaps]
+            marks = F.broadcast(spark.createDataFrame(marks, "range int, of int, from long, to long"))
+            untouched = F.when(F.col("of") == 0, done["kind"] == PIECE).otherwise(done["kind"] == GAP)
+            state = done.where(F.col("kind") != PLACED).join(marks, here & untouched, "left_anti").withColumn("kind", F.when(is_piece, PIECE).otherwise(GAP))
+            state = state.select("kind", *keep).unionByName(changed)
+        state = state.select("kind", *keep).where((F.col("kind") == PIECE) | (F.col("size") > 0))
+        stuck = n_placed * 50 < total[PIECE]["n"]
+    out = placed[0]
+    for more_rows in placed[1:]:
+        out = out.unionByName(more_rows)
     return out
 
 
-def pack(docs: DataFrame, capacity: int = 2048, vocabulary: str | None = None, shard_pieces: int = 50_000) -> DataFrame:
+def pack(docs: DataFrame, capacity: int = 2048, vocabulary: str | None = None, task_rows: int = 200_000) -> DataFrame:
     """``doc_id, piece, start, length, ids_crc32, sequence_id, offset`` for each piece of ``docs`` (doc_id, text)."""
-    spark = docs.sparkSession
-    ws = Workspace(spark, "packing")
-    cut = ws.cut(pieces_of(docs, vocabulary or default_vocabulary(), capacity), "pieces")
-    # Most pieces may have one length, so a length has as many shards as the whole table asks for.
-    shards = max(8, -(-cut.count() // shard_pieces))
-    cut = cut.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(shards)).cast("int"))
-    counts = cut.groupBy("length", "shard").agg(F.count("*").alias("n"))
-    offsets = counts.withColumn("base", F.sum("n").over(Window.partitionBy("length").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)))
-    offsets = offsets.select("length", "shard", F.coalesce("base", F.lit(0)).alias("base"))
-    ranked = cut.withColumn("within", F.row_number().over(Window.partitionBy("length", "shard").orderBy(F.col("doc_id").asc_nulls_first(), "piece", "ids_crc32")) - 1)
-    ranked = ranked.join(send(ws.cut(offsets, "offsets")), ["length", "shard"]).withColumn("rank", F.col("base") + F.col("within"))
-
-    histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
-    steps = array("q", [x for row in plan(histogram, capacity) for x in row])
-    by_length: dict[int, list[tuple[int, int, int, int]]] = {}
-    for i in range(0, len(steps), 5):
-        by_length.setdefault(steps[i], []).append((steps[i + 1], steps[i + 2], steps[i + 3], steps[i + 4]))
-    rows = [(length, [x[0] for x in xs], [list(x) for x in xs]) for length, xs in by_length.items()]
-    table = spark.createDataFrame(rows, "length long, firsts array<long>, steps array<array<long>>")
-    placed = ranked.join(F.broadcast(table), "length")
-    # The interval that holds the rank: the last whose first rank is not above it.
-    halves = ", ".join(str(1 << k) for k in range(max(1, max(map(len, by_length.values()), default=1)).bit_length() - 1, -1, -1))
-    step = F.get("steps", F.expr(f"aggregate(array({halves}), 0, (at, half) -> if(get(firsts, at + half) <= rank, at + half, at))"))
-    placed = placed.withColumn("step", step)
-    return placed.select(
-        "doc_id", "piece", "start", "length", "ids_crc32",
-        (F.get("step", F.lit(2)) + F.col("rank") - F.get("step", F.lit(0))).alias("sequence_id"), F.get("step", F.lit(3)).alias("offset"),
-    )
+    ws = Workspace(docs.sparkSession, "packing")
+    return place(ws, ws.cut(pieces_of(docs, vocabulary or default_vocabulary(), capacity), "pieces"), capacity, task_rows)
