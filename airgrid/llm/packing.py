@@ -2,14 +2,14 @@
 
 A document is its token ids and then id 0; only longer ones are cut into full
 pieces, and the rest is one shorter piece.  A piece above half the capacity opens a
-sequence of its own.  Then a round sorts the waiting pieces and the gaps (what is
-left of open sequences) together by range and sweeps each range: a gap takes the
-longest free piece below it, whose successor it is, and more while they fit.  Pieces
-and gaps that a range leaves are matched with those of other ranges by counts: the
-r-th piece of an interval takes the r-th gap, so no two pieces want the same room.
-The gaps are updated, and the next round follows with what still waits.  A round opens
-the sequences that the rest needs by its volume, and as many as the rest fills where
-the open ones took less than a fiftieth of it.
+sequence of its own, and as many empty ones are opened as the volume needs.  The others
+follow by classes of length, longest first, in rounds.  A round sorts the waiting
+pieces of a class and the gaps (what is left of open sequences) together by range and sweeps
+each range: a gap takes the longest free piece below it, whose successor it is, and more
+while they fit.  Pieces and gaps that a range leaves are matched with those of other
+ranges by counts: the r-th piece of an interval takes the r-th gap, so no two pieces
+want the same room.  The gaps are updated, and the next round follows with what still waits.
+Where the open sequences took less than a fiftieth of it, as many are opened as it fills.
 
 Every table of a round is written, so a lost executor repeats tasks and not rounds.
 Ranges are cut at (size, key), so equal lengths spread over tasks; the driver sees
@@ -22,11 +22,12 @@ separate documents; an empty table gives an empty result; other columns are igno
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .storage import Workspace, fresh
@@ -35,7 +36,9 @@ from .tokens import Encoder, default_vocabulary
 _END_ID = bytes(4)
 COLUMNS = ["doc_id", "piece", "start", "length", "ids_crc32"]
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, key long"
-PIECE, GAP, PLACED, CHANGED = range(4)  # kinds of rows; a piece sorts before a gap of its size
+LEVELS = (3, 4, 6, 8, 12, 16, 32)  # pieces above a third of the capacity are placed before those above a quarter, and so on
+FEW_SLOTS = 200_000  # rows of three numbers that go to all tasks; more are joined by a shuffle
+PIECE, GAP, PLACED, CHANGED, SUMMARY = range(5)  # kinds of rows; a piece sorts before a gap of its size
 _SWEPT = {"kind": pa.int32(), "size": pa.int64(), "key": pa.int64(), "doc_id": pa.int64(), "piece": pa.int32(), "start": pa.int64(), "ids_crc32": pa.int64()}
 _SWEPT |= {"part": pa.int32(), "rank": pa.int64(), "sequence_id": pa.int64(), "offset": pa.int64()}
 SWEPT = ", ".join(f"{name} {'int' if kind == pa.int32() else 'long'}" for name, kind in _SWEPT.items())
@@ -87,7 +90,11 @@ def sweep(sizes: list[int], kinds: list[int], keys: list[int], capacity: int) ->
 
 
 def swept(state: DataFrame, capacity: int, tasks: int) -> DataFrame:
-    """Sort pieces and gaps together by range and sweep each range; what a range leaves is numbered in its order."""
+    """Sort pieces and gaps together by range and sweep each range; what a range leaves is numbered in its order.
+
+    Each range ends with a SUMMARY: gaps left in rank, least room in size, pieces left in
+    key, greatest length in sequence_id, pieces placed in offset.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = [b for b in batches if b.num_rows]
@@ -104,9 +111,14 @@ def swept(state: DataFrame, capacity: int, tasks: int) -> DataFrame:
         new["part"] = [TaskContext.get().partitionId()] * len(kinds)
         out = pa.table({name: pa.array(new[name], kind) if name in new else t[name].cast(kind) for name, kind in _SWEPT.items()})
         yield from out.to_batches(max_chunksize=20_000)
+        gaps, pieces = ([size for size, kind in zip(sizes, kinds, strict=True) if kind == want] for want in (GAP, PIECE))
+        told = {"kind": SUMMARY, "part": TaskContext.get().partitionId(), "rank": len(gaps), "size": min(gaps, default=0), "key": len(pieces)}
+        told |= {"sequence_id": max(pieces, default=0), "offset": kinds.count(PLACED)}
+        yield pa.RecordBatch.from_arrays([pa.array([told.get(name)], kind) for name, kind in _SWEPT.items()], names=list(_SWEPT))
 
     order = ["size", "kind", "key"]
-    return state.repartitionByRange(tasks, *order).sortWithinPartitions(*order).mapInArrow(run, SWEPT)
+    ranges = state.repartitionByRange(tasks, *order) if tasks > 1 else state.coalesce(1)
+    return ranges.sortWithinPartitions(*order).mapInArrow(run, SWEPT)
 
 
 def across(parts: list[tuple[int, int, int, int, int]]) -> tuple[list[tuple], list[tuple]]:
@@ -141,36 +153,53 @@ def across(parts: list[tuple[int, int, int, int, int]]) -> tuple[list[tuple], li
 def place(ws: Workspace, cut: DataFrame, capacity: int, task_rows: int) -> DataFrame:
     """Places for pieces (doc_id, piece, start, length, ids_crc32, key), whose keys are distinct."""
     spark = cut.sparkSession
-    own = F.col("length") * 2 > capacity  # no two of these share a sequence
-    first = cut.where(own).select(*COLUMNS, F.col("key").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
-    placed = [first]
+    length = F.col("length")
+    own = length * 2 > capacity  # no two of these share a sequence
     nothing = [F.lit(None).cast(kind).alias(name) for name, kind in (("doc_id", "long"), ("piece", "int"), ("start", "long"), ("ids_crc32", "long"))]
-    pieces = cut.where(~own).select(F.lit(PIECE).alias("kind"), F.col("length").alias("size"), "key", "doc_id", "piece", "start", "ids_crc32")
-    gaps = cut.where(own & (F.col("length") < capacity)).select(F.lit(GAP).alias("kind"), (F.lit(capacity) - F.col("length")).alias("size"), "key", *nothing)
-    state, opened, stuck = pieces.unionByName(gaps), 0, False
+
+    def new_gaps(first: int, end: int) -> DataFrame:
+        return spark.range(first, end).select(F.lit(GAP).alias("kind"), F.lit(capacity).cast("long").alias("size"), (-1 - F.col("id")).alias("key"), *nothing)
+
+    lows = sorted({capacity // k for k in LEVELS} | {0}, reverse=True)
+    levels = list(zip([capacity, *lows], lows))  # length in (low, high]
+    waiting = [F.count_if(~own & (length > low) & (length <= high)).alias(f"n{low}") for high, low in levels]
+    whole = cut.agg(F.sum("length").alias("ids"), F.count_if(own).alias("own"), *waiting).first()
+    opened = max(0, -(-(whole["ids"] or 0) // capacity) - whole["own"])  # any packing has as many
+    placed = [cut.where(own).select(*COLUMNS, F.col("key").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))]
+    gaps = cut.where(own & (length < capacity)).select(F.lit(GAP).alias("kind"), (F.lit(capacity) - length).alias("size"), "key", *nothing)
+    gaps = gaps.unionByName(new_gaps(0, opened))
+    for high, low in levels:
+        if whole[f"n{low}"]:
+            pieces = cut.where(~own & (length > low) & (length <= high)).select(F.lit(PIECE).alias("kind"), length.alias("size"), "key", "doc_id", "piece", "start", "ids_crc32")
+            found, gaps, opened = rounds(ws, pieces.unionByName(gaps), low, capacity, task_rows, opened, new_gaps, nothing)
+            placed += found
+    return reduce(DataFrame.unionByName, placed)
+
+
+def rounds(ws: Workspace, state: DataFrame, low: int, capacity: int, task_rows: int, opened: int, new_gaps: Callable[[int, int], DataFrame], nothing: list[Column]) -> tuple[list[DataFrame], DataFrame, int]:
+    """Rounds until all pieces of ``state``, longer than ``low``, are placed: the placed ones, the gaps after it and the number of gaps opened so far."""
+    spark = state.sparkSession
+    is_piece, is_gap = F.col("kind") == PIECE, F.col("kind") == GAP
+    placed, resting, stuck = [], [], False
     while True:
-        total = {r["kind"]: r for r in state.groupBy("kind").agg(F.count("*").alias("n"), F.sum("size").alias("ids"), F.min("size").alias("least")).collect()}
-        if PIECE not in total:
-            break
-        waiting = total[PIECE]["ids"]
-        state = state.where((F.col("kind") == PIECE) | (F.col("size") >= total[PIECE]["least"]))
-        # Sequences that any packing of the rest must open; as many as it fills where next to nothing fits what is open.
-        more = max(-(-waiting // capacity) if stuck else 0, -(-(waiting - (total[GAP]["ids"] if GAP in total else 0)) // capacity))
-        if more > 0:
-            fresh_ones = spark.range(opened, opened + more).select(F.lit(GAP).alias("kind"), F.lit(capacity).cast("long").alias("size"), (-1 - F.col("id")).alias("key"), *nothing)
-            state, opened = state.unionByName(fresh_ones), opened + more
-        rows = sum(r["n"] for r in total.values()) + max(0, more)
+        resting.append(state.where(is_gap & (F.col("size") <= low) & (F.col("size") > 0)))
+        state = state.where(is_piece | (F.col("size") > low))
+        total = state.agg(F.count("*").alias("rows"), F.count_if(is_piece).alias("pieces"), F.sum(F.when(is_piece, F.col("size"))).alias("ids")).first()
+        if not total["pieces"]:
+            return placed, reduce(DataFrame.unionByName, resting, state), opened
+        # Next to nothing fits what is open: as many sequences as the waiting pieces fill.
+        more = -(-total["ids"] // capacity) if stuck else 0
+        if more:
+            state, opened = state.unionByName(new_gaps(opened, opened + more)), opened + more
+        rows = total["rows"] + more
         done = ws.cut(swept(state, capacity, -(-rows // task_rows)), "swept")
-        is_piece, is_gap = F.col("kind") == PIECE, F.col("kind") == GAP
-        left = done.groupBy("part").agg(
-            F.count_if(is_gap).alias("gaps"), F.min(F.when(is_gap, F.col("size"))).alias("room"),
-            F.count_if(is_piece).alias("pieces"), F.max(F.when(is_piece, F.col("size"))).alias("longest"), F.count_if(F.col("kind") == PLACED).alias("placed"),
-        ).orderBy("part").collect()
+        left = done.where(F.col("kind") == SUMMARY).select("part", "rank", "size", "key", "sequence_id", "offset").collect()
         placed.append(done.where(F.col("kind") == PLACED).select(*(F.col("size").alias("length") if c == "length" else F.col(c) for c in COLUMNS), "sequence_id", "offset"))
-        n_placed = sum(r["placed"] for r in left)
+        n_placed = sum(r["offset"] for r in left)
         keep = [c for c in state.columns if c != "kind"]
-        state = done.where(F.col("kind") != PLACED).withColumn("kind", F.when(is_piece, PIECE).otherwise(GAP))
-        of_pieces, of_gaps = across([(r["part"], r["gaps"], r["room"], r["pieces"], r["longest"]) for r in left])
+        rest = done.where(~F.col("kind").isin(PLACED, SUMMARY))
+        state = rest.withColumn("kind", F.when(is_piece, PIECE).otherwise(GAP))
+        of_pieces, of_gaps = across(sorted(tuple(r)[:5] for r in left))
         if of_pieces:
             n_placed += sum(end - start for _, start, end, _, _ in of_pieces)
             at = F.col("rank") - F.col("from")
@@ -179,7 +208,8 @@ def place(ws: Workspace, cut: DataFrame, capacity: int, task_rows: int) -> DataF
             by_gaps = F.broadcast(spark.createDataFrame(of_gaps, "range int, from long, to long, first long"))
             taken = done.where(is_piece).join(by_pieces, here).withColumn("slot", F.col("first") + F.floor(at / F.col("each")))
             taking = done.where(is_gap).join(by_gaps, here).select((F.col("first") + at).alias("slot"), F.col("size").alias("room"), F.col("key").alias("gap"))
-            both = taken.join(taking, "slot")
+            few = sum(end - start for _, start, end, _ in of_gaps) <= FEW_SLOTS
+            both = taken.join(F.broadcast(taking) if few else taking, "slot")
             in_slot = Window.partitionBy("slot").orderBy("rank")
             both = both.withColumn("used", F.sum("size").over(in_slot.rowsBetween(Window.unboundedPreceding, -1))).withColumn("last", F.lead("rank").over(in_slot).isNull())
             both = both.select(
@@ -192,17 +222,13 @@ def place(ws: Workspace, cut: DataFrame, capacity: int, task_rows: int) -> DataF
             marks = [(p, 0, a, b) for p, a, b, *_ in of_pieces] + [(p, 1, a, b) for p, a, b, _ in of_gaps]
             marks = F.broadcast(spark.createDataFrame(marks, "range int, of int, from long, to long"))
             untouched = F.when(F.col("of") == 0, done["kind"] == PIECE).otherwise(done["kind"] == GAP)
-            state = done.where(F.col("kind") != PLACED).join(marks, here & untouched, "left_anti").withColumn("kind", F.when(is_piece, PIECE).otherwise(GAP))
+            state = rest.join(marks, here & untouched, "left_anti").withColumn("kind", F.when(is_piece, PIECE).otherwise(GAP))
             state = state.select("kind", *keep).unionByName(changed)
-        state = state.select("kind", *keep).where((F.col("kind") == PIECE) | (F.col("size") > 0))
-        stuck = n_placed * 50 < total[PIECE]["n"]
-    out = placed[0]
-    for more_rows in placed[1:]:
-        out = out.unionByName(more_rows)
-    return out
+        state = state.select("kind", *keep)
+        stuck = n_placed * 50 < total["pieces"]
 
 
-def pack(docs: DataFrame, capacity: int = 2048, vocabulary: str | None = None, task_rows: int = 200_000) -> DataFrame:
+def pack(docs: DataFrame, capacity: int = 2048, vocabulary: str | None = None, task_rows: int = 50_000) -> DataFrame:
     """``doc_id, piece, start, length, ids_crc32, sequence_id, offset`` for each piece of ``docs`` (doc_id, text)."""
     ws = Workspace(docs.sparkSession, "packing")
     return place(ws, ws.cut(pieces_of(docs, vocabulary or default_vocabulary(), capacity), "pieces"), capacity, task_rows)
