@@ -173,6 +173,7 @@ def place(ws: Workspace, cut: DataFrame, capacity: int, task_rows: int) -> DataF
             pieces = cut.where(~own & (length > low) & (length <= high)).select(F.lit(PIECE).alias("kind"), length.alias("size"), "key", "doc_id", "piece", "start", "ids_crc32")
             found, gaps, opened = rounds(ws, pieces.unionByName(gaps), low, capacity, task_rows, opened, new_gaps, nothing)
             placed += found
+            gaps = ws.cut(gaps, "gaps")  # the plan of a class has no rounds of classes before it
     return reduce(DataFrame.unionByName, placed)
 
 
