@@ -33,6 +33,11 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def lower(raw: np.ndarray) -> np.ndarray:
+    """The bytes with A-Z in lower case."""
+    return _LOWER[raw]
+
+
 def powers(n: int, which: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """base**i and base**-i modulo 2**64 for i < n."""
     if which not in _POWERS or len(_POWERS[which][0]) < n:

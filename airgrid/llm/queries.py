@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann_forest, line_dedup, mixing, packing, pfp_dedup, pq_dedup, signature_tree, token_rollup, toxicity, warc
+from . import ann_forest, filter_audit, line_dedup, mixing, packing, pfp_dedup, pq_dedup, signature_tree, spelling, token_rollup, toxicity, warc
 from .oracles import SQL  # noqa: F401
 from .storage import Workspace
 
@@ -79,6 +79,14 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ann_forest": op1_ann_forest,
     "op2_pq_dedup": op2_pq_dedup,
@@ -90,4 +98,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_signature_tree": op8_signature_tree,
     "op9_line_dedup": op9_line_dedup,
     "op10_packing": op10_packing,
+    "op11_filter_audit": op11_filter_audit,
+    "op13_spelling": op13_spelling,
 }
