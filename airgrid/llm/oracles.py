@@ -76,6 +76,11 @@ OP11 = f"""with d as (select doc_id, coalesce(lang, '') part, coalesce(text, '')
   sum(case when fails = letter then n else 0 end) unique_fails, sum(case when removed_at = step then good else 0 end) good_lost, sum(case when removed_at = step then toxic else 0 end) toxic_lost from s group by all)
  select part, filter_order, step::int step, kept::bigint kept, removed::bigint removed, redundant::bigint redundant, unique_fails::bigint unique_fails, good_lost::bigint good_lost, toxic_lost::bigint toxic_lost, (sum(removed) over (partition by part, letter))::bigint shapley from q"""
 
+# The truth of the given pages: their article is marked, and its blocks are headings and paragraphs.  The operator isn't told of either.
+OP12 = r"""with a as (select page_id, url, string_split_regex(regexp_extract(coalesce(html, ''), '<article>(.*)</article>', 1, 's'), '</?(h1|p)>') b from pages),
+ t as (select page_id, url, array_to_string(list_filter(list_transform(b, lambda x: trim(regexp_replace(regexp_replace(replace(replace(replace(regexp_replace(x, '<[^>]*>', '', 'g'), '&middot;', '·'), '&copy;', '©'), '&quot;', '"'), '&amp;?', '&', 'g'), '\s+', ' ', 'g'))), lambda x: x <> ''), chr(10)) as text from a)
+ select page_id, url, text, length(text)::bigint n_chars from t"""
+
 # DuckDB compares bytes, so each accented letter stands for one byte.  Its CRC-32 is the usual table's, made by its rule.
 _ACCENTED, _BYTES = "".join(map(chr, range(0xC0, 0x100))), _UPPER + "0123456789" + "!#$%&()*+,-./:;<=>?@[]^_{|}~"
 OP13 = f"""with recursive t as (select list_transform(range(256), lambda i: list_reduce(list_concat([i], range(8)), lambda c, k: case when c % 2 = 1 then xor(c // 2, 3988292384) else c // 2 end)) t),
@@ -91,4 +96,4 @@ OP13 = f"""with recursive t as (select list_transform(range(256), lambda i: list
  ends as (select word, arg_max(root, far) root from chain group by 1)
  select word, form, root, n, coalesce(n_near, 0)::bigint n_near, form_n from w left join f using (word) join ends using (word)"""
 
-SQL = {"op2_pq_dedup": OP2, "op4_warc": OP4, "op5_mixing": OP5, "op7_pfp_dedup": OP7, "op8_signature_tree": OP8, "op11_filter_audit": OP11, "op13_spelling": OP13}
+SQL = {"op2_pq_dedup": OP2, "op4_warc": OP4, "op5_mixing": OP5, "op7_pfp_dedup": OP7, "op8_signature_tree": OP8, "op11_filter_audit": OP11, "op12_html_text": OP12, "op13_spelling": OP13}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann_forest, filter_audit, line_dedup, mixing, packing, pfp_dedup, pq_dedup, signature_tree, spelling, token_rollup, toxicity, warc
+from . import ann_forest, filter_audit, html_text, line_dedup, mixing, packing, pfp_dedup, pq_dedup, signature_tree, spelling, token_rollup, toxicity, warc
 from .oracles import SQL  # noqa: F401
 from .storage import Workspace
 
@@ -83,6 +83,11 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op12_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages")
+    return html_text.extract(pages, html_text.train(pages)).withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(_table(spark, sf_dir, "documents"))
 
@@ -99,5 +104,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_line_dedup": op9_line_dedup,
     "op10_packing": op10_packing,
     "op11_filter_audit": op11_filter_audit,
+    "op12_html_text": op12_html_text,
     "op13_spelling": op13_spelling,
 }
