@@ -78,7 +78,7 @@ OP11 = f"""with d as (select doc_id, coalesce(lang, '') part, coalesce(text, '')
 
 # The truth of the given pages: their article is marked, and its blocks are headings and paragraphs.  The operator isn't told of either.
 OP12 = r"""with a as (select page_id, url, string_split_regex(regexp_extract(coalesce(html, ''), '<article>(.*)</article>', 1, 's'), '</?(h1|p)>') b from pages),
- t as (select page_id, url, array_to_string(list_filter(list_transform(b, lambda x: trim(regexp_replace(regexp_replace(replace(replace(replace(regexp_replace(x, '<[^>]*>', '', 'g'), '&middot;', '·'), '&copy;', '©'), '&quot;', '"'), '&amp;?', '&', 'g'), '\s+', ' ', 'g'))), lambda x: x <> ''), chr(10)) as text from a)
+ t as (select page_id, url, array_to_string(list_filter(list_transform(b, lambda x: trim(regexp_replace(regexp_replace(regexp_replace(replace(replace(regexp_replace(x, '<[^>]*>', '', 'g'), '&middot;', '·'), '&copy;', '©'), '&quot;?', '"', 'g'), '&amp;?', '&', 'g'), '\s+', ' ', 'g'))), lambda x: x <> ''), chr(10)) as text from a)
  select page_id, url, text, length(text)::bigint n_chars from t"""
 
 # DuckDB compares bytes, so each accented letter stands for one byte.  Its CRC-32 is the usual table's, made by its rule.
