@@ -20,6 +20,8 @@ _LOWER[65:91] += 32
 _BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
 _LOW_BYTES = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=U64)  # masks of the first k bytes
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+PIECE = 1 << 20  # bytes of a long text, or shingles, that are looked at together
+_ALSO = np.array([0x9FB21C651E98DF25, 0xC2B2AE3D27D4EB4F, 0xA24BAED4963EE407, 0xD1B54A32D192ED03, 0x8CB92BA72F3D8DD7], dtype=U64)
 _TAKE = np.array([0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], dtype=U64)
 
 
@@ -102,12 +104,6 @@ def words(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def span_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each span of bytes."""
-    total = prefix_sums(raw)
-    return mix((total[ends] - total[starts]) * powers(len(raw) + 1)[1][starts])
-
-
 def strong_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Both halves of a 128-bit hash of each span of bytes; spans with one hash are taken as equal.
 
@@ -134,26 +130,57 @@ def strong_hashes(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tupl
     return out[0], out[1]
 
 
+def word_hashes(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Both halves of a 128-bit hash of each word, A-Z in lower case, and for each row the number of words before it (n + 1).
+
+    A long text is read in pieces of about PIECE bytes that end between words.
+    """
+    first, second, counts, at = [], [], [], 0
+    while at < len(raw):
+        end = at + PIECE
+        while end < len(raw):  # on to the next separator
+            found = np.flatnonzero(_SEP[raw[end : end + 4096]])
+            if len(found):
+                end += int(found[0])
+                break
+            end += 4096
+        end = min(end, len(raw))
+        edges = offsets[(offsets > at) & (offsets < end)] - at
+        part = _LOWER[raw[at:end]]
+        starts, ends, _ = words(part, np.concatenate([[0], edges, [end - at]]))
+        h1, h2 = strong_hashes(part, starts, ends)
+        first.append(h1.view(U64))
+        second.append(h2.view(U64))
+        counts.append(starts + at)
+        at = end
+    if not first:
+        none = np.zeros(0, dtype=U64)
+        return none, none, np.zeros(len(offsets), dtype=np.int64)
+    return np.concatenate(first), np.concatenate(second), np.searchsorted(np.concatenate(counts), offsets)
+
+
 def shingles(raw: np.ndarray, offsets: np.ndarray, size: int = 5) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of the word shingles of each row (repeats kept) and their offsets.
 
     A-Z are lower-cased.  A row with fewer than ``size`` words, but at least one,
     has its whole sequence as its one shingle.
     """
-    raw = _LOWER[raw]
-    starts, ends, at = words(raw, offsets)
-    w = span_hashes(raw, starts, ends)
+    w1, w2, at = word_hashes(raw, offsets)
     n = np.diff(at)
     counts = np.where(n >= size, n - size + 1, (n > 0).astype(np.int64))
     out = np.zeros(len(counts) + 1, dtype=np.int64)
     np.cumsum(counts, out=out[1:])
-    rows = np.repeat(np.arange(len(counts)), counts)
-    begin = at[:-1][rows] + (np.arange(out[-1]) - out[:-1][rows])
-    left = at[1:][rows] - begin
-    hashes = np.zeros(len(begin), dtype=U64)
-    for k in range(size):
-        hashes += np.where(left > k, w[np.minimum(begin + k, max(len(w) - 1, 0))] * _TAKE[k % 5] + U64(k + 1), U64(0)) if len(w) else U64(0)
-    return mix(hashes), out
+    hashes = np.zeros(out[-1], dtype=U64)
+    for a in range(0, len(hashes), PIECE):
+        b = min(a + PIECE, len(hashes))
+        rows = np.searchsorted(out, np.arange(a, b), "right") - 1
+        begin = at[:-1][rows] + (np.arange(a, b) - out[:-1][rows])
+        left = at[1:][rows] - begin
+        for k in range(size):
+            place = np.minimum(begin + k, len(w1) - 1)
+            hashes[a:b] += np.where(left > k, w1[place] * _TAKE[k % 5] ^ w2[place] * _ALSO[k % 5] + U64(k + 1), U64(0))
+        mix(hashes[a:b])
+    return hashes, out
 
 
 def min_hashes(values: np.ndarray, offsets: np.ndarray, factors: np.ndarray, shifts: np.ndarray) -> np.ndarray:

@@ -48,10 +48,13 @@ def line_spans(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
 def gram_hashes(raw: np.ndarray, size: int) -> np.ndarray:
     """A 64-bit hash of the ``size`` bytes from each position on."""
     n = len(raw) - size + 1
-    if n <= 0:
-        return np.zeros(0, dtype=U64)
-    total = hashing.prefix_sums(raw)
-    return hashing.mix((total[size:] - total[:n]) * hashing.powers(len(raw) + 1)[1][:n])
+    out = np.zeros(max(n, 0), dtype=U64)
+    # Piece by piece, so that sums and powers of a long text are those of a piece.
+    for at in range(0, n, hashing.PIECE):
+        total = hashing.prefix_sums(raw[at : at + hashing.PIECE + size - 1])
+        m = len(total) - size
+        out[at : at + m] = hashing.mix((total[size:] - total[:m]) * hashing.powers(len(total))[1][:m])
+    return out
 
 
 def gram_sets(texts: pa.ChunkedArray, size: int) -> list[np.ndarray]:

@@ -1,17 +1,24 @@
 """The join against all pairs."""
 
 import math
+import os
 import random
 import re
+import subprocess
+import sys
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
+from airgrid.llm import hashing
 from airgrid.llm.graph import local_roots
-from airgrid.llm.signature_tree import SignatureTree, linked, prefix_keys, similar_documents, surviving_pairs
+from airgrid.llm.line_dedup import gram_hashes
+from airgrid.llm.signature_tree import SignatureTree, linked, prefix_keys, shingle_sets, similar_documents, surviving_pairs
 
 from .fixtures import hard_documents, no_documents, prose, texts_of
 
+ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
@@ -99,3 +106,47 @@ def test_all_texts_of_a_doc_id_link(spark):
     rows = [(5, one), (5, two), (5, two), (5, None), (6, near(one)), (7, near(two)), (8, prose(3, 120))]
     got = similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert len(got) == len(rows) and {(r["doc_id"], r["component_id"]) for r in got} == {(5, 5), (6, 5), (7, 5), (8, 8)}
+
+
+def test_words_that_a_rolling_hash_takes_for_equal(spark):
+    """Thue-Morse and its complement: a polynomial modulo 2**64 has the same value for both."""
+    a = "".join("ab"[bin(i).count("1") & 1] for i in range(4096))
+    b = "".join("ba"[bin(i).count("1") & 1] for i in range(4096))
+    words = [f"w{i}" for i in range(10)]
+    rows = [(1, a), (2, b), (3, " ".join([*words, a])), (4, " ".join([*words, b])), (5, a.upper())]
+    got = {r["doc_id"]: r["component_id"] for r in similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: 1, 2: 2, 3: 3, 4: 4, 5: 1}
+
+
+LONG = """
+import resource, sys
+import numpy as np, pyarrow as pa
+from airgrid.llm import hashing, line_dedup, signature_tree
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+if sys.argv[1] == "sets":
+    text = " ".join(f"w{i % 99991}" for i in range(11_000_000))[: 64 << 20]
+    own, = signature_tree.shingle_sets(pa.array([text]))
+    assert 99991 <= len(own) <= 99995, len(own)
+else:
+    raw = np.frombuffer((b"0123456789abcdef" * (4 << 20)), dtype=np.uint8)
+    assert len(np.unique(line_dedup.gram_hashes(raw, 8))) == 16
+print((resource.getrusage(resource.RUSAGE_SELF).ru_maxrss) // 1024)
+"""
+
+
+@pytest.mark.parametrize("what", ["sets", "grams"])
+def test_memory_of_a_text_of_64_mb(what):
+    done = subprocess.run([sys.executable, "-c", LONG, what], capture_output=True, text=True, cwd=ROOT)
+    assert done.returncode == 0, done.stderr
+    assert int(done.stdout) < 1024 * (2 if what == "grams" else 1.2), done.stdout
+
+
+def test_pieces_are_those_of_the_whole(monkeypatch):
+    rng = np.random.default_rng(3)
+    texts = [" ".join("xyzé"[k] * int(n) for k, n in zip(rng.integers(0, 4, 400), rng.integers(1, 30, 400), strict=True)) for _ in range(3)] + ["", None, "a" * 9000, " b "]
+    column = pa.array(texts)
+    want = [s.tolist() for s in shingle_sets(column)]
+    grams = gram_hashes(hashing.buffers(column)[0], 8).tolist()
+    monkeypatch.setattr(hashing, "PIECE", 64)
+    assert [s.tolist() for s in shingle_sets(column)] == want
+    assert gram_hashes(hashing.buffers(column)[0], 8).tolist() == grams
