@@ -13,7 +13,7 @@ from ..functions.exact import html_unescape
 from ..operators import dims, enrich, filters, icons, normalize, publish, view
 from ..session import Store, shared_dir
 from ..sources import grid
-from ..streaming import refresh
+from ..streaming import refresh, state
 from . import adapters
 from .adapters import AIRINGS_SQL, AS_OF, CHANNELS_SQL, ORDER, table
 
@@ -568,3 +568,47 @@ def stream_refresh(spark, sf_dir):
 @query("select distinct user_id, event_type from events")
 def stream_dedup(spark, sf_dir):
     return _published(spark, sf_dir, lambda e: refresh.first_seen(e, ["user_id", "event_type"]), "append").select("user_id", "event_type")
+
+
+@query(
+    "with r as (select *, time_bucket(interval 10 days, ts, timestamp '1970-01-01') run, floor(epoch(ts) / 21600)::bigint slot from events)"
+    " select run, event_id, user_id, event_type, value, props, slot from r qualify row_number() over (partition by run, user_id, event_type order by slot, event_id) = 1"
+)
+def stream_first_wins(spark, sf_dir):
+    """Five days of events a batch; each seventh row arrives a batch late.  The last batch is a sign of life that ends the last run."""
+    events = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp")).withColumn("slot", F.expr("unix_seconds(ts) div 21600"))
+    staged = events.withColumn("batch", F.expr("int(unix_seconds(ts) div 432000 + if(event_id % 7 = 0, 1, 0))"))
+    end = staged.agg(F.max("ts").alias("ts"), F.max("batch").alias("batch")).selectExpr(*[f"cast(null as {t}) {c}" if c not in ("ts", "batch") else "ts + interval 40 days ts" if c == "ts" else "batch + 1 batch" for c, t in staged.dtypes])
+    home = f"{shared_dir(spark)}/airgrid/stream-{uuid.uuid4().hex}"
+    source = refresh.Replay(spark, staged.schema, f"{home}/in")
+    source.add(staged.unionByName(end), "batch")
+    won = state.first_wins(source.stream("batch"), ["user_id", "event_type"], ["slot", "event_id"], horizon="10 days", delay="10 days")
+    refresh.run_once(won, lambda df, batch: df.write.mode("append").parquet(f"{home}/out"), f"{home}/checkpoint")
+    rows = spark.read.schema(won.schema).parquet(f"{home}/out")
+    return rows.select(F.window("ts", "10 days")["start"].cast("timestamp_ntz").alias("run"), "event_id", "user_id", "event_type", "value", "props", "slot")
+
+
+_KEPT = f"""with asked as (select 'tv:' || lower(p_name) key, l_shipdate d, {enrich.TTL_SECONDS} ttl, min(case when p_partkey % 5 <> 0 then 'p' || p_partkey end) over (partition by lower(p_name)) answer from lineitem join part on l_partkey = p_partkey
+  union all select 'channelId:' || l_suppkey, l_shipdate, {icons.TTL_SECONDS}, case when l_suppkey % 4 <> 0 then 'logo' || l_suppkey end from lineitem),
+ r as (select key, epoch(d)::bigint asked_at, ttl, min(answer) answer, count(*) n from asked group by key, d, ttl),
+ nexts as (select key, asked_at, min(asked_at) over (partition by key order by asked_at range between ttl + 1 following and unbounded following) next_at from r),
+ fetched(key, asked_at) as (select key, min(asked_at) from r group by key union all select f.key, next_at from fetched f join nexts n on f.key = n.key and f.asked_at = n.asked_at where next_at is not null)
+ select r.key, r.asked_at, n::bigint n, f.asked_at is not null fetched, max(f.asked_at) over (partition by r.key order by r.asked_at) fetched_at, answer from r left join fetched f on r.key = f.key and r.asked_at = f.asked_at"""
+
+
+@query(_KEPT.replace("with asked", "with recursive asked", 1))
+def stream_kept_answers(spark, sf_dir):
+    """Titles are looked up on the days of their airings, and the logos of channels; answers are kept 7 and 30 days.  The stream stops half-way and goes on from its checkpoint."""
+    parts = table(spark, sf_dir, "part").selectExpr("p_partkey", "lower(p_name) name", "if(p_partkey % 5 <> 0, concat('p', p_partkey), null) said")
+    answers = parts.groupBy("name").agg(F.min("said").alias("answer"))
+    lines = table(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey", F.col("l_shipdate").cast("timestamp").alias("ts"))
+    titles = lines.join(parts.select("p_partkey", "name"), F.expr("l_partkey = p_partkey")).join(answers, "name").select(F.concat(F.lit("tv:"), "name").alias("key"), "ts", F.lit(enrich.TTL_SECONDS).alias("ttl"), "answer")
+    logos = lines.selectExpr("concat('channelId:', l_suppkey) key", "ts", f"{icons.TTL_SECONDS} ttl", "if(l_suppkey % 4 <> 0, concat('logo', l_suppkey), null) answer")
+    home = f"{shared_dir(spark)}/airgrid/stream-{uuid.uuid4().hex}"
+    staged = titles.unionByName(logos).withColumn("batch", F.expr("int(year(ts) div 2)"))
+    told = f"{home}/out"
+    source = refresh.Replay(spark, staged.schema, f"{home}/in")
+    for years in ("batch < 999", "batch >= 999"):
+        source.add(staged.where(years), "batch")
+        refresh.run_once(state.kept_answers(source.stream("batch")), lambda df, batch: df.write.mode("append").parquet(told), f"{home}/checkpoint")
+    return spark.read.parquet(told)

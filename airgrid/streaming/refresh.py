@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+from ..session import Store
 
 
 def slot_counts(events: DataFrame, hours: int = 6) -> DataFrame:
@@ -33,3 +37,23 @@ def refresh_every(stream: DataFrame, publish: Callable[[DataFrame, int], None],
 def next_delay_seconds(age_seconds: int, period: int = 24 * 3600, least: int = 3600) -> int:
     """How long to wait for the next refresh after a start from a snapshot of that age."""
     return max(period - age_seconds, least)
+
+
+class Replay:
+    """A stream of table rows in the order of a number, a micro-batch a number: for tests and backfills."""
+
+    def __init__(self, spark: SparkSession, schema: StructType, folder: str):
+        self.spark, self.schema, self.folder = spark, schema, folder
+
+    def add(self, rows: DataFrame, batch: str) -> None:
+        """Write the rows of each number as one file, the smallest number first, so that files are as old as their number says."""
+        staged = f"{self.folder}-{uuid.uuid4().hex}"
+        rows.repartition(batch).write.partitionBy(batch).parquet(staged)
+        store = Store(self.spark, staged)
+        for k in sorted(int(n.partition("=")[2]) for n in store.names(staged) if n.startswith(f"{batch}=")):
+            one = self.spark.read.schema(self.schema).parquet(f"{staged}/{batch}={k}").withColumn(batch, F.lit(k).cast(self.schema[batch].dataType))
+            one.coalesce(1).write.mode("append").parquet(self.folder)
+        store.delete(staged)
+
+    def stream(self, batch: str) -> DataFrame:
+        return self.spark.readStream.schema(self.schema).option("maxFilesPerTrigger", 1).parquet(self.folder).drop(batch)
