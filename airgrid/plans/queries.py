@@ -140,7 +140,11 @@ def _grid_files(spark: SparkSession, sf_dir: str) -> tuple[str, int]:
 @query(f"with {AIRINGS_SQL}, m as (select *, (year(l_shipdate) - 1990) * 12 + month(l_shipdate) slot_ts from airing_src), f as (select * from m qualify row_number() over (partition by channel_id, start_time, end_time order by slot_ts, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate) = 1) select slot_ts::bigint slot_ts, channel_id, start_time, end_time, program_id, title, episode_title, season, flag flags, filters from f")
 def grid_decode_dedup(spark, sf_dir):
     home, n = _grid_files(spark, sf_dir)
-    raw = grid.read_grid(spark, start="0", slots=str(n), step="1", folder=home)
+    return _listed(grid.read_grid(spark, start="0", slots=str(n), step="1", folder=home))
+
+
+def _listed(raw: DataFrame) -> DataFrame:
+    """The airings of grid documents, the first occurrence of each."""
     _, rows = normalize.explode_grid(grid.decode(raw))
     rows = normalize.first_wins(rows, ["channel_id", "start_time", "end_time"], ["slot_ts", "pos", "event_pos"])
     return rows.select("slot_ts", "channel_id", "start_time", "end_time", "program_id", "title", "episode_title", "season", F.array_join("flag", "|").alias("flags"), F.array_join("filters", "|").alias("filters"))
@@ -612,3 +616,14 @@ def stream_kept_answers(spark, sf_dir):
         source.add(staged.where(years), "batch")
         refresh.run_once(state.kept_answers(source.stream("batch")), lambda df, batch: df.write.mode("append").parquet(told), f"{home}/checkpoint")
     return spark.read.parquet(told)
+
+
+@query(SQL["grid_decode_dedup"])
+def stream_grid_source(spark, sf_dir):
+    """The listing documents of all months as a stream of slots, stopped after 100 of them and gone on with from its checkpoint."""
+    home, n = _grid_files(spark, sf_dir)
+    at = f"{shared_dir(spark)}/airgrid/stream-{uuid.uuid4().hex}"
+    for until in (100, n):
+        slots = grid.stream_grid(spark, start="0", step="1", until=str(until), streams="8", folder=home)
+        refresh.run_once(slots, lambda df, batch: df.write.mode("append").parquet(f"{at}/slots"), f"{at}/checkpoint")
+    return _listed(spark.read.schema(slots.schema).parquet(f"{at}/slots"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import http.cookiejar
 import json
 import time
@@ -12,7 +13,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 from pyspark.sql.types import StringType, StructField, StructType
 
 GRID = (
@@ -71,6 +72,11 @@ class GridReader(DataSourceReader):
 
     def _body(self, ts: int, opener: urllib.request.OpenerDirector) -> str:
         o = self.options.get
+        if o("folder"):
+            store, folder = _store(o("folder"))
+            with store.open_input_stream(f"{folder}/{ts}.json") as answer:
+                return answer.read().decode("utf-8")
+        # The request's parameters.
         query = {
             "aid": o("aid", "orbebb"), "lineupId": o("lineupid", "USA-lineupId-DEFAULT"), "timespan": "6", "headendId": o("headend", "lineupId"), "country": o("country", "USA"), "device": o("device", "-"),
             "postalCode": o("zipcode", "13490"), "isOverride": "true", "time": str(ts), "timezone": "", "pref": "16,256", "userId": "-", "languagecode": o("language", "en-us"),
@@ -91,6 +97,44 @@ class GridReader(DataSourceReader):
                 time.sleep(float(self.options.get("pause", "0")))
 
 
+@functools.cache
+def _store(uri: str):
+    from pyarrow.fs import FileSystem
+
+    return FileSystem.from_uri(uri)
+
+
+class GridStream(DataSourceStreamReader):
+    """Slots as they come due.  The offset is the number of slots asked for, so a stopped run goes on at the next slot.
+
+    ``slots`` of them are due at ``start``, and one more after each ``step``; with ``until``, that many and no more.  A batch is planned as
+    ``streams`` partitions.  A failed slot gives a row with its error and is over with its batch.
+    """
+
+    def __init__(self, options: dict):
+        self.asked = GridReader(options)
+
+    def initialOffset(self) -> dict:
+        return {"slot": 0}
+
+    def latestOffset(self) -> dict:
+        o = self.asked.options
+        first, step = int(o["start"]), int(o.get("step", 6 * 3600))
+        return {"slot": int(o["until"]) if "until" in o else max(0, (int(time.time()) - first) // step) + int(o.get("slots", 56))}
+
+    def partitions(self, start: dict, end: dict):
+        o = self.asked.options
+        due = [int(o["start"]) + i * int(o.get("step", 6 * 3600)) for i in range(start["slot"], end["slot"])]
+        streams = int(o.get("streams", 1))
+        return [_Slot(due[k::streams]) for k in range(streams) if due[k::streams]]
+
+    def read(self, partition) -> Iterator[tuple]:
+        return self.asked.read(partition)
+
+    def commit(self, end: dict) -> None:
+        """Nothing is held for a batch: its offsets are in the checkpoint and its answers in the sink."""
+
+
 class GridSource(DataSource):
     """``spark.read.format("listing_grid")`` with options start, slots, step, url, pause and streams.
 
@@ -108,6 +152,9 @@ class GridSource(DataSource):
     def reader(self, schema) -> GridReader:
         return GridReader(self.options)
 
+    def streamReader(self, schema) -> GridStream:
+        return GridStream(self.options)
+
 
 def read_grid(spark: SparkSession, **options: str) -> DataFrame:
     """``slot_ts, body, error``: documents of all slots; failed slots have an error and no body."""
@@ -117,6 +164,12 @@ def read_grid(spark: SparkSession, **options: str) -> DataFrame:
     return spark.read.format("listing_grid").options(**options).load()
 
 
+def stream_grid(spark: SparkSession, **options: str) -> DataFrame:
+    """``slot_ts, body, error`` as a stream (:class:`GridStream`)."""
+    spark.dataSource.register(GridSource)
+    return spark.readStream.format("listing_grid").options(**options).load()
+
+
 @F.pandas_udf(StructType([StructField("body", StringType()), StructField("error", StringType())]))
 def _checked(bodies: pd.Series) -> pd.DataFrame:
     def one(body: str | None) -> tuple[str | None, str | None]:
