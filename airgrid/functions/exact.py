@@ -1,10 +1,11 @@
-"""The two functions that the engine lacks, as Arrow-batched UDFs; callers apply them to distinct values only."""
+"""HTML unescape, which the engine lacks, as an Arrow-batched UDF, and exact rounding by whole-number arithmetic."""
 
 from __future__ import annotations
 
 import html
 
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -15,7 +16,22 @@ def html_unescape(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: html.unescape(t) if isinstance(t, str) and "&" in t else t)
 
 
-@F.pandas_udf(StringType())
-def one_decimal(values: pd.Series) -> pd.Series:
-    """One decimal place, the exact binary value rounded half to even."""
-    return values.map(lambda v: None if pd.isna(v) else f"{v:.1f}")
+def one_decimal(c: Column | str) -> Column:
+    """One decimal place of a double, its exact binary value rounded half to even; null and what is no number stay null.
+
+    The part behind the point is a whole number of 2**-60 wherever it decides: of 1 and more it has 52 binary places, and from
+    0.03 on, below which nothing is rounded up, 57.  So its tenths and what is left of them are whole-number arithmetic.
+    From 2**53 on a double is whole; from 2**63 on the digits are those of the shortest decimal.
+    """
+    c = F.col(c) if isinstance(c, str) else c
+    size = F.abs(c)
+    whole = F.floor(F.least(size, F.lit(9e18))).cast("long")
+    fives = F.when(size < 0.03, F.lit(0)).otherwise((size - whole) * F.lit(float(1 << 60))).cast("long") * 5
+    tenths = F.shiftright(fives, 59)
+    rest, half = fives.bitwiseAND((1 << 59) - 1), 1 << 58
+    up = (rest > half) | ((rest == half) & (tenths % 2 == 1))
+    rounded = tenths + F.when(up, 1).otherwise(0)
+    text = F.concat((whole + F.when(rounded == 10, 1).otherwise(0)).cast("string"), F.lit("."), (rounded % 10).cast("string"))
+    large = F.concat(c.cast("decimal(38,0)").cast("string"), F.lit(".0"))
+    minus = (c < 0) | (c.cast("string") == "-0.0")
+    return F.when(F.isnan(c), F.lit(None).cast("string")).when(size >= 9e18, large).otherwise(F.concat(F.when(minus, "-").otherwise(""), text))

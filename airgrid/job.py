@@ -6,13 +6,18 @@
 from __future__ import annotations
 
 import argparse
+import signal
+import threading
 import time
 from dataclasses import dataclass, field
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .operators import dims, enrich, filters, icons, normalize, publish, view
+from .operators.versions import Versions
 from .session import ship
 from .sources import grid, tables, web
 from .streaming import refresh
@@ -52,11 +57,11 @@ class Settings:
         return self.filter_by_recorder and self.recorder != ""
 
 
-def build(spark: SparkSession, s: Settings, now: int) -> tuple[DataFrame, DataFrame, dict]:
-    """Channels, programs and counters of a run at ``now`` (Unix seconds); caches in the folder are brought up to date."""
+def build(spark: SparkSession, s: Settings, now: int) -> tuple[DataFrame, DataFrame, enrich.Counters]:
+    """Channels, programs and counters (told when both are written) of a run at ``now`` (Unix seconds); caches in the folder are brought up to date."""
     raw = grid.read_grid(spark, **({"start": str(now - now % 86400)} | s.grid))
     tables.write_cache(raw, f"{s.folder}/cache/slots")  # one request a slot, whatever reads the slots afterwards
-    raw = spark.read.parquet(f"{s.folder}/cache/slots")
+    raw = tables.read_cache(spark, f"{s.folder}/cache/slots", "slot_ts long, body string, error string")
     raw_channels, airings = normalize.explode_grid(grid.decode(raw))
     channels = normalize.to_channels(normalize.first_wins(raw_channels, ["channel_id"], ["slot_ts", "pos"]))
     programs = normalize.to_programs(normalize.first_wins(airings, ["channel_id", "start_time", "end_time"], ["slot_ts", "pos", "event_pos"]), s.lang, s.country)
@@ -64,12 +69,14 @@ def build(spark: SparkSession, s: Settings, now: int) -> tuple[DataFrame, DataFr
         at = f"{s.folder}/cache/lookups"
         cache = tables.read_cache(spark, at, enrich.LOOKUP)
         asked = web.search(enrich.missing_keys(enrich.distinct_lookups(programs), cache, now), s.search_url, s.search_token)
-        tables.write_cache(enrich.merge_cache(cache, enrich.project_results(asked), now), at)
+        tables.write_cache(enrich.project_results(asked), f"{s.folder}/cache/asked")  # one request a title, though the merge reads them twice
+        fetched = tables.read_cache(spark, f"{s.folder}/cache/asked", enrich.LOOKUP.rpartition(",")[0])
+        tables.write_cache(enrich.merge_cache(cache, fetched, now), at)
         programs = enrich.enrich(programs, tables.read_cache(spark, at, enrich.LOOKUP))
     else:
         programs = programs.withColumn("enriched", F.lit(False))
-    found = programs
-    programs = enrich.fix_image_host(programs)
+    counters = enrich.Counters()
+    programs = enrich.fix_image_host(counters.programs(programs))
     signs, at = dims.callsigns(spark, s.callsigns or None), f"{s.folder}/cache/logos"
     cache = tables.read_cache(spark, at, LOGO_CACHE)
     if s.known_logos:
@@ -80,18 +87,29 @@ def build(spark: SparkSession, s: Settings, now: int) -> tuple[DataFrame, DataFr
     resolved, fetched = icons.resolve(channels, known, signs, s.country, cache, now)
     tables.write_cache(icons.valid_cache(cache, now).unionByName(fetched), at)
     resolved, _ = icons.resolve(channels, known.limit(0), signs, s.country, tables.read_cache(spark, at, LOGO_CACHE), now)
-    kept = resolved
-    if s.filters():
-        kept = filters.filter_channels(resolved, filters.allowed_numbers(tables.recorder_numbers(spark, s.recorder)))
-        programs = filters.filter_programs(programs, kept)
-    told = enrich.counters(found, channels, resolved, kept)
-    return (*publish.rewrite_images(kept, programs.drop("enriched"), s.proxy), told)
+    kept = counters.channels(resolved)
+    allowed = _allowed(spark, s) if s.filters() else None
+    if allowed is not None:
+        kept = filters.filter_channels(kept, allowed)
+        programs = filters.filter_programs(programs, filters.filter_channels(resolved, allowed))
+    return (*publish.rewrite_images(counters.kept(kept), programs.drop("enriched"), s.proxy), counters)
+
+
+def _allowed(spark: SparkSession, s: Settings) -> DataFrame | None:
+    """The recorder's channel numbers; None if its list can't be read, and the run goes on without the filter."""
+    try:
+        allowed = filters.allowed_numbers(tables.recorder_numbers(spark, s.recorder))
+        allowed.head(1)
+        return allowed
+    except (PySparkException, Py4JJavaError) as e:
+        print(f"the recorder's list can't be read, channels are not filtered: {str(e).splitlines()[0]}")
+        return None
 
 
 def run_once(spark: SparkSession, s: Settings, now: int | None = None) -> dict:
     """One run: the document, its dated copy, the JSON document and the snapshot; counters."""
     now = int(time.time()) if now is None else now
-    channels, programs, told = build(spark, s, now)
+    channels, programs, counters = build(spark, s, now)
     publish.write_snapshot(channels, programs, f"{s.folder}/snapshot", now)
     channels, programs = publish.read_snapshot(spark, f"{s.folder}/snapshot", now)
     publish.publish_document(publish.document(channels, programs), f"{s.folder}/xmlguide.xmltv")
@@ -99,7 +117,7 @@ def run_once(spark: SparkSession, s: Settings, now: int | None = None) -> dict:
     publish.publish_text(view.guide_document(view.guide_json(channels, programs), stamp), f"{s.folder}/guide.json", ["section", "ord"])
     publish.rotate(spark, s.folder, time.strftime("%Y%m%d", time.gmtime(now)))
     publish.swap(channels, programs)
-    return told
+    return counters.told()
 
 
 def main(args: list[str] | None = None) -> None:
@@ -117,10 +135,14 @@ def main(args: list[str] | None = None) -> None:
     age = None
     if held is not None:
         publish.swap(*held)
-        age = int(time.time()) - spark.read.parquet(f"{s.folder}/snapshot/channels").agg(F.max("saved_at")).first()[0]
-    while True:  # a failed run leaves the last publication and is tried again in an hour
-        if age is not None:
-            time.sleep(refresh.next_delay_seconds(age))
+        age = int(time.time()) - Versions(spark, f"{s.folder}/snapshot").current()["saved_at"]
+    # A signal ends the wait; a run that is under way finishes its publication first.
+    stop = threading.Event()
+    for kind in (signal.SIGTERM, signal.SIGINT):
+        signal.signal(kind, lambda *_: stop.set())
+    while not stop.is_set():  # a failed run leaves the last publication and is tried again in an hour
+        if age is not None and stop.wait(refresh.next_delay_seconds(age)):
+            break
         try:
             print(run_once(spark, s))
             age = 0

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import uuid
+
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions.exact import one_decimal
@@ -94,7 +96,35 @@ def fix_image_host(programs: DataFrame) -> DataFrame:
     return programs.withColumns({"icon_src": fix("icon_src"), "images": F.transform("images", lambda i: i.withField("url", fix(i["url"])))})
 
 
-def counters(programs: DataFrame, channels: DataFrame, resolved: DataFrame, kept: DataFrame) -> dict[str, int]:
-    """For the log: programs, those enriched, those whose image host is gone; channels, those with an icon, those that the filter keeps."""
-    out = programs.agg(F.count("*").alias("programs"), F.count_if("enriched").alias("enriched"), F.count_if(F.col("icon_src").contains("zap2it.tmsimg.com")).alias("to_fix")).first().asDict()
-    return out | {"channels": channels.count(), "icons": resolved.where("icon_url <> ''").count(), "kept": kept.count()}
+class Counters:
+    """Counts of a run, made while its tables are written and by no job of their own.
+
+    Each table goes through :meth:`programs` or :meth:`channels` before it is written; when all are, :meth:`told` has the counts.
+    """
+
+    def __init__(self) -> None:
+        self._seen: dict[str, Observation] = {}
+
+    def _observed(self, table: DataFrame, name: str, *counts: Column) -> DataFrame:
+        self._seen[name] = Observation(f"airgrid_{name}_{uuid.uuid4().hex}")
+        return table.observe(self._seen[name], *counts)
+
+    def programs(self, programs: DataFrame) -> DataFrame:
+        """Programs, those ``enriched``, those whose image host is gone; before :func:`fix_image_host`."""
+        return self._observed(programs, "programs", *program_counts())
+
+    def channels(self, resolved: DataFrame) -> DataFrame:
+        """Channels, and those with an icon."""
+        return self._observed(resolved, "channels", F.count("*").alias("channels"), F.count_if(F.col("icon_url") != "").alias("icons"))
+
+    def kept(self, kept: DataFrame) -> DataFrame:
+        """Channels that the filter keeps."""
+        return self._observed(kept, "kept", F.count("*").alias("kept"))
+
+    def told(self) -> dict[str, int]:
+        return {k: v for o in self._seen.values() for k, v in o.get.items()}
+
+
+def program_counts() -> list[Column]:
+    """The counters of programs as aggregates, for a batch or a stream."""
+    return [F.count("*").alias("programs"), F.count_if("enriched").alias("enriched"), F.count_if(F.col("icon_src").contains("zap2it.tmsimg.com")).alias("to_fix")]

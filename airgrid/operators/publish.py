@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import query_escape
 from ..session import Store
+from .versions import Versions
 
 PROLOG = "<?xml version=\"1.0\" ?>\n<!DOCTYPE tv SYSTEM 'xmltv.dtd'>\n"
 SNAPSHOT_TTL_HOURS = 4
@@ -91,31 +92,33 @@ def publish_document(parts: DataFrame, path: str) -> None:
 
 
 def write_snapshot(channels: DataFrame, programs: DataFrame, path: str, saved_at: int) -> None:
-    """Both tables in a folder that takes the place of the last one when it is complete."""
-    store, staged = Store(channels.sparkSession, path), f"{path}._staged-{uuid.uuid4().hex}"
-    for name, table in (("channels", channels), ("programs", programs)):
-        table.withColumn("saved_at", F.lit(saved_at)).write.parquet(f"{staged}/{name}")
-    if store.exists(path):
-        store.delete(path)
-    store.move(staged, path)
+    """Both tables as the current version of a snapshot; readers of the one before go on, and older ones that nobody reads go."""
+    versions = Versions(channels.sparkSession, path)
+    versions.publish({"channels": channels, "programs": programs}, saved_at)
+    versions.vacuum()
 
 
 def read_snapshot(spark: SparkSession, path: str, as_of: int, document: str | None = None) -> tuple[DataFrame, DataFrame] | None:
-    """The tables of a snapshot younger than four hours, or None if it is older, missing or broken, or has no published ``document``."""
+    """The tables of a snapshot younger than four hours, or None if it is older, missing or broken, or has no published ``document``.
+
+    They are those of one version, which stays while it is the current one or the one before; to hold it for longer,
+    open it by :meth:`Versions.open`.
+    """
     from py4j.protocol import Py4JJavaError
     from pyspark.errors import PySparkException
 
-    try:
-        tables = [spark.read.parquet(f"{path}/{name}") for name in ("channels", "programs")]
-        saved = tables[0].select("saved_at").head(1)
-        tables[1].head(1)
-    except (PySparkException, Py4JJavaError):
+    found = Versions(spark, path).open(hold=False)
+    if found is None or as_of - found.saved_at >= SNAPSHOT_TTL_HOURS * 3600:
         return None
     if document is not None and not Store(spark, document).exists(document):
         return None
-    if not saved or as_of - saved[0]["saved_at"] >= SNAPSHOT_TTL_HOURS * 3600:
+    try:
+        tables = found.table("channels"), found.table("programs")
+        for table in tables:
+            table.head(1)
+    except (PySparkException, Py4JJavaError):
         return None
-    return tables[0].drop("saved_at"), tables[1].drop("saved_at")
+    return tables
 
 
 def retained(files: DataFrame, keep: int = KEEP_FILES) -> DataFrame:

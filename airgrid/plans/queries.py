@@ -8,11 +8,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import text
+from ..functions import exact, text
 from ..functions.exact import html_unescape
-from ..operators import dims, enrich, filters, icons, normalize, publish, view
+from ..operators import dims, enrich, filters, icons, normalize, order, publish, versions, view
 from ..session import Store, shared_dir
-from ..sources import grid
+from ..sources import grid, xmltv
 from ..streaming import refresh, state
 from . import adapters
 from .adapters import AIRINGS_SQL, AS_OF, CHANNELS_SQL, ORDER, table
@@ -376,10 +376,23 @@ def program_enrich(spark, sf_dir):
     return rows.select("channel", "start", "title", "icon_src", F.array_join(F.transform("images", lambda i: i["url"]), "|").alias("images"), "star_rating", "date", "description", "orig_language", "numbers")
 
 
-@query(f"{ALL}, {LOOKUP}, {ENRICHED} select count(distinct channel) channels, count(*) programs, cast(count_if(hit) as bigint) enriched, cast(count_if(icon_src like '%zap2it.tmsimg.com%') as bigint) to_fix from enriched")
+_COUNTERS = ["programs", "enriched", "to_fix", "channels", "icons", "kept"]
+
+
+@query(
+    f"{ALL}, {LOOKUP}, {ENRICHED}, c as (select count(*) programs, count_if(hit)::bigint enriched, count_if(icon_src like '%zap2it.tmsimg.com%')::bigint to_fix from enriched)"
+    f" select c.*, (select count(*) from channel_src) channels, (select count(*) from channel_src where {ICON_URL} <> '') icons, (select count(*) from channel_src where channel_no in (select channel_no from channel_src where s_nationkey % 2 = 0 and channel_no <> '')) kept from c"
+)
 def enrich_counters(spark, sf_dir):
-    rows = enrich.enrich(_programs(spark, sf_dir), _lookup(spark, sf_dir))
-    return rows.agg(F.countDistinct("channel").alias("channels"), F.count("*").alias("programs"), F.count_if("enriched").alias("enriched"), F.count_if(F.col("icon_src").contains("zap2it.tmsimg.com")).alias("to_fix"))
+    """The counters of a run, observed while its tables are written."""
+    counters = enrich.Counters()
+    home = f"{shared_dir(spark)}/airgrid/counted-{uuid.uuid4().hex}"
+    rows = enrich.fix_image_host(counters.programs(enrich.enrich(_programs(spark, sf_dir), _lookup(spark, sf_dir))))
+    channels = counters.channels(_channels(spark, sf_dir))
+    kept = counters.kept(filters.filter_channels(channels, _allowed(spark, sf_dir)))
+    versions.Versions(spark, home).publish({"programs": rows, "channels": kept}, AS_OF)
+    told = counters.told()
+    return spark.createDataFrame([tuple(told[c] for c in _COUNTERS)], ", ".join(f"{c} long" for c in _COUNTERS))
 
 
 @query(f"{ALL} select channel, start, regexp_replace(icon_src, 'zap2it\\.tmsimg\\.com', 'tmsimg.com') icon_src from programs")
@@ -458,11 +471,16 @@ _VALUE = "try_cast(regexp_extract(channel_no, '^\\s*([+-]?([0-9]+\\.?[0-9]*|\\.[
 
 @query(f"with {CHANNELS_SQL} select channel_id id, channel_no number, row_number() over (order by case when {_VALUE} is not null then 1 when channel_no < '0' then 0 else 2 end, {_VALUE} nulls first, channel_no, channel_id) ord from channel_src")
 def view_channel_order(spark, sf_dir):
-    from pyspark.sql import Window
-
     rows = view.view_channels(_channels(spark, sf_dir))
-    # A report: the place of every channel in one list, and channels are few.
-    return rows.select("id", "number", F.row_number().over(Window.orderBy(*view.channel_order(), "id")).cast("long").alias("ord"))
+    return order.numbered(rows, [*view.channel_order(), "id"]).select("id", "number", "ord")
+
+
+@query(f"{ALL} select channel, start, title, sub_title, row_number() over (order by channel, start, title, sub_title, stop, url, numbers) ord from programs")
+def programme_order(spark, sf_dir):
+    """The place of each programme in the published document."""
+    numbers = F.array_join(F.transform("episode_numbers", lambda e: F.concat(e["system"], F.lit("="), e["episode_number"])), ";")
+    rows = _programs(spark, sf_dir).withColumn("numbers", numbers)
+    return order.numbered(rows, ["channel", "start", "title", "sub_title", "stop", "url", "numbers"]).select("channel", "start", "title", "sub_title", "ord")
 
 
 def _field(name: str, value: str) -> str:
@@ -627,3 +645,45 @@ def stream_grid_source(spark, sf_dir):
         slots = grid.stream_grid(spark, start="0", step="1", until=str(until), streams="8", folder=home)
         refresh.run_once(slots, lambda df, batch: df.write.mode("append").parquet(f"{at}/slots"), f"{at}/checkpoint")
     return _listed(spark.read.schema(slots.schema).parquet(f"{at}/slots"))
+
+
+# Publication.
+
+
+@query(
+    f"with doc as ({SQL['xmltv_document']}), lines as (select string_split(string_agg(value, chr(10) order by section, k1, k2, k3, value), chr(10)) l from doc), numbered as (select unnest(l) line, generate_subscripts(l, 1) line_no from lines)"
+    " select (line_no - 1) // 1000 chunk, count(*) lines, md5(string_agg(line, chr(10) order by line_no)) code from numbered group by 1"
+)
+def xmltv_sink(spark, sf_dir):
+    """The whole document, published by all tasks and read back, by thousands of its lines."""
+    home = f"{shared_dir(spark)}/airgrid/xmltv-{uuid.uuid4().hex}"
+    xmltv.write_xmltv(publish.document(_channels(spark, sf_dir), _programs(spark, sf_dir)), home)
+    lines = xmltv.read_lines(spark, home).groupBy(F.expr("(line_no - 1) div 1000").alias("chunk")).agg(F.array_sort(F.collect_list(F.struct("line_no", "line"))).alias("l"))
+    return lines.select("chunk", F.size("l").cast("long").alias("lines"), F.md5(F.array_join(F.transform("l", lambda x: x["line"]), "\n")).alias("code"))
+
+
+_HELD = "select '{}' seen, {} saved_at, channel, count(*) n, min(start) first_start, max(stop) last_stop from programs {} group by channel"
+
+
+@query(f"{ALL} {_HELD.format('held', 1, ' where start < ' + chr(39) + '1998' + chr(39))} union all {_HELD.format('current', 3, '')} union all {_HELD.format('history', 2, ' where start >= ' + chr(39) + '1998' + chr(39))}")
+def snapshot_versions(spark, sf_dir):
+    """Three publications: a reader of the first goes on after the others, new readers see the last, and the second is in the history."""
+    held = versions.Versions(spark, f"{shared_dir(spark)}/airgrid/versions-{uuid.uuid4().hex}")
+    programs = _programs(spark, sf_dir)
+    held.publish({"programs": programs.where("start < '1998'")}, 1)
+    reader = held.open()
+    first = reader.table("programs")
+    for n, rows in ((2, programs.where("start >= '1998'")), (3, programs)):
+        held.publish({"programs": rows}, n)
+        held.vacuum(keep=1)
+    seen = [("held", 1, first), ("current", 3, held.open().table("programs")), ("history", 2, held.history("programs").where("saved_at = 2"))]
+    count = lambda name, n, df: df.groupBy("channel").agg(F.count("*").alias("n"), F.min("start").alias("first_start"), F.max("stop").alias("last_stop")).select(F.lit(name).alias("seen"), F.lit(n).alias("saved_at"), "channel", "n", "first_start", "last_stop")
+    parts = [count(*x) for x in seen]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@query("select p_partkey, printf('%.1f', p_retailprice) price, printf('%.1f', p_retailprice / 8) eighth, printf('%.1f', -p_retailprice / 100000) small, printf('%.1f', p_retailprice * 1e8) large, printf('%.1f', (p_partkey % 100) / 20::double) tie from part")
+def rating_one_decimal(spark, sf_dir):
+    one = lambda x: exact.one_decimal(F.expr(x))
+    rows = table(spark, sf_dir, "part")
+    return rows.select("p_partkey", one("p_retailprice").alias("price"), one("p_retailprice / 8").alias("eighth"), one("-p_retailprice / 100000").alias("small"), one("p_retailprice * double(1e8)").alias("large"), one("(p_partkey % 100) / double(20)").alias("tie"))

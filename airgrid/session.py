@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -25,6 +26,11 @@ def shared_dir(spark: SparkSession) -> str:
     return _OWN[app]
 
 
+def partitions(spark: SparkSession) -> int:
+    """As many as a shuffle makes."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 class Store:
     """Files of any store that Spark reaches, by Hadoop's interface on the driver."""
 
@@ -52,6 +58,28 @@ class Store:
         over[0] = self._jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
         self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._at(to).toUri(), self._conf).rename(self._at(path), self._at(to), over)
 
+    def put(self, path: str, text: str) -> None:
+        """A small file, seen whole or not at all: written beside its place and renamed."""
+        staged = f"{path}._staged-{uuid.uuid4().hex}"
+        out = self._fs.create(self._at(staged), True)
+        try:
+            out.write(bytearray(text.encode()))
+        finally:
+            out.close()
+        self.move(staged, path)
+
+    def text(self, path: str) -> str:
+        """A small file."""
+        into = self._fs.open(self._at(path))
+        try:
+            return str(self._jvm.org.apache.commons.io.IOUtils.toString(into, "UTF-8"))
+        finally:
+            into.close()
+
+    def folders(self, folder: str) -> list[str]:
+        """Names of the folders in a folder, sorted; none if it is missing."""
+        return sorted(s.getPath().getName() for s in self._fs.listStatus(self._at(folder)) if s.isDirectory()) if self.exists(folder) else []
+
     def join(self, parts: list[str], to: str) -> None:
         """The bytes of files one after the other in a new file, streamed."""
         out = self._fs.create(self._at(to), True)

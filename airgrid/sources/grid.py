@@ -185,7 +185,7 @@ def _read_folder(spark: SparkSession, options: dict[str, str]) -> DataFrame:
     """Offline: one document a slot, ``<slot>.json``, in a folder of any store that Spark reads."""
     first, n, step = int(options["start"]), int(options.get("slots", 56)), int(options.get("step", 6 * 3600))
     wanted = spark.range(n).select((F.lit(first) + F.col("id") * step).alias("slot_ts"))
-    files = spark.read.option("wholetext", True).option("pathGlobFilter", "*.json").text(options["folder"])
+    files = spark.read.option("pathGlobFilter", "*.json").text(options["folder"], wholetext=True)
     files = files.select(F.regexp_extract("_metadata.file_name", r"^(-?\d+)\.json$", 1).try_cast("long").alias("slot_ts"), F.col("value").alias("raw"))
     return wanted.join(files, "slot_ts", "left").select("slot_ts", _checked("raw").alias("c")).select("slot_ts", "c.body", "c.error")
 

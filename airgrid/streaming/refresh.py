@@ -7,6 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQueryListener
 from pyspark.sql.types import StructType
 
 from ..session import Store
@@ -39,6 +40,30 @@ def next_delay_seconds(age_seconds: int, period: int = 24 * 3600, least: int = 3
     return max(period - age_seconds, least)
 
 
+class StreamCounters(StreamingQueryListener):
+    """Sums of what a stream observes (``observe(name, ...)``) over its batches; add it with ``spark.streams.addListener``."""
+
+    def __init__(self, name: str):
+        self.name, self.sums, self.batches = name, {}, set()
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        told = event.progress.observedMetrics.get(self.name)
+        at = (str(event.progress.id), event.progress.batchId)
+        if told is not None and at not in self.batches:  # a batch that is run again counts once
+            self.batches.add(at)
+            for k, v in told.asDict().items():
+                self.sums[k] = self.sums.get(k, 0) + (v or 0)
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        pass
+
+
 class Replay:
     """A stream of table rows in the order of a number, a micro-batch a number: for tests and backfills."""
 

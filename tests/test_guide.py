@@ -201,20 +201,29 @@ def test_job(spark, service, tmp_path):
     known = f"{tmp_path}/known"
     spark.createDataFrame([(f"{dims.LOGO_BASE}/united-states/history-channel-us.png",)], "url string").write.parquet(known)
     s = job.Settings(folder, {"url": service, "slots": "3", "step": "1"}, search_url=service, search_token="t", recorder=str(tmp_path / "items.json"), filter_by_recorder=True, known_logos=known)
-    told = [job.run_once(spark, s, k * 86_400) for k in range(2)][-1]
+    searches = []
+    for now in (0, 86_400, 90_000):
+        before = len(_Service.asked)
+        told = job.run_once(spark, s, now)
+        searches.append(sum("/search/" in p for _, p, *_ in _Service.asked[before:]))
+    assert searches == [1, 1, 0], "one request for a new title, none for what the cache holds"
     for k in range(9):
         (tmp_path / "guide" / f"xmlguide.1960010{k}.xmltv").write_text("old")
     assert told == {"programs": 1, "enriched": 1, "to_fix": 0, "channels": 1, "icons": 1, "kept": 1}
-    assert sum("/search/" in p for _, p, *_ in _Service.asked) >= 1
     names = publish.rotate(spark, folder, "19700103")
     assert len(names) == 7 and names[-1] == "xmlguide.19700103.xmltv" and "xmlguide.19600100.xmltv" not in names
     text = (tmp_path / "guide" / "xmlguide.xmltv").read_text()
     assert text.startswith("<?xml") and text.rstrip().endswith("</tv>") and "history-channel-us.png" in text and "<star-rating><value>8.0/10" in text
     told = json.loads((tmp_path / "guide" / "guide.json").read_text())
-    assert told["generated"] == "1970-01-02T00:00:00Z" and [c["id"] for c in told["channels"]] == ["10"] and told["channels"][0]["programs"][0]["title"].startswith("Film")
+    assert told["generated"] == "1970-01-02T01:00:00Z" and [c["id"] for c in told["channels"]] == ["10"] and told["channels"][0]["programs"][0]["title"].startswith("Film")
     assert spark.table("guide_channels").count() == 1
     assert not [p for p in (tmp_path / "guide").iterdir() if "_staged" in p.name]
-    assert publish.read_snapshot(spark, f"{folder}/snapshot", 86_400, f"{folder}/none.xmltv") is None
+    assert publish.read_snapshot(spark, f"{folder}/snapshot", 90_000, f"{folder}/none.xmltv") is None
+    lost = job.Settings(folder, s.grid, recorder=f"{tmp_path}/missing.json", filter_by_recorder=True, known_logos=known)
+    broken = job.Settings(folder, s.grid, recorder=str(tmp_path / "broken.json"), filter_by_recorder=True, known_logos=known)
+    (tmp_path / "broken.json").write_text('{"Items": [')
+    for k, without in enumerate((lost, broken)):  # without its list nothing is filtered
+        assert job.run_once(spark, without, (3 + k) * 86_400)["kept"] == 1
     assert not job.Settings(folder).enriches() and not job.Settings(folder, filter_by_recorder=True).filters()
 
 
@@ -225,7 +234,7 @@ def test_broken_files(spark, tmp_path):
     tables.write_cache(cache, f"file://{tmp_path}/cache")
     tables.write_cache(tables.read_cache(spark, f"file://{tmp_path}/cache", job.LOGO_CACHE), f"file://{tmp_path}/cache")
     assert tables.read_cache(spark, f"file://{tmp_path}/cache", job.LOGO_CACHE).count() == 1
-    for f in [*tmp_path.glob("snap/channels/*.parquet"), *tmp_path.glob("cache/*.parquet")]:
+    for f in [*tmp_path.glob("snap/channels/**/*.parquet"), *tmp_path.glob("cache/cache/**/*.parquet")]:
         f.write_bytes(b"not parquet")
         (f.parent / f".{f.name}.crc").unlink(missing_ok=True)
     assert publish.read_snapshot(spark, f"file://{tmp_path}/snap", 1000) is None
