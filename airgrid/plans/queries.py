@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 
 from ..functions import exact, text
 from ..functions.exact import html_unescape
-from ..operators import dims, enrich, filters, icons, normalize, order, publish, versions, view
+from ..operators import dims, enrich, filters, icons, normalize, order, prefixes, publish, versions, view
 from ..session import Store, shared_dir
-from ..sources import grid, xmltv
+from ..sources import grid, keyed, xmltv
 from ..streaming import refresh, state
 from . import adapters
 from .adapters import AIRINGS_SQL, AS_OF, CHANNELS_SQL, ORDER, table
@@ -687,3 +687,29 @@ def rating_one_decimal(spark, sf_dir):
     one = lambda x: exact.one_decimal(F.expr(x))
     rows = table(spark, sf_dir, "part")
     return rows.select("p_partkey", one("p_retailprice").alias("price"), one("p_retailprice / 8").alias("eighth"), one("-p_retailprice / 100000").alias("small"), one("p_retailprice * double(1e8)").alias("large"), one("(p_partkey % 100) / double(20)").alias("tie"))
+
+
+@query(SQL["lookup_cache_merge"])
+def lookup_cache_upsert(spark, sf_dir):
+    """The merge into a cache that is dealt by key: what was there, then the answers of a run."""
+    cache = keyed.KeyedCache(spark, f"{shared_dir(spark)}/airgrid/keyed-{uuid.uuid4().hex}", enrich.LOOKUP)
+    cache.merge(spark.createDataFrame([(k, "", 0.0, "", "", 0, "", AS_OF - age) for k, age in _AGES.items()], enrich.LOOKUP))
+    fetched = _lookup(spark, sf_dir).unionByName(spark.createDataFrame([("tv:c", "", 0.0, "", "", 0, "")], enrich.LOOKUP.rpartition(",")[0]))
+    cache.merge(fetched.withColumn("fetched_at", F.lit(AS_OF).cast("long")))
+    cache.vacuum()
+    return enrich.valid_cache(cache.read(), AS_OF).select("key", "fetched_at")
+
+
+_NAMES_OF = "select p_partkey id, lower(p_name || ' ' || p_type) name from part union all select -1 - s_suppkey, lower(s_name) from supplier"
+
+
+@query(
+    f"with names as ({_NAMES_OF}), prefixes as (select name[:1 + (abs(id) % 9)::int] prefix, min((id * 7919) % 100003) rank from names group by 1),"
+    " hits as (select id, arg_min(prefix, (rank, prefix)) first_prefix, arg_max(prefix, length(prefix)) longest_prefix from names join prefixes on starts_with(name, prefix) and length(name) > length(prefix) group by id)"
+    " select id, name, first_prefix, longest_prefix from names left join hits using (id)"
+)
+def name_prefixes(spark, sf_dir):
+    """Names of parts and suppliers by a table of prefixes that is made from them."""
+    names = table(spark, sf_dir, "part").selectExpr("p_partkey id", "lower(concat(p_name, ' ', p_type)) name").unionByName(table(spark, sf_dir, "supplier").selectExpr("-1 - s_suppkey id", "lower(s_name) name"))
+    known = names.selectExpr("substring(name, 1, int(1 + abs(id) % 9)) prefix", "(id * 7919) % 100003 rank")
+    return prefixes.match(names, "name", known).select("id", "name", "first_prefix", "longest_prefix")

@@ -10,11 +10,9 @@ import urllib.parse
 import urllib.request
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
-from pyspark.sql.types import StringType, StructField, StructType
 
 GRID = (
     "channels array<struct<channelId:string,channelNo:string,callSign:string,affiliateName:string,thumbnail:string,events:array<struct<"
@@ -170,15 +168,53 @@ def stream_grid(spark: SparkSession, **options: str) -> DataFrame:
     return spark.readStream.format("listing_grid").options(**options).load()
 
 
-@F.pandas_udf(StructType([StructField("body", StringType()), StructField("error", StringType())]))
-def _checked(bodies: pd.Series) -> pd.DataFrame:
-    def one(body: str | None) -> tuple[str | None, str | None]:
-        try:
-            return (None, "FileNotFoundError") if body is None else (strict(body), None)
-        except (ValueError, TypeError) as e:
-            return None, f"{type(e).__name__}: {e}"
+def _let(value: Column, use) -> Column:
+    """``use(value)`` with the value worked out once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
-    return pd.DataFrame([one(b) for b in bodies], columns=["body", "error"])
+
+def _fitted(v: Column, shape) -> Column:
+    """``ok, value`` of a variant: whether it has the shape, and the value in it; null and what is missing fit everywhere.
+
+    The same rule as :func:`_fit`, as an expression over VARIANT.
+    """
+    none = v.isNull() | F.is_variant_null(v)
+    if isinstance(shape, list):
+        items = F.transform(F.try_variant_get(v, "$", "array<variant>"), lambda x: _fitted(x, shape[0]))
+        whole = lambda i: F.struct((none | F.coalesce(F.forall(i, lambda x: x["ok"]), F.lit(False))).alias("ok"), F.transform(i, lambda x: x["value"]).alias("value"))
+        return _let(items, whole)
+    if isinstance(shape, dict):
+        # Keys are found without regard to case; of several spellings the last by code points counts, as a variant keeps no order.
+        of = lambda entries, name: F.try_element_at(F.filter(entries, lambda e: F.lower(e["key"]) == name.lower()), F.lit(-1))["value"]
+        fields = lambda entries: F.struct(*[_fitted(of(entries, name), kind).alias(name) for name, kind in shape.items()])
+        ok = lambda f: F.array(*[f[name]["ok"] for name in shape])
+        value = lambda f: F.struct(*[f[name]["value"].alias(name) for name in shape])
+        told = lambda f: F.struct((F.forall(ok(f), lambda x: x)).alias("ok"), value(f).alias("value"))
+        entries = F.map_entries(F.try_variant_get(v, "$", "map<string,variant>"))
+        return _let(entries, lambda e: _let(fields(e), lambda f: _let(told(f), lambda t: F.struct((none | (e.isNotNull() & t["ok"])).alias("ok"), F.when(e.isNotNull(), t["value"]).alias("value")))))
+    return F.struct((none | (F.schema_of_variant(v) == "STRING")).alias("ok"), F.try_variant_get(v, "$", "string").alias("value"))
+
+
+def checked(raw: Column | str) -> Column:
+    """``body, error`` of a document's text: its known fields, or what is wrong with it; a missing text is an error too.
+
+    It is taken or refused whole, as by :func:`strict`, without Python; only a key that an object has twice in the same spelling
+    is refused here, as the engine's parser does.
+    """
+    raw = F.col(raw) if isinstance(raw, str) else raw
+    # The parser stops behind a document.  In an object whose second key is made from the text, nothing can follow the text unseen.
+    end = F.md5(raw.cast("binary"))
+    held = F.try_variant_get(F.try_parse_json(F.concat(F.lit('{"d":'), raw, F.lit(',"'), end, F.lit('":0}'))), "$", "map<string,variant>")
+    doc = F.when((F.size(held) == 2) & F.map_contains_key(held, end), F.try_element_at(held, F.lit("d")))
+
+    def result(doc: Column) -> Column:
+        told = lambda t: F.struct(
+            F.when(doc.isNotNull() & t["ok"], F.to_json(F.coalesce(t["value"], F.from_json(F.lit("{}"), GRID)))).alias("body"),
+            F.when(raw.isNull(), "FileNotFoundError").when(doc.isNull(), "JSONDecodeError: no JSON document").when(~t["ok"], "TypeError: a field is of another type").alias("error"),
+        )
+        return _let(_fitted(doc, _SHAPE), told)
+
+    return _let(doc, result)
 
 
 def _read_folder(spark: SparkSession, options: dict[str, str]) -> DataFrame:
@@ -187,7 +223,7 @@ def _read_folder(spark: SparkSession, options: dict[str, str]) -> DataFrame:
     wanted = spark.range(n).select((F.lit(first) + F.col("id") * step).alias("slot_ts"))
     files = spark.read.option("pathGlobFilter", "*.json").text(options["folder"], wholetext=True)
     files = files.select(F.regexp_extract("_metadata.file_name", r"^(-?\d+)\.json$", 1).try_cast("long").alias("slot_ts"), F.col("value").alias("raw"))
-    return wanted.join(files, "slot_ts", "left").select("slot_ts", _checked("raw").alias("c")).select("slot_ts", "c.body", "c.error")
+    return wanted.join(files, "slot_ts", "left").select("slot_ts", checked("raw").alias("c")).select("slot_ts", "c.body", "c.error")
 
 
 def decode(raw: DataFrame) -> DataFrame:

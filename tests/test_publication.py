@@ -8,7 +8,7 @@ from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from airgrid.functions import exact
-from airgrid.operators import order
+from airgrid.operators import order, prefixes
 from airgrid.operators.versions import Versions
 from airgrid.session import Store
 from airgrid.sources import tables, xmltv
@@ -152,3 +152,18 @@ def test_stream_counters(spark, tmp_path):
     seen = Observation("once")
     spark.range(5).observe(seen, F.count("*").alias("n")).write.format("noop").mode("overwrite").save()
     assert seen.get == {"n": 5}
+
+
+@pytest.mark.parametrize("most_bytes", [1 << 20, -1])
+def test_prefixes(spark, most_bytes):
+    rng = random.Random(5)
+    texts = ["".join(rng.choice("abé") for _ in range(rng.randrange(0, 9))) for _ in range(300)] + [None, "zzz"]
+    known = [("".join(rng.choice("abé") for _ in range(rng.randrange(0, 6))), rng.randrange(20)) for _ in range(60)] + [(None, 0)]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, name string")
+    found = prefixes.match(df, "name", spark.createDataFrame(known, "prefix string, rank int"), most_bytes)
+    assert ("BroadcastHashJoin" in found._jdf.queryExecution().executedPlan().toString()) or most_bytes < 0
+    got = {r["id"]: (r["first_prefix"], r["longest_prefix"]) for r in found.collect()}
+    for k, t in enumerate(texts):
+        fit = [(rank, p) for p, rank in known if t is not None and p is not None and t.startswith(p) and len(t) > len(p)]
+        assert got[k] == ((min(fit)[1], max((p for _, p in fit), key=len)) if fit else (None, None))
+    assert prefixes.match(df, "name", spark.createDataFrame([], "prefix string, rank int")).where("first_prefix is null").count() == len(texts)
