@@ -1,6 +1,7 @@
 """Kept lines against all pairs."""
 
 import hashlib
+import time
 
 import numpy as np
 import pytest
@@ -101,3 +102,35 @@ def test_lines_of_one_weak_hash(spark):
     assert low[0] != low[1] and high[0] != high[1]
     docs = spark.createDataFrame([(0, one + prose(1, 4)), (1, one + prose(1, 4))], "doc_id long, text string")
     assert [r["n_removed"] for r in dedup_lines(docs).orderBy("doc_id").collect()] == [0, 1]
+
+
+@pytest.mark.parametrize("sides", [1, 2])
+def test_links_of_a_chained_group(sides):
+    """Look-alikes and near copies in one group: the links of all pairs, without comparing all of them."""
+    import random
+
+    import pyarrow as pa
+
+    from airgrid.llm.line_dedup import gram_sets, linked_by_prefix
+
+    rng = random.Random(3)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randrange(3, 9))) for _ in range(300)]
+    head = " ".join(words[:8])
+    texts = [head + " " + " ".join(rng.choice(words) for _ in range(8)) for _ in range(150)]
+    texts += [t[:k] + "#" + t[k + 1 :] for t in texts[:90] for k in (5, rng.randrange(len(t) - 1))] + ["short", "8 bytes.", "8 bytes.."]
+    sets = gram_sets(pa.chunked_array([texts]), 8)
+    block = np.arange(len(texts)) % sides
+    find, union = local_roots(len(texts))
+    for i in range(len(texts)):
+        for j in range(i):
+            both = len(np.intersect1d(sets[i], sets[j]))
+            if (sides == 1 or block[i] != block[j]) and 100 * both >= 80 * (len(sets[i]) + len(sets[j]) - both):
+                union(i, j)
+    a, b = linked_by_prefix(np.arange(len(texts)), sets, block, 80)
+    found, join = local_roots(len(texts))
+    assert all(join(i, j) for i, j in zip(a.tolist(), b.tolist(), strict=True)), "a forest"
+    assert [found(i) for i in range(len(texts))] == [find(i) for i in range(len(texts))]
+    many = gram_sets(pa.chunked_array([[head[:30] + " " + " ".join(rng.choice(words) + str(k) for _ in range(8)) for k in range(6000)]]), 8)
+    at = time.process_time()
+    linked_by_prefix(np.arange(len(many)), many, np.zeros(len(many), dtype=int), 80)
+    assert time.process_time() - at < 3, "all pairs took 6 seconds"
