@@ -35,31 +35,51 @@ def channels(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def airings(spark: SparkSession, sf_dir: str) -> DataFrame:
+_START = "l_shipdate + make_dt_interval(0, 3 * (l_linenumber - 1){})"
+_TITLE = "concat(p_name, if(p_size % 5 = 0, ' & <co>', ''))"
+_FILTERS = "if(p_type = 'PROMO', array('filter-movie'), array(concat('filter-', lower(p_type))))"
+
+
+def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What an airing is made of, with its channel_id and ``start`` (to the second, as in the texts): narrow rows, which are shuffled and sorted before they are :func:`described`."""
     rows = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part"), F.expr("l_partkey = p_partkey"))
-    start = "l_shipdate + make_dt_interval(0, 3 * (l_linenumber - 1){})"
-    return rows.selectExpr(
+    return rows.selectExpr(*ORDER, "cast(l_suppkey as string) channel_id", f"date_trunc('SECOND', {_START.format('')}) start", "l_returnflag", "l_linestatus", "p_name", "p_size", "p_type", "p_brand")
+
+
+def described(lines: DataFrame) -> DataFrame:
+    """The airings of :func:`lines`."""
+    return lines.withColumn("p_partkey", F.col("l_partkey")).selectExpr(
         *ORDER,
         "p_partkey",
-        "cast(l_suppkey as string) channel_id",
-        f"date_format({start.format('')}, \"yyyy-MM-dd'T'HH:mm:ss'Z'\") start_time",
-        f"date_format({start.format(' + 1')}, \"yyyy-MM-dd'T'HH:mm:ss'Z'\") end_time",
+        "channel_id",
+        f"date_format(start, \"yyyy-MM-dd'T'HH:mm:ss'Z'\") start_time",
+        f"date_format({_START.format(' + 1')}, \"yyyy-MM-dd'T'HH:mm:ss'Z'\") end_time",
         "'60' duration",
         "if(p_partkey % 4 = 0, '', concat('p', p_partkey)) thumbnail",
         "concat('SH', lpad(p_partkey, 8, '0')) series_id",
         "concat(if(l_linenumber % 4 = 0, 'SH', 'EP'), lpad(p_partkey, 8, '0'), lpad(l_linenumber % 4, 4, '0')) program_id",
-        "concat(p_name, if(p_size % 5 = 0, ' & <co>', '')) title",
+        f"{_TITLE} title",
         "if(l_linenumber % 2 = 0, null, concat('Part ', l_linenumber)) episode_title",
         "case when p_size % 3 = 0 then null when p_size % 7 = 0 then '' else concat(p_type, ' & ', p_brand) end short_desc",
         "case when l_linenumber % 3 = 0 then null when l_linenumber = 5 then ' 5' else cast(l_linenumber % 3 as string) end season",
         "case when p_size % 6 = 0 then null when p_size % 11 = 0 then 'x1' else cast(p_size % 6 as string) end episode",
         "case l_returnflag when 'N' then array('New') when 'R' then array('Premiere') else array('Finale') end flag",
         "if(l_linestatus = 'F', array('CC'), cast(array() as array<string>)) tags",
-        "if(p_type = 'PROMO', array('filter-movie'), array(concat('filter-', lower(p_type)))) filters",
+        f"{_FILTERS} filters",
         "case p_size % 4 when 0 then null when 1 then 'TV-14' when 2 then 'PG' else 'TV-G' end rating",
     )
 
 
+def airings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return described(lines(spark, sf_dir))
+
+
+def titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``t, movie, p_partkey``: what the airings are looked up by, a row a part that has one."""
+    aired = table(spark, sf_dir, "lineitem").select("l_partkey").distinct()
+    return table(spark, sf_dir, "part").join(aired, F.expr("l_partkey = p_partkey"), "left_semi").selectExpr(f"lower({_TITLE}) t", f"array_contains({_FILTERS}, 'filter-movie') movie", "p_partkey")
+
+
 def lookup_answers(keys: DataFrame) -> DataFrame:
     """``key, movie, results`` for keys with ``k``: made answers, none for some keys."""
     return keys.where("k % 11 <> 0").selectExpr(
