@@ -10,6 +10,7 @@ import urllib.parse
 import urllib.request
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
@@ -22,6 +23,8 @@ GRID = (
 _EVENT = {"startTime": str, "endTime": str, "duration": str, "thumbnail": str, "seriesId": str, "rating": str, "flag": [str], "tags": [str], "filter": [str], "program": {k: str for k in ("id", "title", "episodeTitle", "shortDesc", "season", "episode")}}
 _SHAPE = {"channels": [{"channelId": str, "channelNo": str, "callSign": str, "affiliateName": str, "thumbnail": str, "events": [_EVENT]}]}
 
+_ROW = pa.schema([("slot_ts", pa.int64()), ("body", pa.string()), ("error", pa.string())])
+
 
 def slots(spark: SparkSession, start: str, days: int = 14, hours: int = 6) -> DataFrame:
     """``slot, slot_ts``: the half-open horizon from midnight of ``start`` in steps."""
@@ -83,13 +86,15 @@ class GridReader(DataSourceReader):
         with opener.open(request, timeout=15) as answer:
             return answer.read().decode("utf-8")
 
-    def read(self, partition) -> Iterator[tuple]:
+    def read(self, partition) -> Iterator[pa.RecordBatch]:
+        """A batch a document, so that a task holds one and not all of its slots."""
         opener = urllib.request.build_opener(urllib.request.HTTPCookieProcessor(http.cookiejar.CookieJar()))
+        told = lambda *row: pa.RecordBatch.from_arrays([pa.array([v], type=t) for v, t in zip(row, _ROW.types, strict=True)], schema=_ROW)
         for k, ts in enumerate(partition.slots):
             try:
-                yield ts, strict(self._body(ts, opener)), None
+                yield told(ts, strict(self._body(ts, opener)), None)
             except (OSError, ValueError, TypeError) as e:  # one slot fails, the others go on
-                yield ts, None, f"{type(e).__name__}: {e}"
+                yield told(ts, None, f"{type(e).__name__}: {e}")
                 continue
             if k + 1 < len(partition.slots):
                 time.sleep(float(self.options.get("pause", "0")))
@@ -126,7 +131,7 @@ class GridStream(DataSourceStreamReader):
         streams = int(o.get("streams", 1))
         return [_Slot(due[k::streams]) for k in range(streams) if due[k::streams]]
 
-    def read(self, partition) -> Iterator[tuple]:
+    def read(self, partition) -> Iterator[pa.RecordBatch]:
         return self.asked.read(partition)
 
     def commit(self, end: dict) -> None:

@@ -21,3 +21,69 @@ def test_narrow_rows_are_ranked(spark):
     assert not re.search(r"Exchange hashpartitioning\(channel#\d+, \d+\), ENSURE", plan), "programs are dealt by channel once"
     plan = plans.QUERIES["program_enrich"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "_asked" in plan and not re.search(r"Exchange hashpartitioning\(_asked", plan), "a small lookup goes to the programs"
+
+
+@needs_tables
+@pytest.mark.parametrize("name", ["grid_decode_dedup", "stream_grid_source"])
+def test_listing_documents_are_small(spark, monkeypatch, name):
+    monkeypatch.setattr(plans, "LISTED", 10)
+    home, n, parts = plans._grid_files(spark, SF)
+    bodies = spark.read.text(home, wholetext=True, pathGlobFilter="*.json").selectExpr("length(value) n").collect()
+    assert parts > 5 and n == 240 * parts and max(r["n"] for r in bodies) < 20_000 and len(bodies) > 300
+    key = lambda r: tuple(str(x) for x in r)
+    got = sorted((r for r in plans.QUERIES[name](spark, SF).collect()), key=key)
+    monkeypatch.undo()
+    assert got == sorted(plans.QUERIES["grid_decode_dedup"](spark, SF).collect(), key=key)
+
+
+def test_a_slot_is_a_batch_of_its_own(tmp_path):
+    from airgrid.sources import grid
+
+    for k in range(3):
+        (tmp_path / f"{k}.json").write_text('{"channels": []}')
+    reader = grid.GridReader({"start": "0", "slots": "4", "step": "1", "folder": f"file://{tmp_path}"})
+    batches = list(reader.read(reader.partitions()[0]))
+    assert [b.num_rows for b in batches] == [1, 1, 1, 1] and [b.column(1)[0].is_valid for b in batches] == [True, True, True, False]
+
+
+def test_first_wins_is_combined_before_the_shuffle(spark):
+    from airgrid.streaming import state
+
+    rows = spark.createDataFrame([(1, "a", 1, None)], "second long, key string, pos long, what map<string,int>").withColumn("ts", F.timestamp_seconds("second"))
+    plan = state.first_wins(rows, ["key"], ["pos"])._jdf.queryExecution().executedPlan().toString()
+    assert "partial_min_by" in plan and "Python" not in plan and "InPandas" not in plan
+
+
+def test_a_replayed_batch_has_many_files(spark, tmp_path):
+    from airgrid.streaming import refresh
+
+    source = refresh.Replay(spark, spark.createDataFrame([], "v long, batch int").schema, f"{tmp_path}/in", files=5)
+    source.add(spark.range(1000).selectExpr("id v", "int(id % 3) batch"), "batch")
+    source.add(spark.createDataFrame([(7000, 3)], "v long, batch int"), "batch")
+    told = []
+    refresh.run_once(source.stream("batch"), lambda df, batch: told.append(sorted(r["v"] for r in df.collect())), f"{tmp_path}/checkpoint")
+    assert told == [list(range(k, 1000, 3)) for k in range(3)] + [[7000]]
+    assert len(list((tmp_path / "in").glob("*.parquet"))) == 20
+
+
+def test_lines_are_read_by_stretches(spark, tmp_path):
+    from airgrid.sources import xmltv
+
+    text = spark.range(3000).selectExpr("2 section", "lpad(id, 6, '0') k1", "'' k2", "'' k3", "concat('line ', id, if(id % 3 = 0, '\\n\\n', ''), if(id % 7 = 0, 'a\\rb', '')) value")
+    xmltv.write_xmltv(text, str(tmp_path))
+    want = "\n".join(f"line {i}" + ("\n\n" if i % 3 == 0 else "") + ("a\rb" if i % 7 == 0 else "") for i in range(3000)).split("\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4k")
+    try:
+        lines = xmltv.read_lines(spark, str(tmp_path))
+        assert lines.rdd.getNumPartitions() > len(xmltv.manifest(spark, str(tmp_path))["parts"]) and "wholetext" not in lines._jdf.queryExecution().executedPlan().toString()
+        assert [(r["line_no"], r["line"]) for r in lines.orderBy("line_no").collect()] == list(enumerate(want, 1))
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_cut_off_references_stay(spark):
+    from airgrid.functions import exact
+
+    cases = {"and&amp</title>": "and&amp</title>", "&amp;amp &quot &#65; &#65 &copy;&nope; &ampx;": "&amp &quot A &#65 ©&nope; &ampx;", None: None}
+    rows = spark.createDataFrame([(c,) for c in cases], "t string").select("t", exact.html_unescape("t").alias("u")).collect()
+    assert {r["t"]: r["u"] for r in rows} == cases
