@@ -129,13 +129,17 @@ def manifest(spark: SparkSession, path: str) -> dict:
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """``line_no, line``: the published document by lines, numbered from 1."""
-    told, before, firsts = manifest(spark, path)["parts"], 0, []
-    for p in told:
-        firsts.append((p["name"], before))
-        before += p["lines"]
+    told = manifest(spark, path)["parts"]
     if not told:
         return spark.createDataFrame([], "line_no long, line string")
-    first = F.broadcast(spark.createDataFrame(firsts, "name string, before long"))  # a row a part
-    text = spark.read.text([f"{path}/{name}" for name, _ in firsts], wholetext=True).select(F.col("_metadata.file_name").alias("name"), F.regexp_replace("value", "\n\\z", "").alias("value"))
-    lines = text.select("name", F.posexplode(F.split("value", "\n", -1)).alias("at", "line"))
-    return lines.join(first, "name").select((F.col("before") + F.col("at") + 1).alias("line_no"), "line")
+    # Parts are read line by line and by several tasks each; the lines of each stretch are counted, and a row a stretch goes to the driver.
+    text = spark.read.option("lineSep", "\n").text([f"{path}/{p['name']}" for p in told])
+    rows = text.select(F.col("_metadata.file_name").alias("name"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"), F.col("value").alias("line"))
+    stretches = {(r["name"], r["block"]): r for r in rows.groupBy("name", "block").agg(F.count("*").alias("n"), F.min("row").alias("least")).collect()}
+    number, before, firsts = {p["name"]: k for k, p in enumerate(told)}, 0, []
+    for name, block in sorted(stretches, key=lambda x: (number[x[0]], x[1])):
+        r = stretches[name, block]
+        firsts.append((name, block, before - r["least"]))
+        before += r["n"]
+    first = F.broadcast(spark.createDataFrame(firsts, "name string, block long, before long"))
+    return rows.join(first, ["name", "block"]).select((F.col("row") + F.col("before") + 1).alias("line_no"), "line")
