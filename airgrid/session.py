@@ -58,6 +58,17 @@ class Store:
         over[0] = self._jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
         self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._at(to).toUri(), self._conf).rename(self._at(path), self._at(to), over)
 
+    def folder(self, path: str) -> None:
+        self._fs.mkdirs(self._at(path))
+
+    def age(self, path: str) -> int:
+        """When a file was changed last, in milliseconds since 1970."""
+        return self._fs.getFileStatus(self._at(path)).getModificationTime()
+
+    def date(self, path: str, millis: int) -> None:
+        """Let a file have been changed last at that time."""
+        self._fs.setTimes(self._at(path), millis, -1)
+
     def put(self, path: str, text: str) -> None:
         """A small file, seen whole or not at all: written beside its place and renamed."""
         staged = f"{path}._staged-{uuid.uuid4().hex}"

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 import uuid
 from collections.abc import Callable
 
@@ -65,20 +66,36 @@ class StreamCounters(StreamingQueryListener):
 
 
 class Replay:
-    """A stream of table rows in the order of a number, a micro-batch a number: for tests and backfills."""
+    """A stream of table rows in the order of a number, a micro-batch a number: for tests and backfills.
 
-    def __init__(self, spark: SparkSession, schema: StructType, folder: str):
-        self.spark, self.schema, self.folder = spark, schema, folder
+    A micro-batch is always ``files`` files, some of them empty, so that many tasks write and read a large one.
+    """
+
+    def __init__(self, spark: SparkSession, schema: StructType, folder: str, files: int = 1):
+        self.spark, self.schema, self.folder, self.files = spark, schema, folder, files
 
     def add(self, rows: DataFrame, batch: str) -> None:
-        """Write the rows of each number as one file, the smallest number first, so that files are as old as their number says."""
+        """Write the rows of each number, the smallest number first, so that files are as old as their number says."""
         staged = f"{self.folder}-{uuid.uuid4().hex}"
-        rows.repartition(batch).write.partitionBy(batch).parquet(staged)
+        dealt = rows.withColumn("airgrid_file", F.pmod(F.xxhash64(*rows.columns), F.lit(self.files)))
+        dealt.repartition(batch, "airgrid_file").write.option("maxRecordsPerFile", 0).partitionBy(batch, "airgrid_file").parquet(f"{staged}/rows")
         store = Store(self.spark, staged)
-        for k in sorted(int(n.partition("=")[2]) for n in store.names(staged) if n.startswith(f"{batch}=")):
-            one = self.spark.read.schema(self.schema).parquet(f"{staged}/{batch}={k}").withColumn(batch, F.lit(k).cast(self.schema[batch].dataType))
-            one.coalesce(1).write.mode("append").parquet(self.folder)
+        store.folder(self.folder)
+        numbers = sorted(int(n.partition("=")[2]) for n in store.names(f"{staged}/rows") if n.startswith(f"{batch}="))
+        found = {k: [f"{staged}/rows/{batch}={k}/{at}/{n}" for at in store.folders(f"{staged}/rows/{batch}={k}") for n in store.names(f"{staged}/rows/{batch}={k}/{at}") if n.startswith("part-")] for k in numbers}
+        if any(len(f) < self.files for f in found.values()):
+            self.spark.createDataFrame([], rows.drop(batch).schema).coalesce(1).write.parquet(f"{staged}/none")
+            none = [f"{staged}/none/{n}" for n in store.names(f"{staged}/none") if n.startswith("part-")]
+            for k, files in found.items():
+                for i in range(self.files - len(files)):
+                    store.join(none, f"{staged}/rows/none-{k}-{i}")
+                    files.append(f"{staged}/rows/none-{k}-{i}")
+        last = max([int(time.time() * 1000), *(store.age(f"{self.folder}/{n}") + 1 for n in store.names(self.folder))])
+        for at, k in enumerate(numbers):
+            for path in found[k]:
+                store.date(path, last + at)
+                store.move(path, f"{self.folder}/{k}-{uuid.uuid4().hex}.parquet")
         store.delete(staged)
 
     def stream(self, batch: str) -> DataFrame:
-        return self.spark.readStream.schema(self.schema).option("maxFilesPerTrigger", 1).parquet(self.folder).drop(batch)
+        return self.spark.readStream.schema(self.schema).option("maxFilesPerTrigger", self.files).parquet(self.folder).drop(batch)

@@ -1,7 +1,7 @@
 """Stateful streams: the first occurrence across slots, and answers that are kept for a time.
 
 State is in the state store (RocksDB), one value a key, so a restart from the checkpoint goes on with it, and
-each key ends by a timer on the watermark.  Keys are dealt by a shuffle; no task holds more than
+each key ends when the watermark passes: the first occurrence by the engine's windowed aggregation, an answer by a timer.  Keys are dealt by a shuffle; no task holds more than
 the values of one key at a time.
 """
 
@@ -17,7 +17,6 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-_MICROS = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
 
 
 def use_state_store(spark: SparkSession) -> None:
@@ -26,54 +25,21 @@ def use_state_store(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.streaming.stateStore.providerClass", STORE)
 
 
-class _FirstWins(StatefulProcessor):
-    """Keeps the row that comes first in order, and gives it out when its run is over."""
-
-    def __init__(self, order: list[str]):
-        self.order = order
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.best = handle.getValueState("best", StructType([*[StructField(c, LongType()) for c in self.order], StructField("body", StringType())]))
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        if all(k is not None and k == k for k in key):  # a row without a key only tells the time
-            held = self.best.get() if self.best.exists() else None
-            best = held
-            for part in rows:
-                at = part.sort_values(self.order, kind="stable").iloc[0]
-                told = (*[int(at[c]) for c in self.order], at["body"])
-                if best is None or told[:-1] < tuple(best)[:-1]:
-                    best = told
-            if best is not held:
-                self.best.update(tuple(best))
-                if held is None:
-                    self.handle.registerTimer(int(key[0]))
-        return iter(())
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if self.best.exists():
-            yield pd.DataFrame({"body": [self.best.get()[-1]]})
-            self.best.clear()
-
-    def close(self) -> None:
-        pass
-
-
 def first_wins(stream: DataFrame, keys: list[str], order: list[str], ts: str = "ts", horizon: str = "14 days", delay: str = "2 days") -> DataFrame:
     """Of the rows of each key in a run the first by ``order`` (whole numbers), whole, whenever it arrives.
 
     A run is a tumbling stretch ``horizon`` of event time ``ts``.  Its rows are given out, and its state ends, when the watermark
-    (``delay`` behind the latest row) has passed its end; what arrives later is too late.  Rows of which all keys are null
+    (``delay`` behind the latest row) has passed its end; what arrives later is too late.  Rows with a null key
     only move the watermark, as a source's sign of life does.
     """
     use_state_store(stream.sparkSession)
-    columns = stream.columns
-    run = (F.unix_millis(F.window(ts, horizon)["end"])).alias("run_end")
-    rows = stream.withWatermark(ts, delay).select(run, *keys, ts, *[F.col(c).cast("long").alias(f"order_{i}") for i, c in enumerate(order)], F.to_json(F.struct(*columns), _MICROS).alias("body"))
-    own = [f"order_{i}" for i in range(len(order))]
-    out = rows.groupBy("run_end", *keys).transformWithStateInPandas(_FirstWins(own), "body string", "Append", "EventTime")
-    return out.select(F.from_json("body", stream.schema, _MICROS).alias("r")).select("r.*")
+    run = F.window(ts, horizon).alias("run")
+    place = F.struct(*[F.col(c).cast("long").alias(f"order_{i}") for i, c in enumerate(order)])
+    # The test names the event time as well, so that it stays above the watermark, which a row without keys moves.
+    named = F.forall(F.array(*[F.col(c).isNotNull() for c in (*keys, ts)]), lambda there: there)
+    rows = stream.withWatermark(ts, delay).where(named).select(run, *keys, place.alias("place"), F.struct(*stream.columns).alias("row"))
+    # Each task keeps the first of its rows before the shuffle, and the engine's aggregation holds them until the watermark.
+    return rows.groupBy("run", *keys).agg(F.min_by("row", "place").alias("row")).select("row.*")
 
 
 class _Kept(StatefulProcessor):
@@ -87,7 +53,7 @@ class _Kept(StatefulProcessor):
         times, counts, ttl, answer = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), 0, None
         for part in rows:  # distinct times only, however often a key is asked for
             both = np.concatenate([times, part["asked_at"].to_numpy(dtype=np.int64)])
-            n = np.concatenate([counts, np.ones(len(part), dtype=np.int64)])
+            n = np.concatenate([counts, part["n"].to_numpy(dtype=np.int64)])
             times, place = np.unique(both, return_inverse=True)
             counts = np.bincount(place, weights=n).astype(np.int64)
             ttl, answer = int(part["ttl"].iloc[0]), part["answer"].iloc[0]
@@ -120,10 +86,10 @@ def kept_answers(requests: DataFrame, ts: str = "ts", delay: str = "0 seconds")
     """``key, asked_at, n, fetched, fetched_at, answer``: how each request (key, ``ts``, ttl in seconds, answer) is answered, one row for all of a key at one second.
 
     ``answer`` is what the service would say then (null: nothing is found, which is kept as well).  A held answer serves until
-    it is older than ``ttl``; then the request is ``fetched`` anew.  An answer leaves the state when the watermark passes
+    it is older than ``ttl``; then the request is ``fetched`` anew.  With a column ``n`` a row stands for that many requests.  An answer leaves the state when the watermark passes
     its end.
     """
     use_state_store(requests.sparkSession)
-    rows = requests.withWatermark(ts, delay).select("key", ts, F.unix_seconds(F.col(ts)).alias("asked_at"), F.col("ttl").cast("long").alias("ttl"), F.col("answer").cast("string").alias("answer"))
+    rows = requests.withWatermark(ts, delay).select("key", ts, F.unix_seconds(F.col(ts)).alias("asked_at"), F.col("ttl").cast("long").alias("ttl"), F.col("answer").cast("string").alias("answer"), (F.col("n") if "n" in requests.columns else F.lit(1)).cast("long").alias("n"))
     schema = "key string, asked_at long, n long, fetched boolean, fetched_at long, answer string"
     return rows.groupBy("key").transformWithStateInPandas(_Kept(), schema, "Append", "EventTime")
