@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.normalize import first_wins
+
 CALLS = ["HISTORY", "MAXHDP", "ESPNHD", "KABC-DT2", "A&E", "UP", "HBOHD", "TOONP", "WJXT-TV", "FOXNEWSHD", "ZZZQ", "CINEHP"]
 AFFILIATES = ["ABC", "The Weather Channel", "A&E", "home box office", "", "Acme Broadcasting Company", "my network tv", "NBC", "PBS", "action channel"]
 LANGUAGES = ["en", "fr", ""]
@@ -35,25 +37,49 @@ def channels(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-_START = "l_shipdate + make_dt_interval(0, 3 * (l_linenumber - 1){})"
+_START = "l_shipdate + make_dt_interval(0, 3 * (l_linenumber - 1))"
 _TITLE = "concat(p_name, if(p_size % 5 = 0, ' & <co>', ''))"
 _FILTERS = "if(p_type = 'PROMO', array('filter-movie'), array(concat('filter-', lower(p_type))))"
 
 
+_PARTS = ["p_partkey", "p_name", "p_size", "p_type", "p_brand"]
+
+
+def keyed(rows: DataFrame) -> DataFrame:
+    """Rows of lineitem with their channel_id and ``start`` (to the second, as in the texts)."""
+    return rows.withColumns({"channel_id": F.expr("cast(l_suppkey as string)"), "start": F.expr(f"date_trunc('SECOND', {_START})")})
+
+
+def parted(rows: DataFrame, parts: DataFrame) -> DataFrame:
+    """Rows of lineitem with what their parts tell."""
+    return rows.join(parts.select(*_PARTS), F.expr("l_partkey = p_partkey")).drop("p_partkey")
+
+
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What an airing is made of, with its channel_id and ``start`` (to the second, as in the texts): narrow rows, which are shuffled and sorted before they are :func:`described`."""
-    rows = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part"), F.expr("l_partkey = p_partkey"))
-    return rows.selectExpr(*ORDER, "cast(l_suppkey as string) channel_id", f"date_trunc('SECOND', {_START.format('')}) start", "l_returnflag", "l_linestatus", "p_name", "p_size", "p_type", "p_brand")
+    """What an airing is made of but its channel_id and ``start``: narrow rows, which are shuffled and sorted before they are :func:`keyed` and :func:`described`."""
+    return parted(table(spark, sf_dir, "lineitem").select(*ORDER, "l_returnflag", "l_linestatus"), table(spark, sf_dir, "part"))
+
+
+def unparted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of :func:`lines` without what parts tell: those of lineitem that have a part."""
+    rows = table(spark, sf_dir, "lineitem").where("l_partkey is not null").select(*ORDER, "l_returnflag", "l_linestatus")
+    unknown = rows.select("l_partkey").distinct().join(table(spark, sf_dir, "part"), F.expr("l_partkey = p_partkey"), "left_anti")
+    return rows if unknown.isEmpty() else rows.join(unknown, "l_partkey", "left_anti")
+
+
+def parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row of each p_partkey."""
+    return first_wins(table(spark, sf_dir, "part").select(*_PARTS), ["p_partkey"], _PARTS[1:])
 
 
-def described(lines: DataFrame) -> DataFrame:
-    """The airings of :func:`lines`."""
+def described(lines: DataFrame, *keep: str) -> DataFrame:
+    """The airings of :func:`keyed` lines, with the columns ``keep`` as they are."""
     return lines.withColumn("p_partkey", F.col("l_partkey")).selectExpr(
-        *ORDER,
+        *[c for c in lines.columns if c in ORDER or c in keep],
         "p_partkey",
         "channel_id",
-        f"date_format(start, \"yyyy-MM-dd'T'HH:mm:ss'Z'\") start_time",
-        f"date_format({_START.format(' + 1')}, \"yyyy-MM-dd'T'HH:mm:ss'Z'\") end_time",
+        "date_format(start, \"yyyy-MM-dd'T'HH:mm:ss'Z'\") start_time",
+        "date_format(start + interval 1 hour, \"yyyy-MM-dd'T'HH:mm:ss'Z'\") end_time",
         "'60' duration",
         "if(p_partkey % 4 = 0, '', concat('p', p_partkey)) thumbnail",
         "concat('SH', lpad(p_partkey, 8, '0')) series_id",
@@ -71,7 +97,7 @@ def described(lines: DataFrame) -> DataFrame:
 
 
 def airings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return described(lines(spark, sf_dir))
+    return described(keyed(lines(spark, sf_dir)))
 
 
 def titles(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,6 +23,47 @@ def test_narrow_rows_are_ranked(spark):
     assert "_asked" in plan and not re.search(r"Exchange hashpartitioning\(_asked", plan), "a small lookup goes to the programs"
 
 
+@needs_tables
+@pytest.mark.parametrize("name", ["program_full", "program_enrich", "xmltv_programme_fragment", "xmltv_document"])
+def test_rows_are_ranked_before_parts_are_joined(spark, name):
+    plan = plans.QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    ranked = plan[plan.index("windowspecdefinition(l_suppkey") :]
+    ranked = ranked[: ranked.index("] parquet")]
+    assert "l_orderkey" in ranked and "p_name" not in ranked and "channel_id" not in ranked
+
+
+@needs_tables
+def test_programmes_are_ordered_without_their_texts(spark):
+    plan = plans.QUERIES["programme_order"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    read = [x[1] for x in re.finditer(r"ReadSchema: struct<([^>]*)>", plan) if "airgrid_row" in x[1]]
+    assert read and not any("title" in r or "url" in r for r in read)
+
+
+@needs_tables
+@pytest.mark.parametrize("name", ["view_guide_json", "view_channel_schedule"])
+def test_channels_are_dealt_without_what_is_made_of_them(spark, name):
+    plan = plans.QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "date_trunc" in plan and "date_trunc" not in plan[plan.index("RepartitionByExpression") :]
+
+
+@needs_tables
+@pytest.mark.parametrize("name", ["program_full", "programme_order", "program_enrich"])
+def test_odd_parts_and_keys(spark, tmp_path, name):
+    """Airings without a part aren't ranked, a part told twice counts once, and programmes without a channel or a start come last."""
+    duckdb = pytest.importorskip("duckdb")
+    line = "case when l_orderkey % 7 = 3 then l_partkey + 1000000 when l_orderkey % 11 = 5 then null else l_partkey end l_partkey, case when l_orderkey % 13 = 1 then null else l_suppkey end l_suppkey, case when l_orderkey % 17 = 1 then null else l_shipdate end l_shipdate"
+    duckdb.sql(f"copy (select * replace ({line.replace(' end ', ' end as ')}) from '{SF}/lineitem.parquet' union all select * from '{SF}/lineitem.parquet' where l_orderkey % 3 = 0) to '{tmp_path}/lineitem.parquet' (format parquet)")
+    duckdb.sql(f"copy (select * from '{SF}/part.parquet' union all select * from '{SF}/part.parquet' where p_partkey % 3 = 0) to '{tmp_path}/part.parquet' (format parquet)")
+    con = duckdb.connect()
+    for t in ("lineitem", "part"):
+        con.sql(f"create view {t} as select * from '{tmp_path}/{t}.parquet'")
+    con.sql(f"create view supplier as select * from '{SF}/supplier.parquet'")
+    got = plans.QUERIES[name](spark, str(tmp_path))
+    rows = con.sql(f"select {', '.join(got.columns)} from ({plans.SQL[name]})").fetchall()
+    key = lambda r: tuple(str(x) for x in r)
+    assert sorted(map(key, got.collect())) == sorted(map(key, rows))
+
+
 @needs_tables
 @pytest.mark.parametrize("name", ["grid_decode_dedup", "stream_grid_source"])
 def test_listing_documents_are_small(spark, monkeypatch, name):
