@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -94,8 +96,8 @@ def rating_system() -> Column:
     return F.when(F.coalesce("rating", F.lit("")).startswith("TV-"), "USA Parental Rating").otherwise("")
 
 
-def to_programs(airings: DataFrame, lang: str = "en", country: str = "USA") -> DataFrame:
-    """Program rows from raw airings; text is escaped here, as the document writer doesn't."""
+def to_programs(airings: DataFrame, lang: str = "en", country: str = "USA", keep: Sequence[str] = ()) -> DataFrame:
+    """Program rows from raw airings, with the columns ``keep`` as they are; text is escaped here, as the document writer doesn't."""
     none = F.array().cast("array<string>")
     language = F.lit(lang)
     # Each number is parsed once, in a step of its own.
@@ -110,5 +112,5 @@ def to_programs(airings: DataFrame, lang: str = "en", country: str = "USA") -> D
         episode_numbers(F.col("_season"), F.col("_episode")).alias("episode_numbers"), categories(language, F.col("_episode")).alias("categories"),
         has_flag("New").alias("new"), has_flag("Premiere").alias("premiere"), (~has_flag("New")).alias("previously_shown"),
         F.transform(F.filter(F.coalesce("tags", none), lambda t: t == "CC"), lambda t: F.struct(F.lit("teletext").alias("type"))).alias("subtitles"),
-        F.coalesce("rating", F.lit("")).alias("rating"), rating_system().alias("rating_system"), F.lit("").alias("star_rating"), F.lit("").alias("date"),
+        F.coalesce("rating", F.lit("")).alias("rating"), rating_system().alias("rating_system"), F.lit("").alias("star_rating"), F.lit("").alias("date"), *keep,
     )
