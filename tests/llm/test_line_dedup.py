@@ -2,12 +2,13 @@
 
 import hashlib
 import time
+import uuid
 
 import numpy as np
 import pytest
 
-from airgrid.llm import hashing, storage
-from airgrid.llm.graph import local_roots
+from airgrid.llm import hashing, line_dedup, signature_tree, storage
+from airgrid.llm.graph import contract, local_roots
 from airgrid.llm.line_dedup import dedup_lines
 from airgrid.llm.queries import op9_line_dedup
 
@@ -134,3 +135,27 @@ def test_links_of_a_chained_group(sides):
     at = time.process_time()
     linked_by_prefix(np.arange(len(many)), many, np.zeros(len(many), dtype=int), 80)
     assert time.process_time() - at < 3, "all pairs took 6 seconds"
+
+
+def test_small_groups_go_to_python_many_at_a_time(spark, tmp_path):
+    """Pairs of near copies, a group of many, one cut into blocks and one node with two texts: the same classes as group by group, in few calls."""
+    text = "concat(repeat(concat(g, ' some words '), 6), if(g % 3 = 0, repeat(concat('x', k), 20), 'x'), k)"
+    rows = spark.range(3000).selectExpr("id div 2 g", "id k", "id node").union(spark.range(40).selectExpr("9001L g", "id k", "10000 + id node")).union(spark.range(600).selectExpr("9002L g", "id k", "20000 + id node"))
+    members = rows.selectExpr("node", "g grp", f"{text} text").union(spark.createDataFrame([(0, 0, "other words of the first")], "node long, grp long, text string")).selectExpr("*", "cast(octet_length(text) as bigint) weight")
+
+    def links(name, **kind):
+        told = tmp_path / name
+        told.mkdir()
+
+        def sets(texts):
+            (told / uuid.uuid4().hex).touch()
+            return line_dedup.gram_sets(texts, 8)
+
+        got = signature_tree.exact_links(members, sets, 80, 20_000, line_dedup.linked_by_prefix, **kind).toPandas()
+        assert len(got)
+        a, b = contract(got["a"].to_numpy(), got["b"].to_numpy())
+        return sorted(zip(a.tolist(), b.tolist(), strict=True)), len(list(told.iterdir()))
+
+    one, calls = links("one")
+    many, fewer = links("many", gather=True)
+    assert many == one and calls > 1500 and fewer < 60
