@@ -39,7 +39,8 @@ def schedule(channels: DataFrame, programs: DataFrame) -> DataFrame:
     """Each channel with ``programs``, sorted by start; null where it has none."""
     fields = ["start", "title", "end", "sub_title", "category", "is_new", "rating", "icon_url", "description"]
     nested = view_programs(programs).groupBy("channel").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("programs"))
-    return view_channels(channels).join(nested, F.col("id") == F.col("channel"), "left").drop("channel")
+    # Channels are hashed, as a merge join would sort the nested rows once more.
+    return view_channels(channels).hint("shuffle_hash").join(nested, F.col("id") == F.col("channel"), "left").drop("channel")
 
 
 def guide_json(channels: DataFrame, programs: DataFrame) -> DataFrame:

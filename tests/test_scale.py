@@ -46,6 +46,20 @@ def test_channels_are_dealt_without_what_is_made_of_them(spark, name):
     assert "date_trunc" in plan and "date_trunc" not in plan[plan.index("RepartitionByExpression") :]
 
 
+@needs_tables
+@pytest.mark.parametrize("name", ["view_guide_json", "view_channel_schedule"])
+def test_channels_are_nested_in_small_tasks(spark, monkeypatch, name):
+    """More rows make more tasks, not larger ones, and what is nested isn't sorted for the join with its channel."""
+    want = sorted(plans.QUERIES[name](spark, SF).collect())
+    monkeypatch.setattr(plans, "DEALT", 500, raising=False)
+    most = plans._programs(spark, SF, by_channel=True).groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+    assert most < plans._programs(spark, SF).count() / 2
+    rows = plans.QUERIES[name](spark, SF)
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert not re.search(r"SortMergeJoin \[id#\d+\], \[channel#", plan) and len(re.findall(r"Exchange hashpartitioning\([^)]*(?:suppkey|channel|id)#[^)]*\)?, 13\)", plan)) == 2
+    assert sorted(rows.collect()) == want
+
+
 @needs_tables
 @pytest.mark.parametrize("name", ["program_full", "programme_order", "program_enrich"])
 def test_odd_parts_and_keys(spark, tmp_path, name):
