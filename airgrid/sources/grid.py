@@ -20,6 +20,7 @@ GRID = (
     "startTime:string,endTime:string,duration:string,thumbnail:string,seriesId:string,rating:string,flag:array<string>,tags:array<string>,filter:array<string>,"
     "program:struct<id:string,title:string,episodeTitle:string,shortDesc:string,season:string,episode:string>>>>>"
 )
+GRID_TYPE = f"struct<{GRID.replace(' ', ':', 1)}>"
 _EVENT = {"startTime": str, "endTime": str, "duration": str, "thumbnail": str, "seriesId": str, "rating": str, "flag": [str], "tags": [str], "filter": [str], "program": {k: str for k in ("id", "title", "episodeTitle", "shortDesc", "season", "episode")}}
 _SHAPE = {"channels": [{"channelId": str, "channelNo": str, "callSign": str, "affiliateName": str, "thumbnail": str, "events": [_EVENT]}]}
 
@@ -200,35 +201,75 @@ def _fitted(v: Column, shape) -> Column:
     return F.struct((none | (F.schema_of_variant(v) == "STRING")).alias("ok"), F.try_variant_get(v, "$", "string").alias("value"))
 
 
+MOST_NAMED = 4_000  # characters of a type that is matched with the pattern
+
+
+def _typed(shape) -> str:
+    """A pattern for the type (as schema_of_variant tells it) of what has the shape, with its keys in the shape's own spelling.
+
+    Fields that the shape doesn't know may be plain, or lists or objects of what is plain; no spelling of a known key is taken for one.
+    """
+    if isinstance(shape, list):
+        return f"(?:VOID|ARRAY<{_typed(shape[0])}>)"
+    if isinstance(shape, dict):
+        plain = r"[A-Z]++(?!<)(?:\(\d+,\d+\))?"
+        name = "(?:[A-Za-z0-9_]++|`[^`]++`)"
+        other = f"(?!`?(?i:{'|'.join(shape)})`?:){name}: (?:{plain}|ARRAY<{plain}>|OBJECT<(?:{name}: {plain}(?:, (?!>))?)*+>)"
+        known = "|".join(f"{k}: {_typed(kind)}" for k, kind in shape.items())
+        return f"(?:VOID|OBJECT<(?:(?:{known}|{other})(?:, (?!>))?)*+>)"
+    return "(?:VOID|STRING)"
+
+
 def checked(raw: Column | str) -> Column:
     """``body, error`` of a document's text: its known fields, or what is wrong with it; a missing text is an error too.
 
     It is taken or refused whole, as by :func:`strict`, without Python; only a key that an object has twice in the same spelling
     is refused here, as the engine's parser does.
+
+    The type of a whole document is told by one call.  Where it fits and keys are in the usual spelling, the document is cast by another;
+    only others are looked at field by field.
     """
     raw = F.col(raw) if isinstance(raw, str) else raw
     # The parser stops behind a document.  In an object whose second key is made from the text, nothing can follow the text unseen.
     end = F.md5(raw.cast("binary"))
-    held = F.try_variant_get(F.try_parse_json(F.concat(F.lit('{"d":'), raw, F.lit(',"'), end, F.lit('":0}'))), "$", "map<string,variant>")
-    doc = F.when((F.size(held) == 2) & F.map_contains_key(held, end), F.try_element_at(held, F.lit("d")))
+    parsed = F.try_parse_json(F.concat(F.lit('{"d":'), raw, F.lit(',"'), end, F.lit('":0}')))
+    of = "`?[0-9a-f]{32}`?: BIGINT"
+    usual = f"^OBJECT<(?:d: {_typed(_SHAPE)}, {of}|{of}, d: {_typed(_SHAPE)})>$"
+    empty = F.from_json(F.lit("{}"), GRID)
+
+    def slowly(whole: Column) -> Column:
+        held = F.try_variant_get(whole, "$", "map<string,variant>")
+        doc = F.when((F.size(held) == 2) & F.map_contains_key(held, end), F.try_element_at(held, F.lit("d")))
+
+        def result(doc: Column) -> Column:
+            told = lambda t: F.struct(
+                F.when(doc.isNotNull() & t["ok"], F.to_json(F.coalesce(t["value"], empty))).alias("body"),
+                F.when(raw.isNull(), "FileNotFoundError").when(doc.isNull(), "JSONDecodeError: no JSON document").when(~t["ok"], "TypeError: a field is of another type").alias("error"),
+            )
+            return _let(_fitted(doc, _SHAPE), told)
+
+        return _let(doc, result)
 
-    def result(doc: Column) -> Column:
-        told = lambda t: F.struct(
-            F.when(doc.isNotNull() & t["ok"], F.to_json(F.coalesce(t["value"], F.from_json(F.lit("{}"), GRID)))).alias("body"),
-            F.when(raw.isNull(), "FileNotFoundError").when(doc.isNull(), "JSONDecodeError: no JSON document").when(~t["ok"], "TypeError: a field is of another type").alias("error"),
-        )
-        return _let(_fitted(doc, _SHAPE), told)
+    def result(whole: Column) -> Column:
+        quick = lambda kind: F.coalesce((F.length(kind) <= MOST_NAMED) & F.contains(kind, end) & F.rlike(kind, F.lit(usual)), F.lit(False))
+        body = F.to_json(F.coalesce(F.try_variant_get(whole, "$.d", GRID_TYPE), empty))
+        return F.when(_let(F.schema_of_variant(whole), quick), F.struct(body.alias("body"), F.lit(None).cast("string").alias("error"))).otherwise(slowly(whole))
 
-    return _let(doc, result)
+    return _let(parsed, result)
 
 
 def _read_folder(spark: SparkSession, options: dict[str, str]) -> DataFrame:
     """Offline: one document a slot, ``<slot>.json``, in a folder of any store that Spark reads."""
     first, n, step = int(options["start"]), int(options.get("slots", 56)), int(options.get("step", 6 * 3600))
-    wanted = spark.range(n).select((F.lit(first) + F.col("id") * step).alias("slot_ts"))
-    files = spark.read.option("pathGlobFilter", "*.json").text(options["folder"], wholetext=True)
-    files = files.select(F.regexp_extract("_metadata.file_name", r"^(-?\d+)\.json$", 1).try_cast("long").alias("slot_ts"), F.col("value").alias("raw"))
-    return wanted.join(files, "slot_ts", "left").select("slot_ts", checked("raw").alias("c")).select("slot_ts", "c.body", "c.error")
+    wanted = F.broadcast(spark.range(n).select((F.lit(first) + F.col("id") * step).alias("slot_ts")))
+    slot = lambda name: F.regexp_extract(name, r"(?:^|/)(-?\d+)\.json$", 1).try_cast("long").alias("slot_ts")
+    read = spark.read.option("pathGlobFilter", "*.json")
+    files = read.text(options["folder"], wholetext=True).select(slot("_metadata.file_name"), F.col("value").alias("raw")).join(wanted, "slot_ts")
+    # A document is checked once, in a step that no filter goes behind; of missing ones only the names are looked through, so no text moves for a join.
+    told = files.select("slot_ts", F.inline(F.array(checked("raw"))))
+    named = read.format("binaryFile").load(options["folder"]).select(slot("path"))
+    missing = wanted.join(named, "slot_ts", "left_anti").select("slot_ts", F.lit(None).cast("string").alias("body"), F.lit("FileNotFoundError").alias("error"))
+    return told.unionByName(missing)
 
 
 def decode(raw: DataFrame) -> DataFrame:

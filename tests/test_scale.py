@@ -142,3 +142,39 @@ def test_cut_off_references_stay(spark):
     cases = {"and&amp</title>": "and&amp</title>", "&amp;amp &quot &#65; &#65 &copy;&nope; &ampx;": "&amp &quot A &#65 ©&nope; &ampx;", None: None}
     rows = spark.createDataFrame([(c,) for c in cases], "t string").select("t", exact.html_unescape("t").alias("u")).collect()
     assert {r["t"]: r["u"] for r in rows} == cases
+
+
+def test_usual_documents_are_not_looked_at_field_by_field(spark, tmp_path, monkeypatch):
+    import json
+
+    from airgrid.sources import grid
+
+    event = {"startTime": "s", "endTime": None, "flag": ["New", None], "tags": [], "filter": None, "program": {"id": "p", "title": 'T "é"', "more": {"a b": 1.5, "c": "x"}}}
+    usual = [{"channels": [{"channelId": "1", "x: STRING, y": 1, "events": [event, None, {}]}, None], "other": [1, 2]}, {"channels": []}, {"channels": None}, {}, None, {"`": {"channelid": 3}}]
+    odd = [{"Channels": []}, {"channels": [{"events": [dict(event, rating=5)]}]}, {"channels": [{"channelId": "1"}, {"channelId": 1}]}, {"channels": [{"channelID": "1"}]}, {"channels": [{"events": [{"program": {"ID": "a", "id": "b"}}]}]}, []]
+    texts = [json.dumps(d) for d in usual + odd] + ['{"channels": []} {"channels": []}', '{"channels": [], "channels": []}', '{},"00000000000000000000000000000000":0}']
+    rows = spark.createDataFrame(list(enumerate(texts)), "k int, raw string")
+    told = {r["k"]: r["c"] for r in rows.select("k", grid.checked("raw").alias("c")).collect()}
+    plain = lambda v: {k: plain(x) for k, x in v.items() if x is not None} if isinstance(v, dict) else [plain(x) for x in v] if isinstance(v, list) else v
+    for k, text in enumerate(texts[:-3]):
+        try:
+            want = plain(json.loads(grid.strict(text)))
+        except TypeError:
+            want = None
+        assert (told[k]["body"] and plain(json.loads(told[k]["body"]))) == want and (told[k]["error"] is None) == (want is not None), text
+    assert all(told[k]["body"] is None and told[k]["error"] for k in range(len(texts) - 3, len(texts)))
+
+    # Field by field no document is taken any more; usual ones still are.
+    none = lambda v, shape: F.struct(F.lit(False).alias("ok"), F.lit(None).cast(grid.GRID_TYPE).alias("value"))
+    monkeypatch.setattr(grid, "_fitted", none)
+    taken = {r["k"] for r in rows.select("k", grid.checked("raw").alias("c")).where("c.error is null").collect()}
+    assert taken == set(range(len(usual) - 1)), "the last has a key that needs quotes twice"
+
+    # A document is parsed once, and no text is moved to find out which are missing.
+    (tmp_path / "1.json").write_text(texts[0])
+    read = grid.read_grid(spark, start="0", slots="3", step="1", folder=str(tmp_path))
+    plan = grid.decode(read)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("try_parse_json") + plan.count("VariantExpressionEvalUtils") <= 2 and plan.count("Generate inline") == 1, plan
+    assert sorted((r["slot_ts"], r["error"]) for r in read.collect()) == [(0, "FileNotFoundError"), (1, None), (2, "FileNotFoundError")]
+    whole = read._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in whole and "Exchange hashpartitioning" not in whole
