@@ -34,28 +34,61 @@ def slots(spark: SparkSession, start: str, days: int = 14, hours: int = 6) -> Da
     return spark.range(n).select((first + F.make_dt_interval(F.lit(0), (F.col("id") * hours).cast("int"))).alias("slot")).withColumn("slot_ts", F.unix_timestamp("slot"))
 
 
-def _fit(value, shape):
-    """The value in the shape's own spelling of keys; a value of another type fails the whole document."""
-    if value is None:
-        return None
+def _fitter(shape):
+    """A function that gives a value in the shape's own spelling of keys; a value of another type fails the whole document.
+
+    It is made once for a shape and not worked out for each value, as a document has very many.
+    """
     if isinstance(shape, list):
-        if not isinstance(value, list):
-            raise TypeError(f"a list is expected, not {type(value).__name__}")
-        return [_fit(v, shape[0]) for v in value]
+        each, plain = _fitter(shape[0]), shape[0] is str
+
+        def fit_list(value):
+            if value is None:
+                return None
+            if type(value) is not list:
+                raise TypeError(f"a list is expected, not {type(value).__name__}")
+            return value if plain and all(type(v) is str for v in value) else [each(v) for v in value]
+
+        return fit_list
     if isinstance(shape, dict):
-        if not isinstance(value, dict):
-            raise TypeError(f"an object is expected, not {type(value).__name__}")
         names = {k.lower(): k for k in shape}
-        return {names[k.lower()]: _fit(v, shape[names[k.lower()]]) for k, v in value.items() if k.lower() in names}
-    if not isinstance(value, shape):
-        raise TypeError(f"{shape.__name__} is expected, not {type(value).__name__}")
-    return value
+        fitters = {k: None if kind is str else _fitter(kind) for k, kind in shape.items()}
+
+        def fit_dict(value):
+            if value is None:
+                return None
+            if type(value) is not dict:
+                raise TypeError(f"an object is expected, not {type(value).__name__}")
+            out = {}
+            for k, v in value.items():
+                name = k if k in fitters else names.get(k.lower())
+                if name is None:
+                    continue
+                fit = fitters[name]
+                if fit is not None:
+                    v = fit(v)
+                elif type(v) is not str and v is not None:
+                    raise TypeError(f"str is expected, not {type(v).__name__}")
+                out[name] = v
+            return out
+
+        return fit_dict
+
+    def fit_text(value):
+        if value is not None and type(value) is not shape:
+            raise TypeError(f"{shape.__name__} is expected, not {type(value).__name__}")
+        return value
+
+    return fit_text
+
+
+_fit = _fitter(_SHAPE)
 
 
 def strict(body: str) -> str:
     """The document with known fields only, or an error if it isn't JSON or a field has another type."""
     told = json.loads(body)
-    return json.dumps(_fit(told if told is not None else {}, _SHAPE), ensure_ascii=False)
+    return json.dumps(_fit(told if told is not None else {}), ensure_ascii=False)
 
 
 class _Slot(InputPartition):
@@ -182,7 +215,7 @@ def _let(value: Column, use) -> Column:
 def _fitted(v: Column, shape) -> Column:
     """``ok, value`` of a variant: whether it has the shape, and the value in it; null and what is missing fit everywhere.
 
-    The same rule as :func:`_fit`, as an expression over VARIANT.
+    The same rule as :func:`_fitter`, as an expression over VARIANT.
     """
     none = v.isNull() | F.is_variant_null(v)
     if isinstance(shape, list):

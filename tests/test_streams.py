@@ -48,6 +48,16 @@ def test_slots_go_on_after_a_stop(spark, server, tmp_path):
     assert json.loads(rows[4]["body"]) == {"channels": [{"channelId": "c4"}]} and rows[4]["error"] is None
 
 
+def test_the_rule_of_a_document_is_made_once(monkeypatch):
+    """The shape is not walked for each value: made for one document, its rule serves all."""
+    monkeypatch.setattr(grid, "_SHAPE", {"nothing": str})
+    text = '{"CHANNELS": [{"channelid": "1", "other": 1, "events": [{"flag": ["a", null], "program": {"ID": "x", "id": null}}, null]}]}'
+    assert json.loads(grid.strict(text)) == {"channels": [{"channelId": "1", "events": [{"flag": ["a", None], "program": {"id": None}}, None]}]}
+    for bad in ('{"channels": [{"events": [{"program": {"season": true}}]}]}', '{"channels": [{"events": [{"tags": [1]}]}]}', '{"channels": {}}', "[]", "1"):
+        with pytest.raises(TypeError):
+            grid.strict(bad)
+
+
 def test_slots_come_due_by_the_clock(monkeypatch):
     monkeypatch.setattr(grid.time, "time", lambda: 10_000)
     reader = grid.GridStream({"start": "4000", "step": "1000", "slots": "3"})
