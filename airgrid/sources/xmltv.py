@@ -2,6 +2,7 @@
 
 Tasks write their rows (column ``value``) to files of their own; no byte of them passes the driver, which gets a message a task,
 renames files, and publishes by renaming the manifest.  The files of the manifest one after the other are the document.
+With ``compression`` gzip each is a gzip file, and so are they together; the manifest tells size and hash of the text.
 The files of the publication before stay until the next, for those who read them.  A killed task or job leaves nothing that a
 manifest names; :meth:`abort` deletes what it has written.
 
@@ -13,9 +14,11 @@ from __future__ import annotations
 import hashlib
 import json
 import uuid
+import zlib
 from collections.abc import Iterator
 from dataclasses import asdict, dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -26,6 +29,7 @@ from pyspark.sql.types import StructType
 from ..session import Store
 
 MANIFEST = "_manifest.json"
+_DIGEST = pa.schema([("chunk", pa.int64()), ("first", pa.int64()), ("lines", pa.int64()), ("code", pa.string()), ("text", pa.string())])
 
 
 @dataclass
@@ -48,8 +52,10 @@ def _store(uri: str):
 
 
 class XmltvWriter(DataSourceArrowWriter):
-    def __init__(self, path: str):
-        self.path, self.run = path, uuid.uuid4().hex
+    def __init__(self, path: str, compression: str = ""):
+        if compression not in ("", "none", "gzip"):
+            raise ValueError(f"compression is none or gzip, not {compression}")
+        self.path, self.run, self.packed = path, uuid.uuid4().hex, compression == "gzip"
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Part:
         store, folder = _store(self.path)
@@ -58,14 +64,17 @@ class XmltvWriter(DataSourceArrowWriter):
         store.create_dir(f"{folder}/_temporary-{self.run}", recursive=True)
         rows = lines = size = 0
         code = hashlib.sha256()
+        packer = zlib.compressobj(1, wbits=31) if self.packed else None
         with store.open_output_stream(f"{folder}/{staged}") as out:
             for batch in iterator:
                 for value in batch.column(batch.schema.get_field_index("value")):
                     line = (value.as_py() or "").encode() + b"\n"
-                    out.write(line)
+                    out.write(packer.compress(line) if packer else line)
                     code.update(line)
                     rows, lines, size = rows + 1, lines + line.count(b"\n"), size + len(line)
-        return Part(number, f"part-{number:06d}-{self.run}.xmltv", staged, rows, lines, size, code.hexdigest())
+            if packer:
+                out.write(packer.flush())
+        return Part(number, f"part-{number:06d}-{self.run}.xmltv{'.gz' if packer else ''}", staged, rows, lines, size, code.hexdigest())
 
     def commit(self, messages: list[Part | None]) -> None:
         store, folder = _store(self.path)
@@ -114,13 +123,13 @@ class XmltvSink(DataSource):
     def writer(self, schema: StructType, overwrite: bool) -> XmltvWriter:
         if "value" not in schema.fieldNames():
             raise ValueError("a column named value is needed")
-        return XmltvWriter(self.options["path"])
+        return XmltvWriter(self.options["path"], self.options.get("compression", "").lower())
 
 
-def write_xmltv(parts: DataFrame, path: str, order: tuple[str, ...] = ("section", "k1", "k2", "k3", "value")) -> None:
-    """Publish the parts of a document (:func:`airgrid.operators.publish.document`), sorted by range, in a folder."""
+def write_xmltv(parts: DataFrame, path: str, order: tuple[str, ...] = ("section", "k1", "k2", "k3", "value"), compression: str = "none") -> None:
+    """Publish the parts of a document (:func:`airgrid.operators.publish.document`), sorted by range, in a folder; ``compression`` is none or gzip."""
     parts.sparkSession.dataSource.register(XmltvSink)
-    parts.orderBy(*order).select("value").write.format("xmltv").mode("overwrite").save(path)
+    parts.orderBy(*order).select("value").write.format("xmltv").option("compression", compression).mode("overwrite").save(path)
 
 
 def manifest(spark: SparkSession, path: str) -> dict:
@@ -143,3 +152,45 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
         before += r["n"]
     first = F.broadcast(spark.createDataFrame(firsts, "name string, block long, before long"))
     return rows.join(first, ["name", "block"]).select((F.col("row") + F.col("before") + 1).alias("line_no"), "line")
+
+
+def digests(lines: DataFrame, size: int = 1000) -> DataFrame:
+    """``chunk, lines, code``: number of lines and MD5 of each run of ``size`` lines (line_no, line) of a document, joined by line feeds.
+
+    Lines come in stretches of the document, so a task works out most runs by itself; only what it has of a run that goes on
+    elsewhere is moved as text.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = after = 0  # the numbers of the lines held, and of the one that would follow
+        held: list[str] = []
+
+        def told() -> list[tuple]:
+            if not held:
+                return []
+            text = "\n".join(held)
+            whole = after - first == size
+            return [((first - 1) // size, first, after - first, hashlib.md5(text.encode()).hexdigest() if whole else None, None if whole else text)]
+
+        for batch in batches:
+            number, rows, out = batch.column(0).to_numpy(), batch.column(1), []
+            cuts = (np.flatnonzero((np.diff(number) != 1) | (number[1:] % size == 1 % size)) + 1).tolist()
+            for i, j in zip([0, *cuts], [*cuts, len(number)], strict=True):
+                if i == j:
+                    continue
+                if held and (number[i] != after or number[i] % size == 1 % size):
+                    out += told()
+                    held = []
+                if not held:
+                    first = int(number[i])
+                held.append("\n".join(rows.slice(i, j - i).to_pylist()))
+                after = int(number[j - 1]) + 1
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(x, type=t) for x, t in zip(zip(*out, strict=True), _DIGEST.types, strict=True)], schema=_DIGEST)
+        if out := told():
+            yield pa.RecordBatch.from_arrays([pa.array(x, type=t) for x, t in zip(zip(*out, strict=True), _DIGEST.types, strict=True)], schema=_DIGEST)
+
+    parts = lines.select("line_no", "line").mapInArrow(run, "chunk long, first long, lines long, code string, text string")
+    texts = F.array_sort(F.collect_list(F.when(F.col("code").isNull(), F.struct("first", "text"))))
+    joined = F.md5(F.array_join(F.transform(texts, lambda x: x["text"]), "\n"))
+    return parts.groupBy("chunk").agg(F.sum("lines").alias("lines"), F.coalesce(F.max("code"), joined).alias("code"))

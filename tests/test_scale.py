@@ -178,3 +178,31 @@ def test_usual_documents_are_not_looked_at_field_by_field(spark, tmp_path, monke
     assert sorted((r["slot_ts"], r["error"]) for r in read.collect()) == [(0, "FileNotFoundError"), (1, None), (2, "FileNotFoundError")]
     whole = read._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" not in whole and "Exchange hashpartitioning" not in whole
+
+
+def test_a_document_is_packed_and_digested_where_it_lies(spark, tmp_path):
+    import gzip
+    import hashlib
+
+    from airgrid.sources import xmltv
+
+    text = spark.range(3000).selectExpr("2 section", "lpad(id, 6, '0') k1", "'' k2", "'' k3", "concat('line é ', id, if(id % 3 = 0, '\\n\\n', '')) value")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        xmltv.write_xmltv(text, str(tmp_path), compression="gzip")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    want = "\n".join(f"line é {i}" + ("\n\n" if i % 3 == 0 else "") for i in range(3000))
+    parts = xmltv.manifest(spark, str(tmp_path))["parts"]
+    packed = b"".join((tmp_path / p["name"]).read_bytes() for p in parts)
+    assert len(parts) > 1 and gzip.decompress(packed).decode() == want + "\n" and 4 * len(packed) < len(want)
+    assert sum(p["size"] for p in parts) == len(want.encode()) + 1
+    lines = xmltv.read_lines(spark, str(tmp_path))
+    rows = want.split("\n")
+    for size in (1, 7, 1000, 10_000):
+        cut = {k // size: rows[k : k + size] for k in range(0, len(rows), size)}
+        for told in (xmltv.digests(lines, size), xmltv.digests(lines.repartition(3), size)):
+            assert {r["chunk"]: (r["lines"], r["code"]) for r in told.collect()} == {k: (len(x), hashlib.md5("\n".join(x).encode()).hexdigest()) for k, x in cut.items()}
+    assert "MapInArrow" in xmltv.digests(lines, 100)._jdf.queryExecution().executedPlan().toString()
+    with pytest.raises(ValueError):
+        xmltv.XmltvWriter(str(tmp_path), "zip")
