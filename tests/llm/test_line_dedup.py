@@ -159,3 +159,19 @@ def test_small_groups_go_to_python_many_at_a_time(spark, tmp_path):
     one, calls = links("one")
     many, fewer = links("many", gather=True)
     assert many == one and calls > 1500 and fewer < 60
+
+
+def test_min_hashes_stay_near(monkeypatch):
+    """Rows are hashed some at a time, with the minima of all at once."""
+    from airgrid.llm import hashing
+
+    rng = np.random.default_rng(5)
+    offsets = np.concatenate([[0], np.cumsum(np.append(rng.integers(1, 60, 200), [500, 1, 99, 1]))])
+    values = rng.integers(0, 1 << 63, offsets[-1]).astype(np.uint64)
+    factors, shifts = hashing.hash_family(8, 3)
+    x = (values >> np.uint64(32)).astype(np.uint32)
+    want = [np.minimum.reduceat(x * f ^ s, offsets[:-1]) for f, s in zip(factors, shifts, strict=True)]
+    for near in (1, 7, 100, 1 << 16):
+        monkeypatch.setattr(hashing, "NEAR", near)
+        assert (hashing.min_hashes(values, offsets, factors, shifts) == want).all()
+    assert hashing.min_hashes(values[:0], offsets[:1], factors, shifts).shape == (8, 0)
